@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import bpe, langid, mixing, ogg, quality, sharding, topk
+from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, quality, sharding, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_json())
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_ogg_media": op3_ogg_media,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }

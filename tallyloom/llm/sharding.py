@@ -26,13 +26,15 @@ from tallyloom.llm.common import width, written
 from tallyloom.llm.mixing import running, word_count
 
 OVERHEAD = 8
-#: A piece holds at most 1/PIECE of a shard's bytes or rows; a piece is large from 1/LARGE of a lane's shard on.
-PIECE, LARGE = 16, 4
+#: A group is kept whole up to 1/PIECE of a shard; a piece is large from 1/LARGE of a lane's shard on.
+PIECE, LARGE = 2, 4
+#: A lane packs about so many pieces at least, as few pieces can't be balanced.
+LANE_PIECES = 20_000
 #: Weight of a component in the dot product: bytes are what the law promises.
-IMPORTANCE = (2.0, 1.0, 1.0)
+IMPORTANCE = (64.0, 1.0, 1.0)
 
 
-def packer(n_shards: int, totals: tuple[float, float, float], taken: list[list[float]], lanes: int):
+def packer(n_shards: int, totals: tuple[float, float, float], taken: list[list[float]]):
     """A function that places vectors one after another by the dot product with residual capacity.
 
     Capacity follows the load: a shard's due share of what was placed so far and the next
@@ -49,8 +51,6 @@ def packer(n_shards: int, totals: tuple[float, float, float], taken: list[list[f
         v = vector * scale
         placed = placed + v
         room = due * placed - load
-        # each component's residual counts in units of the vector's own, so that the last small
-        # pieces still level what large ones left uneven
         shard = int(np.argmax(room @ (weight * v)))
         load[shard] += v
         return shard
@@ -63,7 +63,7 @@ def pack(pieces: DataFrame, n_shards: int, totals: tuple, taken: list, lanes: in
     import pyarrow as pa
 
     def run(batches):
-        place = packer(n_shards, totals, taken, lanes)
+        place = packer(n_shards, totals, taken)
         for batch in batches:
             vectors = np.column_stack([batch.column(i).to_numpy().astype(np.float64) for i in (2, 3, 4)])
             shards = np.fromiter((place(v) for v in vectors), np.int32, len(vectors))
@@ -92,20 +92,21 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     total = narrow.agg(*sums).first()
     totals = tuple(float(x or 0) for x in total)
     most = [max(1.0, t / n_shards / PIECE) for t in totals]
-    cuts = F.ceil(F.greatest(F.col("bytes") / most[0], F.col("rows") / most[2]) * 1.1)
+    cuts = F.ceil(F.greatest(F.col("bytes") / most[0], F.col("rows") / most[2]) * 2)
     # a group this large is one of PIECE * n_shards a component at most
     hot = groups.where((F.col("rows") > 1) & ((F.col("bytes") > most[0]) | (F.col("rows") > most[2]))).select(F.col("key").alias("hot_key"), cuts.alias("cuts"))
     rows = narrow.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
     rows = rows.withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).cast("long")).drop("hot_key", "cuts")
     pieces = written(rows.groupBy("key", "piece").agg(*sums), "shard-pieces")
 
-    floor = max(1.0, totals[0] / n_shards / lanes / LARGE)
+    packed = max(1, min(lanes, pieces.count() // LANE_PIECES))
+    floor = max(1.0, totals[0] / n_shards / packed / LARGE)
     large, small = pieces.where(F.col("bytes") > floor), pieces.where(F.col("bytes") <= floor)
-    # at most n_shards * lanes * LARGE pieces exceed the floor: they fit one task
+    # at most n_shards * packed * LARGE pieces exceed the floor: they fit one task
     first = written(pack(large, n_shards, totals, [], 1), "shard-large")
     load = {r.shard: [float(r.bytes), float(r.tokens), float(r.rows)] for r in first.join(large, ["key", "piece"]).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).collect()}
     taken = [load.get(s, [0.0, 0.0, 0.0]) for s in range(n_shards)]
-    placed = first.unionByName(pack(small, n_shards, totals, taken, lanes))
+    placed = first.unionByName(pack(small, n_shards, totals, taken, packed))
 
     put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key")
     put = put.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
