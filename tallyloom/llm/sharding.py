@@ -31,7 +31,7 @@ PIECE, LARGE = 2, 4
 #: A lane packs about so many pieces at least, as few pieces can't be balanced.
 LANE_PIECES = 20_000
 #: Weight of a component in the dot product: bytes are what the law promises.
-IMPORTANCE = (64.0, 1.0, 1.0)
+IMPORTANCE = (256.0, 1.0, 1.0)
 
 
 def packer(n_shards: int, totals: tuple[float, float, float], taken: list[list[float]]):
@@ -100,13 +100,16 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     pieces = written(rows.groupBy("key", "piece").agg(*sums), "shard-pieces")
 
     packed = max(1, min(lanes, pieces.count() // LANE_PIECES))
-    floor = max(1.0, totals[0] / n_shards / packed / LARGE)
-    large, small = pieces.where(F.col("bytes") > floor), pieces.where(F.col("bytes") <= floor)
-    # at most n_shards * packed * LARGE pieces exceed the floor: they fit one task
-    first = written(pack(large, n_shards, totals, [], 1), "shard-large")
-    load = {r.shard: [float(r.bytes), float(r.tokens), float(r.rows)] for r in first.join(large, ["key", "piece"]).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).collect()}
-    taken = [load.get(s, [0.0, 0.0, 0.0]) for s in range(n_shards)]
-    placed = first.unionByName(pack(small, n_shards, totals, taken, packed))
+    if packed == 1:
+        placed = pack(pieces, n_shards, totals, [], 1)
+    else:
+        floor = max(1.0, totals[0] / n_shards / packed / LARGE)
+        large, small = pieces.where(F.col("bytes") > floor), pieces.where(F.col("bytes") <= floor)
+        # at most n_shards * packed * LARGE pieces exceed the floor: they fit one task
+        first = written(pack(large, n_shards, totals, [], 1), "shard-large")
+        put = first.join(large, ["key", "piece"]).groupBy("shard").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")])
+        load = {r.shard: [float(r.bytes), float(r.tokens), float(r.rows)] for r in put.collect()}  # a row a shard
+        placed = first.unionByName(pack(small, n_shards, totals, [load.get(s, [0.0, 0.0, 0.0]) for s in range(n_shards)], packed))
 
     put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key")
     put = put.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
