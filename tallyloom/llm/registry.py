@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, quality, sharding, topk
+from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, quality, sharding, suffix_dedup, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
@@ -51,6 +51,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_json())
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }
