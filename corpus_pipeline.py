@@ -1,2 +1,72 @@
-"""Corpus pipeline."""
-STAGES = []
+"""A training-corpus pipeline: five stages, each a corpus operator over what its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import bpe, langid, mixing, ngram_join, pii
+from tallyloom.llm.common import written
+from tallyloom.session import ship, table
+
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: A text is rejected whose language has a lower posterior than this, or that has no letter.
+SURE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter or of no recognised language; fill in missing languages."""
+    ship(spark)
+    model = langid.fit(docs, F.lit(True))
+    tagged = langid.annotated(docs, model)
+    kept = tagged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group linked by five-word shingles at 0.8, the document of the smallest id stays."""
+    ship(spark)
+    groups = ngram_join.linked(docs, n=5, num=80, den=100)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; of one that it takes in part, whole copies to the nearest."""
+    mixed = mixing.mix(docs)
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    times = written(mixed.where("size > 0").select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).where("_copies > 0"), "mix-copies")
+    repeated = docs.join(times, F.col("doc_id") == F.col("_doc")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, as digests, and of the text decoded from them."""
+    ship(spark)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        return bpe.encode_decode(docs, f.read())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("private", private),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: SQL expresses neither the trained language model nor the tokenizer; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,7 @@ import pickle
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import id_and_text
 
@@ -165,10 +166,12 @@ class Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
+def annotated(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score appended to every row (columns of these names are replaced)."""
     import pyarrow as pa
 
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
@@ -176,7 +179,13 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                langs, scores = zip(*scorer.texts(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                langs, scores = zip(*scorer.texts(part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    return annotated(id_and_text(docs, id_col, text_col), model).select("doc_id", "lang_pred", "score")

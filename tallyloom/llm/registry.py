@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, quality, sharding, suffix_dedup, topk
+from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sharding, suffix_dedup, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
@@ -63,6 +63,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def shipped(query):
     """The query, with the package given to the Python workers first."""
 
@@ -88,6 +92,8 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
 
