@@ -8,7 +8,7 @@ sizes a and b that is an overlap of T = ceil(num (a + b) / (num + den)).
 2. Shingles are ordered rare first (by that table, ties by hash). Linked sets share one of
    their first n - ceil(num n / den) + 1 shingles, so sets meet in a block per prefix shingle;
    the block is named by the smallest set that has the shingle, so that blocks of many shared
-   shingles fall together.
+   shingles fall together. Blocks are also apart by levels of sizes.
 3. In a block the T-occurrence problem is solved for every set by DivideSkip: the shingles'
    inverted lists are divided into long and short ones, the short lists are merged with a
    heap, and sets that reach T less the number of long lists are looked up in the long lists
@@ -35,7 +35,8 @@ import zlib
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import id_and_text, width, written
@@ -43,22 +44,13 @@ from tallyloom.llm.graph import components
 
 #: Sets of a block compared in one task; counters of the frequency table and of one of its parts.
 BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
-CACHED = 500_000
+#: Factor between levels of sizes: only sets of sizes that can link meet in a block.
+LEVEL = 1.5
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
 PROBE_COST = 0.01
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, kept while the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,20 +62,19 @@ class Shingler:
     """Sorted distinct n-gram hashes of texts."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, WordHashes()
+        self.n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > CACHED:
-            self.words.clear()
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = min(self.n, len(words))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             out = mixed(out + h[k : len(h) - n + 1 + k] * ODD[k % len(ODD)])
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(sets: np.ndarray) -> bytes:
@@ -252,20 +243,30 @@ def search(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def level(size: Column) -> Column:
+    """Level of a size of set: the power of LEVEL below it."""
+    return F.floor(F.log(size) / F.log(F.lit(LEVEL))).cast("int")
+
+
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = id_and_text(docs, id_col, text_col)
     rows, classes = survey(texts, n)
-    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    # the digest's first 8 bytes, as prefixes() names sets; sets that share them only meet in a block
+    named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep", "n")
     part = prefixes(texts, n, num, den, classes)
-    shared = part.groupBy("shingle").agg(F.min("set").alias("block"), F.max("set").alias("_last")).where("block < _last").select("shingle", "block")
+    shared = part.groupBy("shingle").agg(F.min("set").alias("one"), F.max("set").alias("other")).where("one < other").select("shingle")
     shared = written(shared, "shared-shingles")
-    pairs = written(part.join(shared, "shingle").select("block", "set").distinct(), "block-members")
-    # the digest's first 8 bytes, as prefixes() names sets; sets that share them only meet in a block
-    named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep")
-    members = pairs.join(named, "set").select("block", (F.col("set") == F.col("block")).alias("first"), F.col("rep").alias("doc_id"))
+    # a set is at its own level of sizes, and at those that larger sets it can link with are at
+    levels = F.sequence(level(F.col("n")), level(F.col("n") * den / num * (1 + 1e-9)))
+    hits = part.join(shared, "shingle").distinct().join(named, "set").select("shingle", "set", "rep", F.explode(levels).alias("level"))
+    hits = written(hits, "shared-prefixes")
+    groups = hits.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
+    members = hits.join(groups, ["shingle", "level"]).select(F.xxhash64("level", "low").alias("block"), (F.col("set") == F.col("low")).alias("first"), F.col("rep").alias("doc_id"))
+    members = written(members.distinct(), "block-members")
     counts = members.groupBy("block").agg(F.count("*").alias("size"))
-    members = written(members.join(counts.where("size > 1"), "block"), "blocks")
+    members = written(members.join(counts, "block"), "blocks")
     of_text = texts.where("text is not null")
 
     chunks = F.ceil(F.col("size") / BLOCK)
