@@ -430,15 +430,15 @@ def deduplicated(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     grams = marks.where("gram is not null").groupBy("gram").agg(F.min(occurrence).alias("one"), F.max(occurrence).alias("other"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"), F.max(F.col("ctx").isNull()).alias("border"))
     # a gram that occurs again; alike: with one and the same whole context everywhere
     grams = written(grams.where("one < other").select("gram", ((F.col("c1") == F.col("c2")) & ~F.col("border")).alias("alike")), "repeated-grams")
-    hits = marks.where("gram is not null").join(grams, "gram").select("gram", "ctx", "key", "pos", "alike")
-    own = marks.where("gram is null").select(F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("ctx"), "key", "pos", F.lit(None).cast("boolean").alias("alike"), "stop")
-    hits = written(hits.withColumn("stop", F.lit(None).cast("int")).unionByName(own), "suffix-hits")
+    # in one pass of the texts: occurrences of such grams, and the intervals (which join with nothing)
+    marked = marks.withColumn("at", F.coalesce("gram", occurrence)).join(grams.withColumnRenamed("gram", "at"), "at", "left")
+    hits = written(marked.where("gram is null or alike is not null").select("gram", "ctx", "key", "pos", "stop", "alike"), "suffix-hits")
 
     w = length - GRAM + 1
     full = [(F.col("pos") - (w - 1)).alias("start"), (F.col("pos") + length).alias("stop")]
     within = hits.where("gram is null").select("key", F.col("pos").alias("start"), "stop")
-    alike = hits.where("alike").select("key", *full)
-    mixed_ = hits.where("not alike")
+    alike = hits.where("gram is not null and alike").select("key", *full)
+    mixed_ = hits.where("gram is not null and not alike")
     by_context = mixed_.where("ctx is not null").groupBy("gram", "ctx").agg(F.min(occurrence).alias("one"), F.max(occurrence).alias("other"))
     known = mixed_.join(by_context, ["gram", "ctx"], "left")
     same = known.where("one < other").select("key", *full)
