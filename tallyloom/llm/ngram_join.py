@@ -8,7 +8,8 @@ sizes a and b that is an overlap of T = ceil(num (a + b) / (num + den)).
 2. Shingles are ordered rare first (by that table, ties by hash). Linked sets share one of
    their first n - ceil(num n / den) + 1 shingles, so sets meet in a block per prefix shingle;
    the block is named by the smallest set that has the shingle, so that blocks of many shared
-   shingles fall together. Blocks are also apart by levels of sizes.
+   shingles fall together. Blocks are also apart by levels of sizes, and
+   sets whose profiles (counts of shingles by range of hash) already differ too much part.
 3. In a block the T-occurrence problem is solved for every set by DivideSkip: the shingles'
    inverted lists are divided into long and short ones, the short lists are merged with a
    heap, and sets that reach T less the number of long lists are looked up in the long lists
@@ -44,6 +45,8 @@ from tallyloom.llm.graph import components
 
 #: Sets of a block compared in one task; counters of the frequency table and of one of its parts.
 BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
+#: Sets of a block whose profiles are compared in one task.
+COMPARED = 2048
 #: Factor between levels of sizes: only sets of sizes that can link meet in a block.
 LEVEL = 1.5
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
@@ -85,20 +88,33 @@ def key64(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
-def survey(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, key) of every row, and the log frequency class of each counter."""
+def profile(shingles: np.ndarray, num: int, den: int) -> bytes:
+    """Numbers of shingles per range of hashes, in a power of two of ranges that grows with the set.
+
+    What two profiles differ by is a lower bound of what the sets differ by; that many ranges
+    tell unrelated sets from linked ones.
+    """
+    apart = 2 * (den - num) / (den + num)
+    ranges = 1 << max(4, math.ceil(math.log2(max(1.0, 4 * (apart / 1.128) ** 2 * len(shingles)))))
+    at = (shingles >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64)
+    return np.bincount(at, minlength=ranges).astype("<u4").tobytes()
+
+
+def survey(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, key, profile) of every row, and the log frequency class of each counter."""
     import pyarrow as pa
 
-    schema = "doc_id long, n_shingles long, key binary, part int, counts binary"
+    schema = "doc_id long, n_shingles long, key binary, profile binary, part int, counts binary"
 
     def run(batches):
         shingler, counts = Shingler(n), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, keys, held, load = [], [], [], 0
+            sizes, keys, profiles, held, load = [], [], [], [], 0
             for text in batch.column(1):
                 s = shingler(text.as_py())
                 sizes.append(len(s))
                 keys.append(digest(s) if len(s) else None)
+                profiles.append(profile(s, num, den) if len(s) else None)
                 held.append(s)
                 load += len(s)
                 if load > COUNTERS:
@@ -107,12 +123,12 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             if load:
                 counts += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(profiles, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = [zlib.compress(counts[k : k + PART].astype("<u4").tobytes(), 1) for k in range(0, COUNTERS, PART)]
         none = pa.nulls(len(parts))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    names = ["doc_id", "n_shingles", "key", "part", "counts"]
+    names = ["doc_id", "n_shingles", "key", "profile", "part", "counts"]
     rows = written(docs.mapInArrow(run, schema), "shingle-sets")
 
     def add(batches):
@@ -128,7 +144,7 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     classes = np.zeros(COUNTERS, np.uint8)
     for part, c in summed.collect():  # COUNTERS bytes in all
         classes[part * PART : (part + 1) * PART] = np.frombuffer(c, np.uint8)
-    return rows.where("part is null").select("doc_id", "n_shingles", "key"), classes
+    return rows.where("part is null").select("doc_id", "n_shingles", "key", "profile"), classes
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
@@ -156,6 +172,62 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -
     return docs.mapInArrow(run, "shingle long, set long")
 
 
+def viable(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks (block, first, doc_id) divided into what can link at all, by the profiles' bound.
+
+    members: (block, doc_id, n, profile). Sets that can link with none of their block go; a
+    block of more than ``COMPARED`` sets passes as it is.
+    """
+    import pyarrow as pa
+
+    names = ["block", "first", "doc_id"]
+
+    def divide(rows: list[tuple[int, int, int, bytes]], out: list[tuple[int, bool, int]]) -> None:
+        if len(rows) < 2:
+            return
+        sizes = np.array([r[2] for r in rows])
+        counts = [np.frombuffer(r[3], "<u4").astype(np.int32) for r in rows]
+        least = min(map(len, counts))
+        table = np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
+        known, linked_ = Forest(len(rows)), np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            both = sizes[i + 1 :] + sizes[i]
+            most = (both - np.abs(table[i + 1 :] - table[i]).sum(axis=1)) // 2
+            for j in (np.flatnonzero((most >= -(-num * both // (num + den))) & (most > 0)) + i + 1).tolist():
+                known.join(i, j)
+                linked_[i] = linked_[j] = True
+        for i in np.flatnonzero(linked_).tolist():
+            root = known.root(i)
+            out.append((xxhash.xxh3_64_intdigest(f"{rows[i][0]}/{rows[root][1]}".encode()) - (1 << 63), root == i, rows[i][1]))
+
+    def batch_of(out: list[tuple]):
+        cols = list(zip(*out)) if out else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64()))], names=names)
+
+    def run(batches):
+        name, rows, passing = None, [], False
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if row[0] != name:
+                    divide(rows, out)
+                    name, rows, passing = row[0], [], False
+                if passing:
+                    out.append((row[0], False, row[1]))
+                    continue
+                rows.append(row)
+                if len(rows) > COMPARED:
+                    out += [(r[0], i == 0, r[1]) for i, r in enumerate(rows)]
+                    rows, passing = [], True
+            yield batch_of(out)
+        out = []
+        divide(rows, out)
+        yield batch_of(out)
+
+    dealt = members.select("block", "doc_id", "n", "profile").repartition(width(members.sparkSession), "block").sortWithinPartitions("block", "doc_id")
+    return dealt.mapInArrow(run, "block long, first boolean, doc_id long")
+
+
 class Forest:
     """Union-find over the places of a block."""
 
@@ -251,20 +323,21 @@ def level(size: Column) -> Column:
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = id_and_text(docs, id_col, text_col)
-    rows, classes = survey(texts, n)
-    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    rows, classes = survey(texts, n, num, den)
+    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("profile").alias("profile"))
     # the digest's first 8 bytes, as prefixes() names sets; sets that share them only meet in a block
-    named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep", "n")
+    named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep", "n", "profile")
     part = prefixes(texts, n, num, den, classes)
     shared = part.groupBy("shingle").agg(F.min("set").alias("one"), F.max("set").alias("other")).where("one < other").select("shingle")
     shared = written(shared, "shared-shingles")
     # a set is at its own level of sizes, and at those that larger sets it can link with are at
     levels = F.sequence(level(F.col("n")), level(F.col("n") * den / num * (1 + 1e-9)))
-    hits = part.join(shared, "shingle").distinct().join(named, "set").select("shingle", "set", "rep", F.explode(levels).alias("level"))
+    hits = part.join(shared, "shingle").distinct().join(named.select("set", "n").distinct(), "set").select("shingle", "set", F.explode(levels).alias("level"))
     hits = written(hits, "shared-prefixes")
     groups = hits.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
-    members = hits.join(groups, ["shingle", "level"]).select(F.xxhash64("level", "low").alias("block"), (F.col("set") == F.col("low")).alias("first"), F.col("rep").alias("doc_id"))
-    members = written(members.distinct(), "block-members")
+    members = hits.join(groups, ["shingle", "level"]).select(F.xxhash64("level", "low").alias("block"), "set").distinct()
+    members = members.join(named, "set").select("block", F.col("rep").alias("doc_id"), "n", "profile")
+    members = written(viable(members, num, den), "block-members")
     counts = members.groupBy("block").agg(F.count("*").alias("size"))
     members = written(members.join(counts, "block"), "blocks")
     of_text = texts.where("text is not null")
@@ -279,7 +352,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     if not large.isEmpty():
         links = written(links.unionByName(rest(members.where(F.col("size") > BLOCK), links, of_text, n, num, den)), "links")
     comps = components(links)
-    out = rows.join(reps, "key", "left").join(comps, F.col("rep") == F.col("node"), "left")
+    out = rows.join(reps.select("key", "rep"), "key", "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
