@@ -6,24 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a trailer line and an email-shaped string look like.
-TRAILER = r"^[A-Za-z][A-Za-z-]*: "
+TRAILER = r"^[ \t]*[A-Za-z-]+:[ \t]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def body_lines(message: Column) -> Column:
-    """Lines after the first that are neither blank nor trailers."""
+    """Lines after the first that are neither blank nor trailers, without trailing white space."""
     lines = F.split(message, "\n")
     rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.filter(rest, lambda x: (F.trim(x) != "") & ~x.rlike(TRAILER))
+    bare = F.transform(rest, lambda x: F.regexp_replace(x, "[ \\t\\r]+$", ""))
+    return F.filter(bare, lambda x: (x != "") & ~x.rlike(TRAILER))
 
 
 def body_chars(message: Column) -> Column:
-    """Characters of the body, trimmed lines; NULL for an unknown message."""
-    return F.when(message.isNotNull(), F.aggregate(body_lines(message), F.lit(0).cast("long"), lambda s, x: s + F.length(F.trim(x))))
+    """Characters of the body; NULL for an unknown message."""
+    return F.when(message.isNotNull(), F.aggregate(body_lines(message), F.lit(0).cast("long"), lambda s, x: s + F.length(x)))
 
 
 def has_body(message: Column) -> Column:
-    return F.when(message.isNotNull(), (F.size(body_lines(message)) > 0).cast("long"))
+    return (body_chars(message) > 0).cast("long")
 
 
 def flattened(x: Column) -> Column:

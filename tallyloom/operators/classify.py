@@ -32,7 +32,7 @@ VERBS = [
     ("docs", "verb:docs", 0.60, "", r"^(document|readme|changelog)|^(add(s|ed|ing)?|update[sd]?|improve[sd]?|fix(es|ed)?) (the )?(docs|documentation|readme|changelog|comment)"),
     ("test", "verb:test", 0.60, "", r"^(add(s|ed|ing)?|write|writes|improve[sd]?|fix(es|ed)?) (unit |integration |e2e |flaky |failing )*(test|spec)|^(test|spec)(s|ing)? "),
     ("bugfix", "verb:fix", 0.55, "", r"^(fix(es|ed|ing)?|resolve[sd]?|correct(s|ed)?|repair(s|ed)?|patch(es|ed)?|handle|prevent|guard against|escape|sanitiz|sanitis) "),
-    ("refactor", "verb:refactor", 0.55, "", r"^(refactor|rename|extract|simplify|reorganis|reorganiz|restructure|deduplicate|dedupe|inline|split|move|remove|delete|drop|replace|convert|migrate|switch|unify|consolidate)[a-z]* |^clean ?up |^(speed up|improve performance|make .*(thread|ractor|memory)[- ]safe)"),
+    ("refactor", "verb:refactor", 0.55, "", r"^(refactor|rename|extract|simplify|reorganis|reorganiz|restructure|deduplicate|dedupe|inline|split|move|remove|delete|drop|replace|convert|migrate|switch|unify|consolidate|normalis|normaliz|modernis|moderniz|deprecate|stop|avoid|reduce|optimis|optimiz|tidy) |^clean ?up |^(speed up|improve performance|make .*(thread|ractor|memory)[- ]safe)"),
     ("feature", "verb:add", 0.55, "", r"^(add(s|ed|ing)?|implement(s|ed)?|introduce[sd]?|create[sd]?|support|enable|allow|expose|extend|expand) "),
 ]
 AGENTS = [

@@ -83,5 +83,25 @@ def merge_action(build_ok: Column, tests_ok: Column, risk: Column, direct: Colum
     return F.when(~build_ok | ~tests_ok | (risk == "High"), "flag").when((risk == "Medium") & direct, "write-tests").otherwise("auto-merge")
 
 
+#: Weights of the readiness dimensions, in percent.
+READINESS = {"env": 20, "tests": 25, "context": 15, "ci": 10, "tasks": 10, "secrets": 10, "wiring": 5, "health": 5}
+
+
+def readiness_score(wired: Column | None = None) -> Column:
+    """Weighted mean of the dimensions' scores (0 to 10); without wiring its weight goes to tests."""
+    has = F.lit(True) if wired is None else wired
+    total = F.lit(0.0)
+    for name, weight in READINESS.items():
+        w = F.when(has, weight).otherwise(weight + READINESS["wiring"]) if name == "tests" else F.when(has, weight).otherwise(0) if name == "wiring" else F.lit(weight)
+        total = total + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * w
+    return total / 100
+
+
 def readiness_tier(score: Column) -> Column:
-    return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
+    return F.when(score >= 8, "READY").when(score >= 6, "NEARLY READY").when(score >= 4, "NEEDS WORK").otherwise("NOT READY")
+
+
+def grade(red: Column, yellow: Column, documented: Column) -> Column:
+    """Letter of ceil(red + yellow / 2) among the applicable signals; F without documents."""
+    score = F.ceil(red + yellow * 0.5)
+    return F.when(~documented, "F").when(score == 0, "A").when(score == 1, "B").when(score == 2, "C").otherwise("D")
