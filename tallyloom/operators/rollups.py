@@ -182,10 +182,11 @@ def before_after_cycle(a: Activity) -> DataFrame:
     """Median of personal changes of median cycle time around adoption, with enough reviews on both sides."""
     first = first_assisted(a).where("scope = 'org'")
     prs = scoped(merged_prs(a)).where("scope = 'org' and steerer_state = 'known' and cycle_time_hours is not null").select("scope_key", "identity_id", "merged_at", "cycle_time_hours")
-    width = F.expr(f"interval {4 * WINDOW_DAYS} days")
+    width = F.expr(f"interval {20 * WINDOW_DAYS} days")
     near = first.join(prs, ["scope_key", "identity_id"]).where((F.col("merged_at") >= F.col("first_at") - width) & (F.col("merged_at") < F.col("first_at") + width))
-    phase = near.withColumn("phase", F.when(F.col("merged_at") < F.col("first_at"), "before").otherwise("after"))
-    per = phase.groupBy("scope_key", "identity_id").pivot("phase", ["before", "after"]).agg(F.count("*").alias("n"), p50("cycle_time_hours").alias("p50"))
+    before = F.col("merged_at") < F.col("first_at")
+    half = lambda c: F.percentile(F.when(c, F.col("cycle_time_hours")), F.lit(0.5))
+    per = near.groupBy("scope_key", "identity_id").agg(n(before).alias("before_n"), n(~before).alias("after_n"), half(before).alias("before_p50"), half(~before).alias("after_p50"))
     enough = per.where((F.col("before_n") >= FLOOR_PRS) & (F.col("after_n") >= FLOOR_PRS) & (F.col("before_p50") > 0))
     deltas = enough.withColumn("delta", ratio(F.col("after_p50") - F.col("before_p50"), F.col("before_p50")))
     return deltas.groupBy("scope_key").agg(F.count("*").alias("people"), r6(p50("delta")).alias("median_delta_pct"))

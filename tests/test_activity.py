@@ -1,0 +1,112 @@
+"""Rollups on a small hand-made fixture, and invariants on the supplied tables."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.functions import buckets, text
+from tallyloom.operators import mining, pages, quality, rollups, sessions, upsert
+from tallyloom.sources.adapter import Activity
+from tallyloom.streaming import arrivals
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def activity(spark):
+    return Activity(spark, SF)
+
+
+def test_weeks_start_on_monday_and_labels_follow_thursday(spark):
+    days = [dt.date(2019, 12, 30), dt.date(2020, 12, 28), dt.date(2015, 12, 28), dt.date(2021, 1, 4)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    assert [r.x for r in df.select(buckets.iso_label(F.col("d")).alias("x")).collect()] == ["2020-W01", "2020-W53", "2015-W53", "2021-W01"]
+    assert quality.bucket_properties(spark).where("holds = 0").isEmpty()
+
+
+def test_percentiles_are_median_and_nearest_rank(spark):
+    df = spark.createDataFrame([(24.0,), (96.0,)], "v double")
+    assert df.agg(rollups.p50("v").alias("a"), rollups.p75("v").alias("b")).first() == (60.0, 96.0)
+
+
+def test_ratios_are_null_without_a_denominator(spark):
+    assert spark.range(1).select(buckets.ratio(F.lit(1), F.lit(0)).alias("x")).first().x is None
+
+
+def test_invariants(activity):
+    assert quality.bucket_mismatches(activity).first().mismatches == 0
+    assert len({r.total for r in quality.conservation(activity).collect()}) == 1
+    catalog = activity.spark.createDataFrame([("quality.defect_ratio",)], "metric_key string")
+    assert quality.without_catalog(rollups.ratio_metrics(activity), catalog).count() == 5
+
+
+def test_cycle_percentiles_agree_with_window_ranks(activity):
+    by_rank = rollups.cycle_percentiles(activity).where("scope = 'org'").select("scope_key", "month_start", "p50", "p75")
+    direct = rollups.scoped(rollups.merged_prs(activity)).where("scope = 'org' and cycle_time_hours is not null").groupBy("scope_key", F.col("merged_month_start").alias("month_start")).agg(rollups.r6(rollups.p50("cycle_time_hours")).alias("p50"), rollups.r6(rollups.p75("cycle_time_hours")).alias("p75"))
+    assert quality.same(by_rank, direct)
+
+
+def test_body_measure(spark):
+    messages = ["subject", "subject\n\nbody line one\nbody two\n", "s\n\nCo-Authored-By: x <y>\n", "s\n\nSee: this \n  indented \r\n", None]
+    df = spark.createDataFrame([(m,) for m in messages], "m string")
+    got = df.select(text.has_body(F.col("m")).alias("h"), text.body_chars(F.col("m")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(0, 0), (1, 21), (0, 0), (1, 10), (None, None)]
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(
+        text.normal_url(F.lit("HTTPS://Ex.Org:443?q=1#f")).alias("u"),
+        text.section(F.lit("# A\nx\n## Goal\none\ntwo\n# B\nz"), "goal").alias("s"),
+        text.blocks(F.lit("<!-- note a --> x <!-- note b -->"), "note").alias("b"),
+        text.for_script(F.lit("</script><!--")).alias("j"),
+    ).first()
+    assert row.u == "https://ex.org/?q=1" and row.s == ["one", "two"] and row.b == ["a", "b"] and row.j == "<\\/script><\\!--"
+
+
+def test_upserts(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, x string, n int")
+    new = spark.createDataFrame([(1, None, 7), (3, "c", 1)], "k int, x string, n int")
+    assert sorted(map(tuple, upsert.preserving(old, new, ["k"]).collect())) == [(1, "a", 7), (2, "b", 6), (3, "c", 1)]
+    assert sorted(r.k for r in upsert.if_absent(old, new, ["k"]).collect()) == [1, 2, 3]
+    assert dict(map(tuple, upsert.lowest(old, new, ["k"], "n").collect())) == {1: 5, 2: 6, 3: 1}
+    assert dict(map(tuple, upsert.accumulated(old, new, ["k"], "n").collect())) == {1: 12, 2: 6, 3: 1}
+    both = old.unionByName(new)
+    assert dict((r.k, r.n) for r in upsert.last_wins(both, ["k"], ["n"]).collect()) == {1: 7, 2: 6, 3: 1}
+
+
+def test_incremental_equals_full(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    arrived = events.where("event_id % 5 = 0")
+    first = arrivals.daily(events.where("event_id % 5 != 0"))
+    assert quality.same(arrivals.recomputed(first, events, arrived), arrivals.daily(events))
+
+
+def test_waves_break_cycles_at_the_weakest_edge(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "b", 0.5), ("b", "d", 1.0)], "src string, dst string, weight double")
+    assert {r.node: r.wave for r in mining.waves(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2}
+
+
+PAGE = '<html lang="en"><head><title>T</title><link rel="canonical" href="/a"><meta name="description" content="d"><meta property="og:title" content="t"><meta property="og:description" content="d"><script type="application/ld+json">{}</script></head><body><h1>x</h1><a href="/b">b</a></body></html>'
+
+
+def test_page_findings(spark):
+    rows = [(1, "https://ex.org/a", PAGE), (2, "http://ex.org/b", "<html><body><h1>1</h1><h1>2</h1><img src=x></body>"), (3, "https://ex.org/c", None), (4, "https://ex.org/d", PAGE.replace("{}", "{").replace('href="/a"', 'href="https://ex.org/z"'))]
+    found = pages.findings(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    codes = {}
+    for r in found.collect():
+        codes.setdefault(r.page_id, set()).add(r.code)
+    assert 1 not in codes
+    assert {"not-https", "canonical-missing", "title-missing", "description-missing", "h1-count", "html-lang-missing", "open-graph-incomplete", "jsonld-static-missing", "image-alt-missing"} == codes[2]
+    assert {"canonical-not-self", "jsonld-invalid"} == codes[4]
+    assert spark.range(1).select(pages.robots_blocks_all(F.lit("User-agent: *\nDisallow: /\n")).alias("x")).first().x
+
+
+def test_sessions(spark):
+    lines = ['data: {"timestamp": "t", "message": {"type": "tool", "tool": "Bash", "text": "x", "is_error": true}}', "data: [DONE]", "noise", "data: {bad"]
+    df = spark.createDataFrame([(1, v) for v in lines], "session int, value string")
+    assert sorted(r.is_bad for r in sessions.events_of(df).collect()) == [False, True]
+    a = spark.createDataFrame([("SV",), ("SV",), ("UB",)], "code string")
+    b = spark.createDataFrame([("SV",), ("CF",)], "code string")
+    assert {r.code: r.trend for r in sessions.trend(a, b).collect()} == {"SV": "worsening", "UB": "worsening", "CF": "improving"}
