@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sharding, suffix_dedup, topk
+from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, oracles, pii, quality, sharding, suffix_dedup, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
@@ -99,4 +99,4 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the corpus queries that SQL expresses."""
-    return {}
+    return dict(oracles.SQL)
