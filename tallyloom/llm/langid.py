@@ -29,6 +29,8 @@ UNKNOWN = "und"
 GRAM_LENGTHS = (4, 3, 2, 1)
 STEP_PENALTY = 0.5
 CACHED = 300_000
+#: Marks taken off a chunk's ends at once, as a shortcut.
+EDGES = ".,;:!?\"'()[]{}%$#&*|-_/"
 
 
 def letters_of(chunk: str) -> list[str]:
@@ -36,6 +38,9 @@ def letters_of(chunk: str) -> list[str]:
     low = chunk.lower()
     if low.isalpha():
         return [low]
+    bare = low.strip(EDGES)
+    if bare.isalpha():
+        return [bare]
     return "".join(c if c.isalpha() else " " for c in low).split()
 
 
@@ -74,95 +79,115 @@ def fit(docs: DataFrame, is_training: Column, text_col: str = "text", lang_col:
 
     counted = rows.mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     words = counted.groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    top = words.orderBy(F.desc("total"), "item").limit(max_words).collect()  # max_words rows at most
-    langs = sorted({lang for r in top for lang in r.by_lang})
+    top = words.orderBy(F.desc("total"), "item").limit(max_words).select("item", "by_lang").toArrow()  # max_words rows at most
+    langs = sorted({lang for entries in top.column("by_lang").to_pylist() for lang, _ in entries})
     place = {lang: i for i, lang in enumerate(langs)}
-
-    def table(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        sums = sum(counts.values()) + 1e-9 if counts else np.ones(len(langs))
-        smooth = 0.5
-        return {k: np.log((v + smooth) / (sums + smooth * len(counts))).astype(np.float32) for k, v in counts.items()}
-
-    known: dict[str, np.ndarray] = {}
-    for r in top:
-        known[r.item] = np.array([r.by_lang.get(lang, 0) for lang in langs], dtype=np.float64)
-    grams: dict[int, dict[str, np.ndarray]] = {n: {} for n in GRAM_LENGTHS}
-    for w, v in known.items():
-        for n in GRAM_LENGTHS:
+    counts = np.zeros((top.num_rows, len(langs)))
+    for i, entries in enumerate(top.column("by_lang").to_pylist()):
+        for lang, n in entries:
+            counts[i, place[lang]] = n
+    known = {w: i for i, w in enumerate(top.column("item").to_pylist())}
+    tables, grams, rows_before = [logged(counts)], {}, len(known)
+    for n in GRAM_LENGTHS:
+        sums: dict[str, np.ndarray] = {}
+        for w, i in known.items():
             for g in grams_of(w, n):
-                have = grams[n].get(g)
+                have = sums.get(g)
                 if have is None:
-                    grams[n][g] = v.copy()
+                    sums[g] = counts[i].copy()
                 else:
-                    have += v
-    kept = {}
-    for n, counts in grams.items():
-        best = sorted(counts, key=lambda g: (-counts[g].sum(), g))[: max_grams // len(GRAM_LENGTHS)]
-        kept[n] = table({g: counts[g] for g in best})
-    return {"langs": langs, "place": place, "words": table(known), "grams": kept}
+                    have += counts[i]
+        best = sorted(sums, key=lambda g: (-sums[g].sum(), g))[: max_grams // len(GRAM_LENGTHS)]
+        grams[n] = {g: rows_before + k for k, g in enumerate(best)}
+        rows_before += len(best)
+        tables.append(logged(np.array([sums[g] for g in best]).reshape(len(best), len(langs))))
+    return {"langs": langs, "words": known, "grams": grams, "matrix": np.vstack(tables)}
+
+
+def logged(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log frequencies per column."""
+    return np.log((counts + smooth) / (counts.sum(axis=0) + smooth * max(1, len(counts)))).astype(np.float32)
 
 
 class Scorer:
-    """Scores of chunks, each computed once while it is cached."""
+    """Scores of texts by their chunks; a chunk's scores are computed once while it is cached."""
 
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.rows: list[np.ndarray] = []
+        self.langs, self.words, self.matrix = model["langs"], model["words"], model["matrix"]
+        self.grams = [(n, model["grams"][n]) for n in GRAM_LENGTHS]
+        self.table = np.zeros((CACHED, len(self.langs) + 1), np.float32)
         self.known: dict[str, int] = {}
 
-    def word(self, w: str) -> np.ndarray:
-        """Log frequencies of a word: its own, or those of its longest known n-grams."""
-        have = self.words.get(w)
-        if have is not None:
-            return have
-        for steps, n in enumerate(GRAM_LENGTHS):
-            found = [x for g in grams_of(w, n) if (x := self.grams[n].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0) - STEP_PENALTY * (steps + 1)
-        return np.full(len(self.langs), -20.0, dtype=np.float32)
-
-    def chunk(self, c: str) -> int:
-        """Row of a chunk: number of words, then sums per language."""
-        words = letters_of(c)
-        row = np.zeros(len(self.langs) + 1)
-        for w in words:
-            row[1:] += self.word(w)
-        row[0] = len(words)
-        self.rows.append(row)
-        if len(c) <= 64:
-            self.known[c] = len(self.rows) - 1
-        return len(self.rows) - 1
+    def learn(self, chunks: list[str]) -> None:
+        """Rows of new chunks: number of words, then sums of their log frequencies per language.
+
+        A word known as such has one entry; another has its longest known n-grams, which count
+        by their mean, less a penalty for the steps.
+        """
+        entries, lengths, penalties, owners = [], [], [], []
+        words, first = self.words, len(self.known)
+        for k, c in enumerate(chunks):
+            self.known[c] = first + k
+            for w in letters_of(c):
+                owners.append(k)
+                have = words.get(w)
+                if have is not None:
+                    entries.append(have)
+                    lengths.append(1)
+                    penalties.append(0.0)
+                    continue
+                for steps, (n, table) in enumerate(self.grams, 1):
+                    found = [x for g in grams_of(w, n) if (x := table.get(g)) is not None]
+                    if found:
+                        entries += found
+                        lengths.append(len(found))
+                        penalties.append(STEP_PENALTY * steps)
+                        break
+                else:
+                    entries.append(0)  # nothing known: alike for all languages
+                    lengths.append(1)
+                    penalties.append(np.inf)
+        if first + len(chunks) > len(self.table):
+            self.table = np.vstack([self.table, np.zeros((first + len(chunks), self.table.shape[1]), np.float32)])
+        rows = self.table[first : first + len(chunks)]
+        rows[:] = 0
+        if owners:
+            n = np.array(lengths)
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            scores = np.add.reduceat(self.matrix[np.array(entries)], starts, axis=0) / n[:, None] - np.array(penalties)[:, None]
+            scores[np.isinf(penalties)] = -20.0
+            at = np.array(owners)
+            rows[:, 0] = np.bincount(at, minlength=len(chunks))
+            for j in range(len(self.langs)):
+                rows[:, j + 1] = np.bincount(at, weights=scores[:, j], minlength=len(chunks))
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.known) > CACHED:
-            self.known, self.rows = {}, []
-        at: list[int] = []
-        ends = []
-        known, new = self.known, self.chunk
-        for t in texts:
-            if t:
-                at.extend([known[c] if c in known else new(c) for c in t.split()])
-            ends.append(len(at))
-        if not self.langs or not at:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        sums = np.zeros((len(texts), len(self.langs) + 1))
-        matrix, places = np.array(self.rows), np.array(at, dtype=np.int64)
-        start = 0
-        for i, end in enumerate(ends):
-            if end > start:
-                ids, n = np.unique(places[start:end], return_counts=True) if end - start > 64 else (places[start:end], 1)
-                sums[i] = (matrix[ids] * (n[:, None] if end - start > 64 else 1)).sum(axis=0)
-            start = end
-        out = []
-        for row in sums:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        split = [t.split() if t else [] for t in texts]
+        filled = [i for i, chunks in enumerate(split) if chunks]
+        if not filled:
+            return out
+        chunks = [c for i in filled for c in split[i]]
+        new = set(chunks).difference(self.known)
+        if len(self.known) + len(new) > CACHED:
+            self.known = {}
+            new = set(chunks)
+        self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        sizes = np.array([len(split[i]) for i in filled])
+        sums = np.add.reduceat(self.table[at].astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        if any(len(c) > 64 for c in new):
+            self.known = {}  # long chunks hardly come again, and would hold memory
+        for i, row in zip(filled, sums):
             if row[0] == 0:
-                out.append((UNKNOWN, 0.0))
                 continue
             mean = row[1:] / row[0]
             best = int(np.argmax(mean))
             # confidence of the mean word, sharpened by how many words agree
             odds = np.exp(np.maximum((mean - mean[best]) * min(math.sqrt(row[0]) * 4, 60.0), -700))
-            out.append((self.langs[best], float(min(1.0, 1.0 / odds.sum()))))
+            out[i] = (self.langs[best], float(min(1.0, 1.0 / odds.sum())))
         return out
 
 
@@ -177,8 +202,8 @@ def annotated(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame
     def run(batches):
         scorer = Scorer(pickle.loads(shared.value))
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 langs, scores = zip(*scorer.texts(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
