@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     groups = ngram_join.linked(docs, n=5, num=80, den=100)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,11 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of one that it takes in part, whole copies to the nearest."""
+    # tables of ids grow with the documents, so they are joined by sorting at any size
     mixed = mixing.mix(docs)
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
     times = written(mixed.where("size > 0").select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).where("_copies > 0"), "mix-copies")
-    repeated = docs.join(times, F.col("doc_id") == F.col("_doc")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    repeated = docs.join(times.hint("merge"), F.col("doc_id") == F.col("_doc")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)
 
 

@@ -209,5 +209,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
     clean = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    # a text without a digit or at sign holds no span and needs no join; the join doesn't change its kind with size
+    may_hold = F.coalesce(text.cast("string").rlike("[0-9@]"), F.lit(False))
+    out = docs.where(may_hold).join(spans.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left")
+    out = out.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    return docs.where(~may_hold).unionByName(out)
