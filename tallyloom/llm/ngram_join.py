@@ -91,13 +91,13 @@ def key64(key: bytes) -> int:
 def profile(shingles: np.ndarray, num: int, den: int) -> bytes:
     """Numbers of shingles per range of hashes, in a power of two of ranges that grows with the set.
 
-    What two profiles differ by is a lower bound of what the sets differ by; that many ranges
-    tell unrelated sets from linked ones.
+    What two profiles differ by is a lower bound of what the sets differ by (also where a number
+    is cut off at a byte); that many ranges tell unrelated sets from linked ones.
     """
     apart = 2 * (den - num) / (den + num)
     ranges = 1 << max(4, math.ceil(math.log2(max(1.0, 4 * (apart / 1.128) ** 2 * len(shingles)))))
     at = (shingles >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64)
-    return np.bincount(at, minlength=ranges).astype("<u4").tobytes()
+    return np.minimum(np.bincount(at, minlength=ranges), 255).astype(np.uint8).tobytes()
 
 
 def survey(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
@@ -186,7 +186,7 @@ def viable(members: DataFrame, num: int, den: int) -> DataFrame:
         if len(rows) < 2:
             return
         sizes = np.array([r[2] for r in rows])
-        counts = [np.frombuffer(r[3], "<u4").astype(np.int32) for r in rows]
+        counts = [np.frombuffer(r[3], np.uint8).astype(np.int32) for r in rows]
         least = min(map(len, counts))
         table = np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
         known, linked_ = Forest(len(rows)), np.zeros(len(rows), bool)
@@ -340,7 +340,8 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     members = written(viable(members, num, den), "block-members")
     counts = members.groupBy("block").agg(F.count("*").alias("size"))
     members = written(members.join(counts, "block"), "blocks")
-    of_text = texts.where("text is not null")
+    # members grow with the documents: the join with their texts is by sorting at any size
+    of_text = texts.where("text is not null").hint("merge")
 
     chunks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
