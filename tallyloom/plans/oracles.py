@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyloom.plans import runbook
+
 MODEL = """
 WITH repos AS (
   SELECT n_nationkey::BIGINT AS repo_id, r_name AS owner, r_name || '/' || n_name AS full_name, CASE WHEN n_nationkey % 12 = 11 THEN 1 ELSE 0 END AS is_shallow
@@ -244,4 +246,4 @@ SELECT week_start, planned, merged, reverts, class AS top_class, round(100.0::DO
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every activity query that SQL expresses."""
-    return dict(SQL)
+    return SQL | runbook.SQL

@@ -13,6 +13,7 @@ from tallyloom.functions.text import blocks, body_chars, capped, flattened, for_
 from tallyloom.operators import classify, gates, mining, pages, quality, rollups, sessions, upsert
 from tallyloom.operators.conform import commits_enriched, prs_enriched
 from tallyloom.operators.rollups import n, r6
+from tallyloom.plans import runbook
 from tallyloom.session import ship, table
 from tallyloom.sources.adapter import Activity
 from tallyloom.streaming import arrivals
@@ -365,4 +366,4 @@ QUERIES = {
 
 def queries() -> dict:
     """Every activity query."""
-    return dict(QUERIES)
+    return QUERIES | runbook.QUERIES
