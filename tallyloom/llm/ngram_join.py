@@ -325,6 +325,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     texts = id_and_text(docs, id_col, text_col)
     rows, classes = survey(texts, n, num, den)
     reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("profile").alias("profile"))
+    reps = written(reps, "classes")
     # the digest's first 8 bytes, as prefixes() names sets; sets that share them only meet in a block
     named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep", "n", "profile")
     part = prefixes(texts, n, num, den, classes)
