@@ -28,7 +28,7 @@ from tallyloom.llm.common import id_and_text
 UNKNOWN = "und"
 GRAM_LENGTHS = (4, 3, 2, 1)
 STEP_PENALTY = 0.5
-CACHED = 300_000
+CACHED = 150_000
 #: Marks taken off a chunk's ends at once, as a shortcut.
 EDGES = ".,;:!?\"'()[]{}%$#&*|-_/"
 
