@@ -48,7 +48,7 @@ BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
 #: Sets of a block whose profiles are compared in one task.
 COMPARED = 2048
 #: Factor between levels of sizes: only sets of sizes that can link meet in a block.
-LEVEL = 1.5
+LEVEL = 1.2
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
 PROBE_COST = 0.01
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -95,7 +95,7 @@ def profile(shingles: np.ndarray, num: int, den: int) -> bytes:
     is cut off at a byte); that many ranges tell unrelated sets from linked ones.
     """
     apart = 2 * (den - num) / (den + num)
-    ranges = 1 << max(4, math.ceil(math.log2(max(1.0, 4 * (apart / 1.128) ** 2 * len(shingles)))))
+    ranges = 1 << max(4, math.ceil(math.log2(max(1.0, 1.5 * (apart / 1.128) ** 2 * len(shingles)))))
     at = (shingles >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64)
     return np.minimum(np.bincount(at, minlength=ranges), 255).astype(np.uint8).tobytes()
 
@@ -148,7 +148,7 @@ def survey(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, np.n
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(shingle, set): the prefix shingles of every set; a task gives those of equal sets once."""
+    """(shingle, set, n): the prefix shingles and size of every set; a task gives those of equal sets once."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -156,7 +156,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -
     def run(batches):
         shingler, order, seen = Shingler(n), shared.value, set()
         for batch in batches:
-            shingles, sets = [], []
+            shingles, sets, sizes = [], [], []
             for text in batch.column(1):
                 s = shingler(text.as_py())
                 if not len(s) or (key := key64(digest(s))) in seen:
@@ -166,10 +166,11 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -
                 rare = np.lexsort((s, order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]
                 shingles.append(s[rare].view(np.int64))
                 sets.append(np.full(first, key, np.int64))
+                sizes.append(np.full(first, len(s), np.int32))
             if shingles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(sets))], names=["shingle", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shingles, sets, sizes)], names=["shingle", "set", "n"])
 
-    return docs.mapInArrow(run, "shingle long, set long")
+    return docs.mapInArrow(run, "shingle long, set long, n int")
 
 
 def viable(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -333,7 +334,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     shared = written(shared, "shared-shingles")
     # a set is at its own level of sizes, and at those that larger sets it can link with are at
     levels = F.sequence(level(F.col("n")), level(F.col("n") * den / num * (1 + 1e-9)))
-    hits = part.join(shared, "shingle").distinct().join(named.select("set", "n").distinct(), "set").select("shingle", "set", F.explode(levels).alias("level"))
+    hits = part.join(shared, "shingle").select("shingle", "set", F.explode(levels).alias("level"))
     hits = written(hits, "shared-prefixes")
     groups = hits.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
     members = hits.join(groups, ["shingle", "level"]).select(F.xxhash64("level", "low").alias("block"), "set").distinct()
