@@ -48,7 +48,7 @@ BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
 #: Sets of a block whose profiles are compared in one task.
 COMPARED = 2048
 #: Factor between levels of sizes: only sets of sizes that can link meet in a block.
-LEVEL = 1.2
+LEVEL = 1.5
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
 PROBE_COST = 0.01
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -329,15 +329,12 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     reps = written(reps, "classes")
     # the digest's first 8 bytes, as prefixes() names sets; sets that share them only meet in a block
     named = reps.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("set"), "rep", "n", "profile")
-    part = prefixes(texts, n, num, den, classes)
-    shared = part.groupBy("shingle").agg(F.min("set").alias("one"), F.max("set").alias("other")).where("one < other").select("shingle")
-    shared = written(shared, "shared-shingles")
     # a set is at its own level of sizes, and at those that larger sets it can link with are at
     levels = F.sequence(level(F.col("n")), level(F.col("n") * den / num * (1 + 1e-9)))
-    hits = part.join(shared, "shingle").select("shingle", "set", F.explode(levels).alias("level"))
-    hits = written(hits, "shared-prefixes")
-    groups = hits.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
-    members = hits.join(groups, ["shingle", "level"]).select(F.xxhash64("level", "low").alias("block"), "set").distinct()
+    part = prefixes(texts, n, num, den, classes).select("shingle", "set", F.explode(levels).alias("level"))
+    groups = part.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
+    groups = written(groups.select("shingle", "level", F.xxhash64("level", "low").alias("block")), "shared-shingles")
+    members = part.join(groups, ["shingle", "level"]).select("block", "set").distinct()
     members = members.join(named, "set").select("block", F.col("rep").alias("doc_id"), "n", "profile")
     members = written(viable(members, num, den), "block-members")
     counts = members.groupBy("block").agg(F.count("*").alias("size"))
