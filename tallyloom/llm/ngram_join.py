@@ -350,20 +350,25 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
 
     large = members.where(F.col("size") > BLOCK)
     if not large.isEmpty():
-        links = written(links.unionByName(rest(members.where(F.col("size") > BLOCK), links, of_text, n, num, den)), "links")
+        more = rest(large, links, texts.where("text is not null"), n, num, den)
+        links = links if more is None else written(links.unionByName(more), "links")
     comps = components(links)
     out = rows.join(reps.select("key", "rep"), "key", "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def rest(large: DataFrame, links: DataFrame, of_text: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links of large blocks' sets that chunks did not connect to the block's first set."""
+def rest(large: DataFrame, links: DataFrame, of_text: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+    """Links of large blocks' sets that chunks did not connect to the block's first set; None if all are."""
     comps = components(links)
     labelled = large.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
     firsts = labelled.where("first").groupBy("block").agg(F.min("label").alias("first_label"))
     labelled = written(labelled.join(firsts, "block"), "large-blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int")
     apart = labelled.where(F.col("label") != F.col("first_label"))
+    if apart.isEmpty():
+        return None
+    # blocks in which nothing is apart are done
+    labelled = labelled.join(apart.select("block").distinct(), "block", "left_semi")
     n_apart = apart.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
     # every set as something to be found, in as many copies as there are chunks of queries
     found = labelled.join(n_apart, "block").select("block", own.alias("chunk"), F.explode(F.sequence(F.lit(1), F.col("others"))).alias("other"), F.lit(False).alias("asks"), "doc_id")
