@@ -320,6 +320,25 @@ def test_mixing_meets_targets(spark, odd, none):
     assert mixing.mix(odd).count() == len(TEXTS) and mixing.mix(none).count() == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, "big", words(i, 100)) for i in range(300)] + [(1000 + i, f"s{i:02}", words(1000 + i, 1 + i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    _, goal = mix_brute([(s, t) for _, s, t in rows])
+    taken = Counter()
+    for r in mixing.mix(df, n_slots=256).collect():
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 1000, 1024])
+def test_slots_are_counted_as_they_lie(spark, n):
+    bits = max(1, (max(n, 2) - 1).bit_length())
+    points = [int(f"{i:0{bits}b}"[::-1], 2) / (1 << bits) for i in range(n)]
+    xs = [k / 97 for k in range(98)] + [0.5, 0.75, 1.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", mixing.slots_before(F.col("x"), n).alias("c")).collect()
+    assert [(r.x, r.c) for r in got] == [(x, sum(p < x for p in points)) for x in xs]
+
+
 # ---- PII
 
 
