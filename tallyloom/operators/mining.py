@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,29 +26,31 @@ def hotspots(changes: DataFrame, item: str, size: str, author: str) -> DataFrame
     return per.withColumn("score", F.round(F.col("churn") * F.col("size").cast("double"), 6))
 
 
-def waves(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, wave): wave 0 has no open dependency; edges (src, dst, weight) say dst waits for src.
 
-    When only cycles are left, the weakest edge (smallest weight, then src, dst) is dropped.
+    When only cycles are left, the weakest edge (smallest weight, then src, dst; a null weight is
+    the smallest) is dropped. Rounds go on until every node has its wave: each one closes nodes or
+    drops an edge. A null node waits for nothing; an edge with a null end is none.
     State stays in DataFrames; every round cuts its lineage by checkpoint.
     """
     spark = nodes.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
     open_nodes, open_edges = nodes.select("node").distinct().checkpoint(), edges.select("src", "dst", "weight").where("src != dst").distinct().checkpoint()
-    done = None
-    for wave in range(most):
+    done, wave = open_nodes.limit(0).select("node", F.lit(0).alias("wave")), 0
+    while not open_nodes.isEmpty():
         free = open_nodes.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").checkpoint()
         if free.isEmpty():
-            if open_nodes.isEmpty():
-                break
-            weakest = open_edges.orderBy("weight", "src", "dst").limit(1)
-            open_edges = open_edges.join(weakest, ["src", "dst", "weight"], "left_anti").checkpoint()
+            weakest = open_edges.orderBy("weight", "src", "dst").limit(1).toDF("_src", "_dst", "_weight")
+            same = (F.col("src") == F.col("_src")) & (F.col("dst") == F.col("_dst")) & F.col("weight").eqNullSafe(F.col("_weight"))
+            open_edges = open_edges.join(weakest, same, "left_anti").checkpoint()
             continue
-        layer = free.withColumn("wave", F.lit(wave))
-        done = layer if done is None else done.unionByName(layer)
-        open_nodes = open_nodes.join(free, "node", "left_anti").checkpoint()
+        done = done.unionByName(free.select("node", F.lit(wave).alias("wave")))
+        wave += 1
+        if wave % 32 == 0:  # the plan stays short
+            done = done.checkpoint()
+        closed = free.select(F.col("node").alias("_node"))
+        open_nodes = open_nodes.join(closed, F.col("node").eqNullSafe(F.col("_node")), "left_anti").checkpoint()
         open_edges = open_edges.join(free.withColumnRenamed("node", "src"), "src", "left_anti").checkpoint()
-    rank = F.dense_rank().over(Window.orderBy("wave")) - 1  # waves, not nodes, are ranked
-    numbered = done.select("wave").distinct().withColumn("n", rank)
-    return done.join(numbered, "wave").select("node", F.col("n").cast("int").alias("wave"))
+    return done.select("node", F.col("wave").cast("int").alias("wave"))

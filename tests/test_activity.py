@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import buckets, text
 from tallyloom.operators import mining, pages, quality, rollups, sessions, upsert
+from tallyloom.plans import registry
 from tallyloom.sources.adapter import Activity
 from tallyloom.streaming import arrivals
 
@@ -88,6 +89,37 @@ def test_waves_break_cycles_at_the_weakest_edge(spark):
     assert {r.node: r.wave for r in mining.waves(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2}
 
 
+def waves_brute(nodes, edges):
+    nodes, edges, out, wave = set(nodes), {e for e in edges if e[0] != e[1]}, {}, 0
+    while nodes:
+        free = nodes - {e[1] for e in edges}
+        if free:
+            out |= dict.fromkeys(free, wave)
+            wave += 1
+            nodes -= free
+            edges = {e for e in edges if e[0] not in free}
+        else:
+            edges.remove(min(edges, key=lambda e: (e[2] is not None, e[2] or 0, e[0], e[1])))
+    return out
+
+
+def test_waves_of_odd_graphs(spark):
+    # three cycles of three, the first before the second, a pair and a loop
+    edges = [(i, i // 3 * 3 + (i + 1) % 3, None if i == 4 else i / 2) for i in range(9)] + [(2, 3, 9.0), (9, 10, 1.0), (7, 7, 0.0)]
+    nodes = [*range(11), None]
+    got = mining.waves(spark.createDataFrame([(x,) for x in nodes], "node int"), spark.createDataFrame(edges, "src int, dst int, weight double"))
+    assert {r.node: r.wave for r in got.collect()} == waves_brute(nodes, edges)
+    assert mining.waves(spark.createDataFrame([], "node int"), spark.createDataFrame([], "src int, dst int, weight double")).count() == 0
+
+
+def test_waves_cover_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    orders = [(r[0], float(r[1])) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").collect()]
+    keys = {k for k, _ in orders}
+    wanted = waves_brute(keys, {(k // 3, k, w) for k, w in orders if k > 1 and k // 3 in keys})
+    assert {r.node: r.wave for r in registry.queries()["q42_topological_waves"](spark, sf_dir).collect()} == wanted
+
+
 PAGE = '<html lang="en"><head><title>T</title><link rel="canonical" href="/a"><meta name="description" content="d"><meta property="og:title" content="t"><meta property="og:description" content="d"><script type="application/ld+json">{}</script></head><body><h1>x</h1><a href="/b">b</a></body></html>'
 
 
