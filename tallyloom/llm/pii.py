@@ -3,7 +3,7 @@
 Base: four regular expressions with their checks (address parts, Luhn, numbers of digits).
 
 Method: base matches are the seeds. A lexical pattern is the pair of words to the left and to
-the right of a token. Patterns and the instances seen in them form a graph. Round by round a
+the right of a token, or the border of its line or text. Patterns and the instances seen in them form a graph. Round by round a
 pattern's confidence for a kind is the mean score of its distinct instances for that kind, and
 a candidate (a token with digits or an at sign that no base match touches) scores the noisy-or
 of its patterns' confidences. Patterns count when enough distinct instances support them; candidates of a
@@ -47,8 +47,12 @@ HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A token with a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-#: Distinct instances a pattern needs, confidence and score that count, rounds, code points of context read.
-SUPPORT, CONFIDENT, ROUNDS, AROUND = 5, 0.9, 3, 60
+#: The word that ends or begins a piece of text, spaces aside.
+LAST_WORD, FIRST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)\x20*+\z", r"^\x20*+([^\x20\x09-\x0D]++)"
+#: Stands for the neighbour at a line's or text's border; no word holds it.
+BORDER = "\n"
+#: Distinct instances a pattern needs, confidence and score that count, rounds.
+SUPPORT, CONFIDENT, ROUNDS = 5, 0.9, 3
 
 
 def luhn(digits: Column) -> Column:
@@ -78,12 +82,13 @@ def valid(kind: str, match: Column) -> Column:
 def located(texts: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -> DataFrame:
     """(doc_id, key, kind, match, start, stop, left, right) of every match of every pattern.
 
-    left and right are the words next to it, in lower case, empty at a line's or text's border.
+    left and right are the whole words next to it, in lower case, empty at a line's or text's border.
+    Next to another match of its kind, the word is read from that match and the gap beyond it.
     """
     entries = []
     for kind, pattern in patterns.items():
         hint = hints.get(kind, "")
-        has = F.instr("text", hint) > 0 if hint else F.col("digit")
+        has = F.lit(True) if kind == "token" else F.instr("text", hint) > 0 if hint else F.col("digit")
         entries.append(F.when(has, F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"))))
     with_matches = texts.where(F.col("digit") | (F.instr("text", "@") > 0)).withColumn("entry", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull() & (F.size(e["matches"]) > 0))))
     gaps = None
@@ -92,19 +97,26 @@ def located(texts: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -
         gaps = F.when(F.col("entry.kind") == kind, cut) if gaps is None else gaps.when(F.col("entry.kind") == kind, cut)
     cut = with_matches.withColumn("gaps", gaps)
     n = F.size("entry.matches")
-    # a right neighbour is the start of the next gap
+    none = F.array(F.lit(None).cast("string"))
     zipped = F.arrays_zip(
         F.col("entry.matches").alias("match"),
-        F.transform(F.slice("gaps", F.lit(1), n), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(AROUND)).alias("tail"))).alias("before"),
-        F.transform(F.slice("gaps", F.lit(2), n), lambda g: F.left(g, F.lit(AROUND))).alias("after"),
+        F.slice("gaps", F.lit(1), n).alias("before"),
+        F.slice("gaps", F.lit(2), n).alias("after"),
+        F.concat(none, F.slice("entry.matches", F.lit(1), n - 1)).alias("match_before"),
+        F.concat(none, F.slice("gaps", F.lit(1), n - 1)).alias("gap_before"),
+        F.slice("entry.matches", F.lit(2), n).alias("match_after"),
+        F.slice("gaps", F.lit(3), n).alias("gap_after"),
     )
     rows = cut.select("doc_id", "key", "row", F.col("entry.kind").alias("kind"), F.posexplode(zipped).alias("i", "m"))
-    rows = rows.select("doc_id", "key", "row", "kind", "i", F.col("m.match").alias("match"), F.col("m.before.n").alias("gap"), F.col("m.before.tail").alias("tail"), F.col("m.after").alias("head"))
+    # an empty gap or one of spaces lies between two matches; at a text's border the outer ones are null
+    blank = r"^\x20*+\z"
+    before = F.when(F.col("m.before").rlike(blank), F.concat(F.coalesce("m.gap_before", F.lit("")), F.coalesce("m.match_before", F.lit("")), "m.before")).otherwise(F.col("m.before"))
+    after = F.when(F.col("m.after").rlike(blank), F.concat("m.after", F.coalesce("m.match_after", F.lit("")), F.coalesce("m.gap_after", F.lit("")))).otherwise(F.col("m.after"))
+    left, right = F.lower(F.regexp_extract(before, LAST_WORD, 1)), F.lower(F.regexp_extract(after, FIRST_WORD, 1))
+    rows = rows.select("doc_id", "key", "row", "kind", "i", F.col("m.match").alias("match"), F.length("m.before").alias("gap"), left.alias("left"), right.alias("right"))
     order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.col("gap") + F.length("match")).over(order)
-    left = F.lower(F.regexp_extract("tail", r"([^\x20\x09-\x0D]++)\x20*+$", 1))
-    right = F.lower(F.regexp_extract("head", r"^\x20*+([^\x20\x09-\x0D]++)", 1))
-    return rows.select("doc_id", "key", "kind", "match", (stop - F.length("match")).alias("start"), stop.alias("stop"), left.alias("left"), right.alias("right"))
+    return rows.select("doc_id", "key", "kind", "match", (stop - F.length("match")).alias("start"), stop.alias("stop"), "left", "right")
 
 
 def untouched(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -121,9 +133,10 @@ def untouched(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 def bootstrapped(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, key, start, stop, kind) of the candidates that confident patterns discover."""
-    pattern = F.concat_ws("\t", "left", "right")
-    known = seeds.where("left != '' and right != ''").select(pattern.alias("pattern"), F.concat_ws(":", "kind", "match").alias("instance"), "kind").distinct()
-    open_ = candidates.where("left != '' and right != ''").select(pattern.alias("pattern"), F.col("match").alias("instance")).distinct()
+    sides = [F.when(F.col(side) == "", F.lit(BORDER)).otherwise(F.col(side)) for side in ("left", "right")]
+    pattern = F.concat_ws("\t", *sides)
+    known = seeds.select(pattern.alias("pattern"), F.concat_ws(":", "kind", "match").alias("instance"), "kind").distinct()
+    open_ = candidates.select(pattern.alias("pattern"), F.col("match").alias("instance")).distinct()
     known, open_ = written(known, "pii-seeds"), written(open_, "pii-candidates")
     # per pattern: how many distinct instances of each kind, and of all
     sure = known.groupBy("pattern", "kind").agg(F.count("*").alias("sure"))

@@ -386,6 +386,19 @@ def test_contexts_discover_what_patterns_miss(spark):
     assert got[3] == "email:12:26"
 
 
+def test_contexts_without_digits_at_borders_and_of_long_words(spark):
+    long = "w" * 90
+    rows = [(i, f"please mail user{i}@host.org today , thanks") for i in range(20)] + [(100, "please mail anna@host today , thanks")]
+    rows += [(200 + i, f"x\nContact: c{i}@host.org\nnext") for i in range(20)] + [(300, "y\nContact: c(at)7\nnext"), (301, "Contact: bob@host")]
+    rows += [(400 + i, f"a{long} l{i}@host.org b{long}") for i in range(20)] + [(500, f"a{long} l@host b{long}"), (501, f"c{long} l(at)9 b{long}")]
+    # the neighbour of a match may be a match of its kind
+    rows += [(600 + i, f"q a@b.cd n{i}@host.org z") for i in range(20)] + [(700, "q a@b.cd n@host z"), (701, "\nm@host z")]
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "email:12:21" and got[300] == "email:11:17" and got[301] == "email:9:17"
+    assert got[500] == "email:92:98" and got[501] == ""
+    assert got[700] == "email:2:8,email:9:15" and got[701] == ""
+
+
 def test_masking(spark, odd):
     df = spark.createDataFrame([(1, "to a@b.cd, 10.0.0.1 end"), (2, "clean"), (3, None), (3, "x@y.zz")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text or "") for r in pii.masked(df).collect()) == [(1, "to <email>, <ip> end"), (2, "clean"), (3, ""), (3, "<email>")]
