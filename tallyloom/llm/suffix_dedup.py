@@ -368,6 +368,12 @@ def divided(members: DataFrame, length: int) -> list[DataFrame]:
 # ---- the operator -----------------------------------------------------------------------
 
 
+def joined_by_text(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """texts with other's columns, by doc_id and key; a null doc_id is one like any other."""
+    other = other.withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    return texts.join(other, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), how).drop("_doc", "_key")
+
+
 def contexts(members: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Members (gram, doc_id, key, pos) with the bytes that windows at them can hold on each side."""
     import pyarrow as pa
@@ -387,7 +393,7 @@ def contexts(members: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["node", "first", "last", "doc_id", "key", "pos", "left", "right"])
 
-    joined = texts.join(by_text, ["doc_id", "key"]).select("doc_id", "key", F.col("text").cast("binary"), "marks")
+    joined = joined_by_text(texts, by_text, "inner").select("doc_id", "key", F.col("text").cast("binary"), "marks")
     return joined.mapInArrow(run, "node long, first int, last int, doc_id long, key long, pos int, left binary, right binary")
 
 
@@ -414,7 +420,7 @@ def cut_out(texts: DataFrame, intervals: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], names=names)
 
-    joined = texts.join(per, ["doc_id", "key"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    joined = joined_by_text(texts, per, "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -249,6 +249,19 @@ def test_dedup_on_odd_tables(odd, none):
     assert suffix_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [50_000, 3])
+def test_dedup_of_null_and_repeated_ids(spark, odd, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    passage = words(9, 60)
+    rows = [(None if i < 2 else 7, words(50 + i, 30) + " " + passage + " " + words(80 + i, 20 + i)) for i in range(4)] + [(8, "other " + passage[:230])]
+    rows += [(None, words(60, 40) + words(11, 50)), (9, words(61, 40) + words(11, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert both(suffix_dedup.deduplicated(df).collect(), *columns) == dedup_brute([t for _, t in rows], 200)
+    small = odd.where("coalesce(length(text), 0) < 10000")
+    assert both(suffix_dedup.deduplicated(small).collect(), *columns) == dedup_brute([t for _, t in TEXTS if t is None or len(t) < 10_000], 200)
+
+
 def test_deep_shallow_sorts_like_bytes():
     rng = random.Random(5)
     strings = [b"prefix" * 20 + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 90))) for _ in range(300)] + [b"prefix" * 20] * 3
