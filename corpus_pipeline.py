@@ -24,11 +24,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by five-word shingles at 0.8, the document of the smallest id stays."""
+    """Of every group linked by five-word shingles at 0.8, the document of the smallest id stays.
+
+    Documents are told apart by id and text, so a null id is one like any other (it comes last) and
+    different texts of one id are different documents. Of rows of one id and text one stays: the
+    least by all columns, with nulls first. Texts without words are in groups of their own.
+    """
     ship(spark)
-    groups = ngram_join.linked(docs, n=5, num=80, den=100)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    keyed = docs.select(row.alias("_row"), "doc_id", "text")
+    groups = ngram_join.linked(keyed, n=5, num=80, den=100, id_col="_row").select(F.col("doc_id").alias("_label"), F.col("component_id").alias("_group")).distinct()
+    ids = keyed.select("_row", "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = ids.join(groups.hint("merge"), F.col("_row") == F.col("_label")).groupBy("_group").agg(best.alias("best")).select(F.col("best._row").alias("_kept"))
+    mine = docs.withColumn("_row", row).join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi")
+    return mine.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in docs.columns])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +48,16 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of one that it takes in part, whole copies to the nearest."""
-    # tables of ids grow with the documents, so they are joined by sorting at any size
-    mixed = mixing.mix(docs)
+    # tables of ids grow with the documents, so they are joined by sorting at any size; a row is known by all its columns
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    docs = docs.withColumn("_row", row)
+    mixed = mixing.mix(docs, keep=("_row",))
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    times = written(mixed.where("size > 0").select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).where("_copies > 0"), "mix-copies")
-    repeated = docs.join(times.hint("merge"), F.col("doc_id") == F.col("_doc")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    per_row = mixed.where("size > 0").groupBy("_row").agg(F.sum(copies).cast("int").alias("_copies"))
+    times = written(per_row.select(F.col("_row").alias("_mixed"), "_copies").where("_copies > 0"), "mix-copies")
+    each = docs.dropDuplicates(["_row"])  # equal rows are counted in the copies
+    repeated = each.join(times.hint("merge"), F.col("_row") == F.col("_mixed")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[c for c in docs.columns if c != "_row"])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

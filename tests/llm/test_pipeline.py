@@ -33,6 +33,25 @@ def test_stages_take_effect(spark):
     assert len(last) == len(kept["mixture"]) and all(r.n_tokens > 0 for r in last)
 
 
+def test_null_and_repeated_ids_keep_their_documents(spark):
+    base = words(1, 200).split()
+    near = " ".join(base[:100] + ["other"] + base[101:])
+    rows = [(None, words(2, 60), "s0"), (None, words(3, 60), "s0"), (7, words(4, 60), "s0"), (7, words(5, 50), "s1"), (7, words(5, 50), "s0"), (None, " ".join(base), "s1"), (9, near, "s1"), (8, near, "s1")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, "")
+    shown = lambda df: sorted(((-1 if r.doc_id is None else r.doc_id), r.text, r.source) for r in df.collect())
+    assert kept.columns == COLUMNS
+    assert shown(kept) == sorted([(-1, words(2, 60), "s0"), (-1, words(3, 60), "s0"), (7, words(4, 60), "s0"), (7, words(5, 50), "s0"), (8, near, "s1")])
+    # a source that is taken three times over: every row of it, whatever its id
+    rows = [(None, words(20 + i, 20), "a") for i in range(3)] + [(7, words(30 + i, 20), "a") for i in range(3)] + [(7, words(30, 20), "a")] + [(100 + i, words(40 + i, 40), "b") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], docs.schema).repartition(3)
+    mixed = stages["mixture"](spark, docs, "")
+    assert mixed.columns == COLUMNS
+    got = shown(mixed.where("source = 'a'"))
+    assert got == sorted([((-1 if i is None else i), t, s) for i, t, s in rows if s == "a"] * 3)
+
+
 def test_names():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
