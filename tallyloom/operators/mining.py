@@ -8,15 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cooccurrence(changes: DataFrame, change: str, item: str, least: int = 2, widest: int = 100) -> DataFrame:
-    """Pairs of items changed together at least `least` times.
+#: Changes of up to so many items are paired in a row; larger ones in chunks of about so many.
+CHUNK = 100
 
-    Changes of more than `widest` items are sweeping ones that say nothing about coupling, and
-    are left out by definition; so a change gives a bounded number of pairs.
+
+def cooccurrence(changes: DataFrame, change: str, item: str, least: int = 2) -> DataFrame:
+    """Pairs of items changed together at least `least` times, whatever the size of the changes.
+
+    Items of fewer changes than that can be in no result and go first. The items of a large change
+    are dealt into chunks, and each pair of chunks is joined by itself.
     """
-    sets = changes.select(change, item).distinct().groupBy(change).agg(F.sort_array(F.collect_list(item)).alias("items")).where(F.size("items").between(2, widest))
+    every = changes.select(F.col(change).alias("change"), F.col(item).alias("item")).distinct()
+    often = every.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("item").alias("often"))
+    kept = every.join(often, F.col("item") == F.col("often"), "left_semi")
+    wide = kept.groupBy("change").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("change").alias("wide"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    large = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")))
+    small = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")), "left_anti")
+
+    sets = small.groupBy("change").agg(F.sort_array(F.collect_list("item")).alias("items"))  # at most CHUNK
     first = sets.select(F.posexplode("items").alias("i", "a"), "items")
     pairs = first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
+
+    own, all_ = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = large.select("change", F.col("item").alias("a"), own.alias("x"), all_.alias("y"))
+    right = large.select(F.col("change").alias("_change"), F.col("item").alias("b"), own.alias("_y"), all_.alias("_x"))
+    same = F.col("change").eqNullSafe(F.col("_change")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("a") < F.col("b"))
+    pairs = pairs.unionByName(left.join(right, same).select("a", "b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 

@@ -89,6 +89,21 @@ def test_waves_break_cycles_at_the_weakest_edge(spark):
     assert {r.node: r.wave for r in mining.waves(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2}
 
 
+def test_cooccurrence_of_large_changes(spark):
+    rows = [("big", i) for i in range(250)] + [("wide", i) for i in range(240, 400)] + [("c", 3), ("c", 7), ("c", 7), ("d", 245), ("d", 3), ("e", None), (None, 3), (None, 7), ("f", 999)]
+    sets, together = {}, {}
+    for c, i in rows:
+        if i is not None:
+            sets.setdefault(c, set()).add(i)
+    for items in sets.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    together[a, b] = together.get((a, b), 0) + 1
+    got = mining.cooccurrence(spark.createDataFrame(rows, "c string, i int"), "c", "i", 2).collect()
+    assert {(r.a, r.b): r.together for r in got} == {p: n for p, n in together.items() if n >= 2}
+
+
 def waves_brute(nodes, edges):
     nodes, edges, out, wave = set(nodes), {e for e in edges if e[0] != e[1]}, {}, 0
     while nodes:
