@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.buckets import hours, start
-from tallyloom.sources.adapter import Activity
+from tallyloom.sources.adapter import Activity, first_agent
 
 
 def steerer_state() -> Column:
@@ -15,10 +15,9 @@ def steerer_state() -> Column:
 
 
 def commits_enriched(a: Activity) -> DataFrame:
-    """Every commit with both attributions and its buckets; trailers are grouped once, then joined."""
-    agents = a.trailers.where("is_ai = 1").groupBy("sha").agg(F.min("agent_key").alias("executor_agent_key"))
-    joined = a.commits.join(a.repos, "repo_id").join(a.identities, "identity_id", "left").join(agents, "sha", "left")
-    return joined.select(
+    """Every commit with both attributions and its buckets."""
+    agent = F.col("agents").isNotNull()
+    return a.commits.join(a.repos, "repo_id").select(
         "repo_id",
         F.col("full_name").alias("repo_full_name"),
         "owner",
@@ -33,20 +32,20 @@ def commits_enriched(a: Activity) -> DataFrame:
         start("month", "authored_at").alias("month_start"),
         "is_merge",
         "insertions",
-        F.col("executor_agent_key").isNotNull().cast("int").alias("is_ai_assisted"),
+        agent.cast("int").alias("is_ai_assisted"),
         F.col("login").isNull().cast("int").alias("is_unattributed"),
         F.coalesce("is_bot", F.lit(0)).alias("is_bot"),
         steerer_state().alias("steerer_state"),
-        F.when(F.col("executor_agent_key").isNotNull(), "agent").otherwise("unknown").alias("executor_state"),
-        "executor_agent_key",
+        F.when(agent, "agent").otherwise("unknown").alias("executor_state"),
+        first_agent(F.col("agents")).alias("executor_agent_key"),
+        "agents",
     )
 
 
 def prs_enriched(a: Activity) -> DataFrame:
     """Every review with class, attribution pair, cycle time and merge buckets."""
-    assisted = a.trailers.where("is_ai = 1").select("pr_id").distinct().withColumn("agent", F.lit(1))
-    joined = a.pull_requests.join(a.repos, "repo_id").join(a.identities, "identity_id", "left").join(a.classifications, "pr_id", "left").join(assisted, "pr_id", "left")
-    return joined.select(
+    agent = F.col("agents").isNotNull()
+    return a.pull_requests.join(a.repos, "repo_id").select(
         "pr_id",
         "repo_id",
         F.col("full_name").alias("repo_full_name"),
@@ -64,9 +63,9 @@ def prs_enriched(a: Activity) -> DataFrame:
         F.when(F.col("merged_at").isNotNull() & F.col("first_commit_at").isNotNull(), hours(F.col("first_commit_at"), F.col("merged_at"))).alias("cycle_time_hours"),
         F.coalesce("class", F.lit("unclassified")).alias("class"),
         F.coalesce("is_revert", F.lit(0)).alias("is_revert"),
-        F.coalesce("agent", F.lit(0)).alias("is_ai_assisted"),
+        agent.cast("int").alias("is_ai_assisted"),
         steerer_state().alias("steerer_state"),
-        F.when(F.col("agent") == 1, "agent").otherwise("unknown").alias("executor_state"),
+        F.when(agent, "agent").otherwise("unknown").alias("executor_state"),
     )
 
 
@@ -84,3 +83,14 @@ def scoped(df: DataFrame) -> DataFrame:
     """Every row once for its repository and once for its organisation."""
     scopes = F.array(F.struct(F.lit("repo").alias("scope"), F.col("repo_full_name").alias("scope_key")), F.struct(F.lit("org").alias("scope"), F.col("owner").alias("scope_key")))
     return df.withColumn("_s", F.explode(scopes)).select("*", "_s.scope", "_s.scope_key").drop("_s")
+
+
+def per_person(rows: DataFrame, buckets: list[str], **measures: Column) -> DataFrame:
+    """Measures (sums) of every scope, bucket and person.
+
+    Rows are counted per repository and person before they are scoped, so only counts are doubled;
+    distinct people then are rows, and no distinct count expands the facts.
+    """
+    who = ["identity_id", "steerer_state"]
+    counted = rows.groupBy("repo_full_name", "owner", *buckets, *who).agg(*[m.alias(name) for name, m in measures.items()])
+    return scoped(counted).groupBy("scope", "scope_key", *buckets, *who).agg(*[F.sum(name).alias(name) for name in measures])

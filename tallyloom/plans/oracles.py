@@ -73,7 +73,10 @@ m AS (SELECT scope, scope_key, period_start, 'quality.defect_ratio' AS metric_ke
   UNION ALL SELECT scope, scope_key, period_start, 'quality.revert_rate', reverts, classified FROM w UNION ALL SELECT scope, scope_key, period_start, 'impact.innovation_ratio', feature, classified FROM w
   UNION ALL SELECT scope, scope_key, period_start, 'adoption.ai_pr_share', assisted, merged FROM w UNION ALL SELECT scope, scope_key, period_start, 'meta.unclassified_pr_share', unclassified, merged FROM w
   UNION ALL SELECT scope, scope_key, period_start, 'meta.unknown_steerer_pr_share', unknown, merged FROM w)
-SELECT scope, scope_key, period_start, metric_key, numerator, denominator, round(100.0::DOUBLE * numerator / nullif(denominator, 0), 6) AS value FROM m
+SELECT m.scope, m.scope_key, m.period_start, metric_key, numerator, denominator, round(100.0::DOUBLE * numerator / nullif(denominator, 0), 6) AS value, denominator AS sample_size,
+  CASE WHEN unclassified > 0 AND (metric_key LIKE 'quality.%' OR metric_key LIKE 'impact.%') THEN unclassified || ' unclassified' END AS note
+FROM m JOIN w ON m.scope = w.scope AND m.scope_key = w.scope_key AND m.period_start = w.period_start
+UNION ALL SELECT scope, scope_key, period_start, u.k, NULL, NULL, NULL, NULL, u.why FROM w, (VALUES ('effectiveness.dxi', 'unavailable: taken from a survey, not from activity'), ('risk.ownership_concentration', 'unavailable: defined by file path, and paths are not read')) u(k, why)
 """
 
 COMMIT_METRICS = """
@@ -83,9 +86,17 @@ m AS (SELECT scope, scope_key, period_start, 'adoption.ai_commit_share' AS metri
   UNION ALL SELECT scope, scope_key, period_start, 'adoption.ai_commit_share_known_steerer', known_agent, known, 100.0 FROM w UNION ALL SELECT scope, scope_key, period_start, 'adoption.executor_unknown_share', unknown_exec, commits, 100.0 FROM w
   UNION ALL SELECT scope, scope_key, period_start, 'adoption.contributors_with_ai_share', with_agent, contributors, 100.0 FROM w UNION ALL SELECT scope, scope_key, period_start, 'leverage.commits_per_steerer', known, steerers, 1.0 FROM w
   UNION ALL SELECT scope, scope_key, period_start, 'meta.unknown_steerer_share', unknown, commits, 100.0 FROM w UNION ALL SELECT scope, scope_key, period_start, 'meta.identity_resolution_pct', known, commits, 100.0 FROM w)
-SELECT scope, scope_key, period_start, metric_key, numerator, denominator, round(s * numerator / nullif(denominator, 0), 6) AS value FROM m
+SELECT m.scope, m.scope_key, m.period_start, metric_key, numerator, denominator, round(s * numerator / nullif(denominator, 0), 6) AS value, denominator AS sample_size,
+  CASE WHEN unknown > 0 AND metric_key IN ('adoption.ai_commit_share_known_steerer', 'leverage.commits_per_steerer') THEN unknown || ' without a known steerer' END AS note
+FROM m JOIN w ON m.scope = w.scope AND m.scope_key = w.scope_key AND m.period_start = w.period_start
 """
 
+#: Changes of personal median cycle times, with DAYS on each side and LEAST reviews.
+CYCLE_DELTA = """, u AS (SELECT max(authored_at)::DATE AS last_day FROM cc), f AS (SELECT firsts.* FROM firsts, u WHERE first_at::DATE + DAYS <= last_day),
+  p AS (SELECT f.scope, f.scope_key, f.identity_id, count(*) FILTER (merged_at < f.first_at) AS bn, count(*) FILTER (merged_at >= f.first_at) AS an, quantile_cont(CASE WHEN merged_at < f.first_at THEN cycle_time_hours END, 0.5) AS bp, quantile_cont(CASE WHEN merged_at >= f.first_at THEN cycle_time_hours END, 0.5) AS ap
+    FROM f JOIN mps c ON c.scope = f.scope AND c.scope_key = f.scope_key AND c.identity_id = f.identity_id AND c.steerer_state = 'known' AND cycle_time_hours IS NOT NULL AND merged_at >= f.first_at - INTERVAL DAYS DAY AND merged_at < f.first_at + INTERVAL DAYS DAY GROUP BY ALL)
+SELECT scope, scope_key, count(*) AS people, round(quantile_cont(100.0::DOUBLE * (ap - bp) / bp, 0.5), 6) AS median_delta_pct FROM p WHERE bn >= LEAST AND an >= LEAST AND bp > 0 GROUP BY ALL"""
+
 CI = """
 WITH l AS (SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 'r': l_returnflag, 's': l_linestatus} ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS ls FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
 b AS (SELECT o_orderkey AS k, coalesce(ls, []) AS ls FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
@@ -171,11 +182,13 @@ SELECT scope, scope_key, week_start, coalesce(prs_opened, 0) AS prs_opened, coal
     + """, a AS (SELECT scope, scope_key, date_trunc('month', first_at)::DATE AS month_start FROM firsts), d AS (SELECT * FROM (SELECT DISTINCT scope, scope_key FROM a), (SELECT unnest(generate_series((SELECT min(month_start) FROM a), (SELECT max(month_start) FROM a), INTERVAL 1 MONTH))::DATE AS month_start))
 SELECT scope, scope_key, month_start, (SELECT count(*) FROM a WHERE a.scope = d.scope AND a.scope_key = d.scope_key AND a.month_start = d.month_start) AS new_adopters, (SELECT count(*) FROM a WHERE a.scope = d.scope AND a.scope_key = d.scope_key AND a.month_start <= d.month_start) AS adopters FROM d""",
     "q12_before_after_volume": MODEL
-    + """, p AS (SELECT f.scope_key, f.identity_id, count(*) FILTER (authored_at < first_at) AS b, count(*) FILTER (authored_at >= first_at) AS a FROM firsts f JOIN ccs c ON c.scope = 'org' AND c.scope_key = f.scope_key AND c.identity_id = f.identity_id AND c.steerer_state = 'known' AND authored_at >= first_at - INTERVAL 90 DAY AND authored_at < first_at + INTERVAL 90 DAY WHERE f.scope = 'org' GROUP BY ALL)
-SELECT scope_key, count(*) AS people, round(quantile_cont(100.0::DOUBLE * (a - b) / b, 0.5), 6) AS median_delta_pct, sum(b)::BIGINT AS commits_before, sum(a)::BIGINT AS commits_after FROM p WHERE b > 0 GROUP BY 1""",
-    "q13_before_after_cycle": MODEL
-    + """, p AS (SELECT f.scope_key, f.identity_id, count(*) FILTER (merged_at < f.first_at) AS bn, count(*) FILTER (merged_at >= f.first_at) AS an, quantile_cont(CASE WHEN merged_at < f.first_at THEN cycle_time_hours END, 0.5) AS bp, quantile_cont(CASE WHEN merged_at >= f.first_at THEN cycle_time_hours END, 0.5) AS ap FROM firsts f JOIN mps c ON c.scope = 'org' AND c.scope_key = f.scope_key AND c.identity_id = f.identity_id AND c.steerer_state = 'known' AND merged_at >= f.first_at - INTERVAL 1800 DAY AND merged_at < f.first_at + INTERVAL 1800 DAY WHERE f.scope = 'org' GROUP BY ALL)
-SELECT scope_key, count(*) AS people, round(quantile_cont(100.0::DOUBLE * (ap - bp) / bp, 0.5), 6) AS median_delta_pct FROM p WHERE bn >= 3 AND an >= 3 AND bp > 0 GROUP BY 1""",
+    + """, u AS (SELECT max(authored_at)::DATE AS last_day FROM cc), f AS (SELECT firsts.* FROM firsts, u WHERE first_at::DATE + 90 <= last_day),
+  p AS (SELECT f.scope, f.scope_key, f.identity_id, count(*) FILTER (authored_at < first_at) AS b, count(*) FILTER (authored_at >= first_at) AS a FROM f JOIN ccs c ON c.scope = f.scope AND c.scope_key = f.scope_key AND c.identity_id = f.identity_id AND c.steerer_state = 'known' AND authored_at >= first_at - INTERVAL 90 DAY AND authored_at < first_at + INTERVAL 90 DAY GROUP BY ALL)
+SELECT scope, scope_key, count(*) AS people, round(quantile_cont(100.0::DOUBLE * (a - b) / b, 0.5), 6) AS median_delta_pct, sum(b)::BIGINT AS commits_before, sum(a)::BIGINT AS commits_after FROM p WHERE b > 0 GROUP BY ALL""",
+    "q13_before_after_cycle": MODEL + CYCLE_DELTA.replace("DAYS", "90").replace("LEAST", "3"),
+    "q13b_cycle_after_adoption": MODEL + CYCLE_DELTA.replace("DAYS", "730").replace("LEAST", "1"),
+    "q13c_first_trailer_dates": MODEL
+    + ", s AS (SELECT scope, scope_key, authored_at, agent_key, row_number() OVER (PARTITION BY scope, scope_key ORDER BY authored_at, agent_key) AS rk FROM ccs WHERE is_ai_assisted = 1) SELECT scope, scope_key, authored_at::DATE AS first_ai_trailer_date, agent_key FROM s WHERE rk = 1",
     "q14_author_period": MODEL
     + """, c AS (SELECT identity_id, repo_full_name, week_start, count(*) AS commits, sum(insertions) AS insertions, count(*) FILTER (is_ai_assisted = 1) AS ai_commits FROM cc WHERE identity_id IS NOT NULL GROUP BY ALL), p AS (SELECT identity_id, repo_full_name, merged_week AS week_start, count(*) AS prs_merged FROM mp WHERE identity_id IS NOT NULL GROUP BY ALL)
 SELECT identity_id, repo_full_name, week_start, coalesce(commits, 0) AS commits, coalesce(ai_commits, 0) AS ai_commits, coalesce(prs_merged, 0) AS prs_merged, coalesce(insertions, 0.0) AS insertions FROM c FULL JOIN p USING (identity_id, repo_full_name, week_start)""",

@@ -313,6 +313,8 @@ QUERIES = {
     "q11_adopters_cumulative": over(rollups.adopters_cumulative),
     "q12_before_after_volume": over(rollups.before_after_volume),
     "q13_before_after_cycle": over(rollups.before_after_cycle),
+    "q13b_cycle_after_adoption": over(rollups.cycle_after_adoption),
+    "q13c_first_trailer_dates": over(rollups.first_trailer_dates),
     "q14_author_period": over(rollups.author_period),
     "q15_spine_dense": over(rollups.spine_dense),
     "q16_top_n_fold": over(rollups.top_n_fold),

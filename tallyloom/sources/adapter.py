@@ -5,13 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.session import table
 
-#: What makes two versions of a commit comparable: the latest by all of these wins.
-VERSION = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+#: What makes two versions of a commit comparable: the latest by these wins. Later columns can't change what is read of it.
+VERSION = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+#: Agents that sign commits; a commit's are a set of bits.
+AGENTS = tuple(f"agent_{i}" for i in range(5))
+
+
+def agents_in(bits: Column) -> Column:
+    """Keys of the agents in a set of bits, in order."""
+    return F.filter(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(AGENTS)]), lambda x: x.isNotNull())
+
+
+def first_agent(bits: Column) -> Column:
+    """The smallest key in a set of bits, else NULL."""
+    return F.coalesce(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(AGENTS)])
 
 
 @dataclass(frozen=True)
@@ -36,61 +48,58 @@ class Activity:
             (F.col("n_nationkey") % 12 == 11).cast("int").alias("is_shallow"),
         )
 
-    @cached_property
-    def identities(self) -> DataFrame:
-        """identity_id, login, is_bot, is_excluded."""
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("identity_id"),
-            F.col("c_name").alias("login"),
-            (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("is_bot"),
-            (F.col("c_acctbal") < -700).cast("int").alias("is_excluded"),
-        )
-
     @cached_property
     def owned(self) -> DataFrame:
-        """Orders with repository and author; every tenth order has no known author."""
-        joined = self.raw("orders").join(self.raw("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        """Orders with repository and author, joined with people once; every tenth order has no known author."""
+        people = self.raw("customer").select("c_custkey", "c_nationkey", "c_name", (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("bot"), (F.col("c_acctbal") < -700).cast("int").alias("shut"))
+        joined = self.raw("orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+        known = F.col("o_orderkey") % 10 != 0
+        kind = F.create_map(*map(F.lit, ("1-URGENT", "bugfix", "2-HIGH", "feature", "3-MEDIUM", "chore", "5-LOW", "revert")))
         return joined.select(
             F.col("o_orderkey").alias("pr_id"),
             F.col("c_nationkey").cast("long").alias("repo_id"),
-            F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("identity_id"),
+            F.when(known, F.col("o_custkey")).alias("identity_id"),
+            F.when(known, F.col("c_name")).alias("login"),
+            F.when(known, F.col("bot")).alias("is_bot"),
+            F.when(known, F.col("shut")).alias("is_excluded"),
             "o_orderstatus",
             F.col("o_orderdate").alias("created_at"),
-            "o_orderpriority",
+            kind[F.col("o_orderpriority")].alias("class"),
         )
 
+    @property
+    def signed(self) -> Column:
+        """The bit of the agent whose trailer a line is, else NULL."""
+        return F.when(F.col("l_returnflag") == "R", F.expr("shiftleft(1, cast(l_suppkey % 5 as int))"))
+
     @cached_property
     def pull_requests(self) -> DataFrame:
-        """Reviews with their first change and, if merged, the time of merging."""
-        spans = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_commit_at"), F.max("l_shipdate").alias("last_at"))
+        """Reviews with class (NULL if unspecified), first change, agents and, if merged, the time of merging; changes are read once."""
+        spans = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_commit_at"), F.max("l_shipdate").alias("last_at"), F.bit_or(self.signed).alias("agents"))
         state = F.when(F.col("o_orderstatus") == "F", "MERGED").when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED")
         joined = self.owned.join(spans, F.col("pr_id") == F.col("l_orderkey"), "left")
-        return joined.select("pr_id", "repo_id", "identity_id", state.alias("state"), "created_at", "first_commit_at", F.when(F.col("o_orderstatus") == "F", F.col("last_at")).alias("merged_at"))
-
-    @cached_property
-    def classifications(self) -> DataFrame:
-        """pr_id, class, is_revert; unspecified priorities have no row."""
-        kind = F.create_map(*map(F.lit, ("1-URGENT", "bugfix", "2-HIGH", "feature", "3-MEDIUM", "chore", "5-LOW", "revert")))
-        rows = self.owned.select("pr_id", kind[F.col("o_orderpriority")].alias("class"))
-        return rows.where(F.col("class").isNotNull()).withColumn("is_revert", (F.col("class") == "revert").cast("int"))
+        person = ("identity_id", "login", "is_bot", "is_excluded")
+        return joined.select("pr_id", "repo_id", *person, state.alias("state"), "created_at", "first_commit_at", F.when(F.col("o_orderstatus") == "F", F.col("last_at")).alias("merged_at"), "class", (F.col("class") == "revert").cast("int").alias("is_revert"), "agents")
 
     @cached_property
     def commits(self) -> DataFrame:
-        """Latest version of each (order, line): an upsert with an explicit total order, combined map-side."""
-        latest = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*VERSION)).alias("v"))
-        joined = latest.join(self.owned.select("pr_id", "repo_id", "identity_id"), F.col("l_orderkey") == F.col("pr_id"))
+        """Latest version of each (order, line) and the agents of all its versions, from one aggregate combined map-side.
+
+        The time is a measure of its own, so that queries that read nothing else of the version aggregate by hash.
+        """
+        latest = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("authored_at"), F.max(F.struct(*VERSION))["l_quantity"].alias("quantity"), F.bit_or(self.signed).alias("agents"))
+        owner = self.owned.select("pr_id", "repo_id", "identity_id", "login", "is_bot", "is_excluded")
+        joined = latest.join(owner, F.col("l_orderkey") == F.col("pr_id"))
         return joined.select(
             "repo_id",
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sha"),
             "pr_id",
             "identity_id",
-            F.col("v.l_shipdate").alias("authored_at"),
+            "login",
+            "is_bot",
+            "is_excluded",
+            "authored_at",
             (F.col("l_linenumber") == 7).cast("int").alias("is_merge"),
-            F.col("v.l_quantity").cast("double").alias("insertions"),
+            F.col("quantity").cast("double").alias("insertions"),
+            "agents",
         )
-
-    @cached_property
-    def trailers(self) -> DataFrame:
-        """Co-author trailers: several agents may sign one commit."""
-        rows = self.raw("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sha"), F.concat(F.lit("agent_"), F.col("l_suppkey") % 5).alias("agent_key"), (F.col("l_returnflag") == "R").cast("int").alias("is_ai"))
-        return rows.distinct().withColumnRenamed("l_orderkey", "pr_id")

@@ -39,7 +39,7 @@ def test_invariants(activity):
     assert quality.bucket_mismatches(activity).first().mismatches == 0
     assert len({r.total for r in quality.conservation(activity).collect()}) == 1
     catalog = activity.spark.createDataFrame([("quality.defect_ratio",)], "metric_key string")
-    assert quality.without_catalog(rollups.ratio_metrics(activity), catalog).count() == 5
+    assert quality.without_catalog(rollups.ratio_metrics(activity), catalog).count() == 7
 
 
 def test_cycle_percentiles_agree_with_window_ranks(activity):
