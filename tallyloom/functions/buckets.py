@@ -50,3 +50,9 @@ def hours(first: Column, last: Column) -> Column:
 def ratio(a: Column, b: Column, scale: float = 100.0) -> Column:
     """scale * a / b in doubles; NULL where b is 0 or NULL."""
     return F.lit(scale) * a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+
+
+def window_start(until: Column, days: int = 0, months: int = 0) -> Column:
+    """First day of a window that ends at until; an empty bound is refused when it is read."""
+    first = F.add_months(F.date_sub(until, days), -months)
+    return F.when(first.isNull(), F.raise_error(F.lit("no bound of the window"))).otherwise(first)

@@ -12,18 +12,35 @@ from tallyloom.functions.text import capped
 
 # Vocabularies of the classification rules, by the class they mean.
 TYPE_CLASS = {
-    "feature": "feat feature", "bugfix": "fix bugfix bug hotfix security sec", "refactor": "perf refactor remove cleanup deprecate",
-    "chore": "style build ci chore infra ops config release", "docs": "docs doc", "test": "test tests spec specs", "deps": "deps dep", "revert": "revert",
-}
+    "feature": ["feat", "feature"],
+    "bugfix": ["fix", "bugfix", "bug", "hotfix", "security", "sec"],
+    "refactor": ["perf", "refactor", "remove", "cleanup", "deprecate"],
+    "chore": ["style", "build", "ci", "chore", "infra", "ops", "config", "release"],
+    "docs": ["docs", "doc"],
+    "test": ["test", "tests", "spec", "specs"],
+    "deps": ["deps", "dep"],
+    "revert": ["revert"],
+}
 LABEL_CLASS = {
-    "bugfix": "bug|bugfix|bug-fix|defect|regression|fix|hotfix|security", "feature": "feature|enhancement|feat|new feature|new-feature|improvement",
-    "docs": "documentation|docs|doc", "test": "test|tests|testing", "refactor": "refactor|refactoring|tech-debt|technical-debt|cleanup|performance|perf",
-    "chore": "chore|maintenance|housekeeping|ci|build|infrastructure|infra|release", "revert": "revert", "deps": "dependencies|deps|dependency|dependabot|renovate",
-}
+    "bugfix": ["bug", "bugfix", "bug-fix", "defect", "regression", "fix", "hotfix", "security"],
+    "feature": ["feature", "enhancement", "feat", "new feature", "new-feature", "improvement"],
+    "docs": ["documentation", "docs", "doc"],
+    "test": ["test", "tests", "testing"],
+    "refactor": ["refactor", "refactoring", "tech-debt", "technical-debt", "cleanup", "performance", "perf"],
+    "chore": ["chore", "maintenance", "housekeeping", "ci", "build", "infrastructure", "infra", "release"],
+    "revert": ["revert"],
+    "deps": ["dependencies", "deps", "dependency", "dependabot", "renovate"],
+}
 BRANCH_CLASS = {
-    "feature": "feature feat features", "bugfix": "fix bugfix bug fixes hotfix patch", "chore": "chore task maint maintenance ci build release rel", "docs": "docs doc",
-    "refactor": "refactor refac cleanup perf", "test": "test tests", "deps": "deps dependencies",
-}
+    "feature": ["feature", "feat", "features"],
+    "bugfix": ["fix", "bugfix", "bug", "fixes", "hotfix", "patch"],
+    "chore": ["chore", "task", "maint", "maintenance", "ci", "build", "release", "rel"],
+    "docs": ["docs", "doc"],
+    "refactor": ["refactor", "refac", "cleanup", "perf"],
+    "test": ["test", "tests"],
+    "deps": ["deps", "dependencies"],
+}
+# Branches of promotions and of dependency tools, verbs of titles, agents and machines.
 PROMOTED, TARGETS = ("develop", "dev", "staging", "stage", "release", "rc"), ("main", "master", "production", "prod", "release", "stable")
 DEPENDENCY_BRANCH = r"^(dependabot|renovate|snyk-fix|greenkeeper|depfu|pyup|whitesource|mend)[/_-]"
 VERBS = [
@@ -42,13 +59,13 @@ AGENTS = [
 ]
 BOTS = [
     r"\[bot\]$", r"^dependabot", r"^renovate", r"^snyk-", r"^greenkeeper", r"^github-actions", r"^ci-agent-app$", r"^claude(-|$)", r"^copilot(-|$)", r"^web-flow$", r"^imgbot", r"^allcontributors", r"^codecov", r"^semantic-release-bot$",
-    r"^dxm-machine-", r"^cursoragent$", r"^devin-ai-integration", r"^sweep-ai", r"^codegen-sh", r"^ona-agent",
+    r"^cursoragent$", r"^devin-ai-integration", r"^sweep-ai", r"^codegen-sh", r"^ona-agent",
 ]
 
 
-def lookup(by_class: dict[str, str], sep: str) -> Column:
+def lookup(by_class: dict[str, list[str]]) -> Column:
     """A map literal from word to class."""
-    pairs = [(w, c) for c, words in by_class.items() for w in words.split(sep)]
+    pairs = [(w, c) for c, words in by_class.items() for w in words]
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
 
 
@@ -64,7 +81,7 @@ def classified(rows: DataFrame, heuristics: bool = True) -> DataFrame:
     low = rows.withColumns({"_t": F.lower(blank["title"]), "_h": F.lower(blank["head_ref"]), "_b": F.lower(blank["base_ref"]), "_l": label_set(blank["label_csv"])})
     prefix = r"^([a-z][a-z-]*)(\([^)]*\))?!?:"
     low = low.withColumns({"_type": F.regexp_extract("_t", prefix, 1), "_scope": F.regexp_replace(F.regexp_extract("_t", prefix, 2), r"[()]", ""), "_seg": F.when(F.col("_h").rlike(r"^[a-z0-9._]+[/_-]"), F.regexp_extract("_h", r"^([a-z0-9._]+)[/_-]", 1)).when(F.col("_h").rlike("^[a-z]+$"), F.col("_h")).otherwise("")})
-    types, labels, branches = lookup(TYPE_CLASS, " "), lookup(LABEL_CLASS, "|"), lookup(BRANCH_CLASS, " ")
+    types, labels, branches = lookup(TYPE_CLASS), lookup(LABEL_CLASS), lookup(BRANCH_CLASS)
     low = low.withColumns({"_class": F.array_distinct(F.filter(F.transform("_l", lambda x: labels[x]), lambda c: c.isNotNull())), "_hit": F.array_min(F.filter("_l", lambda x: labels[x].isNotNull())), "_verb": F.regexp_replace(F.regexp_replace("_t", r"^\[[^\]]*\][ \t]*", ""), r"^[a-z0-9/_.-]+:[ \t]+", "")})
     t, h, kind, labelled = F.col("_t"), F.col("_h"), F.col("_type"), F.col("_l")
 
@@ -120,6 +137,6 @@ def agent_of(trailer: Column) -> Column:
     return first_pattern(trailer, AGENTS)
 
 
-def bot_reason(login: Column, account_type: Column) -> Column:
-    """Why a login is a machine: the account type, else the first pattern, else NULL."""
-    return F.when(account_type == "Bot", "account_type").otherwise(first_pattern(login, [(p, p) for p in BOTS]))
+def bot_reason(login: Column, account_type: Column, own: tuple[str, ...] = ()) -> Column:
+    """Why a login is a machine: the account type, else the first pattern (one's own come last), else NULL."""
+    return F.when(account_type == "Bot", "account_type").otherwise(first_pattern(login, [(p, p) for p in [*BOTS, *own]]))

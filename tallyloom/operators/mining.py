@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import shared_dir
 
 #: Changes of up to so many items are paired in a row; larger ones in chunks of about so many.
 CHUNK = 100
@@ -15,26 +14,23 @@ CHUNK = 100
 def cooccurrence(changes: DataFrame, change: str, item: str, least: int = 2) -> DataFrame:
     """Pairs of items changed together at least `least` times, whatever the size of the changes.
 
-    Items of fewer changes than that can be in no result and go first. The items of a large change
-    are dealt into chunks, and each pair of chunks is joined by itself.
+    Items of fewer changes than that can be in no result and go first. The items of a change are
+    dealt into chunks; a cell holds one chunk or two, so no row grows with the largest change.
+    A change or item that is null counts as one like any other, but a null item pairs with nothing.
     """
-    every = changes.select(F.col(change).alias("change"), F.col(item).alias("item")).distinct()
-    often = every.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("item").alias("often"))
-    kept = every.join(often, F.col("item") == F.col("often"), "left_semi")
-    wide = kept.groupBy("change").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("change").alias("wide"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    large = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")))
-    small = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")), "left_anti")
-
-    sets = small.groupBy("change").agg(F.sort_array(F.collect_list("item")).alias("items"))  # at most CHUNK
-    first = sets.select(F.posexplode("items").alias("i", "a"), "items")
-    pairs = first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-
-    own, all_ = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    left = large.select("change", F.col("item").alias("a"), own.alias("x"), all_.alias("y"))
-    right = large.select(F.col("change").alias("_change"), F.col("item").alias("b"), own.alias("_y"), all_.alias("_x"))
-    same = F.col("change").eqNullSafe(F.col("_change")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("a") < F.col("b"))
-    pairs = pairs.unionByName(left.join(right, same).select("a", "b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    every = changes.select(F.col(change).alias("change"), F.col(item).alias("item")).where("item is not null").distinct()
+    often = every.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item")
+    kept = every.join(often, "item", "left_semi")
+    wide = kept.groupBy("change").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("change").alias("wide"), F.ceil(F.col("n") / CHUNK).cast("int").alias("m"))
+    sized = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")), "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    mine = sized.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    x, y = F.least("chunk", "other"), F.greatest("chunk", "other")
+    of = lambda which: F.collect_list(F.when(F.col("chunk") == which, F.col("item")))
+    cells = mine.groupBy("change", x.alias("x"), y.alias("y")).agg(of(x).alias("xs"), of(y).alias("ys"))
+    first = cells.select("xs", "ys", (F.col("x") == F.col("y")).alias("one"), F.posexplode("xs").alias("i", "a"))
+    rest = F.when(F.col("one"), F.slice("xs", F.col("i") + 2, F.size("xs"))).otherwise(F.col("ys"))
+    pairs = first.select("a", F.explode(rest).alias("b"))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
 def hotspots(changes: DataFrame, item: str, size: str, author: str) -> DataFrame:
@@ -51,9 +47,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     drops an edge. A null node waits for nothing; an edge with a null end is none.
     State stays in DataFrames; every round cuts its lineage by checkpoint.
     """
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
+    shared_dir(nodes.sparkSession)  # where checkpoints go
     open_nodes, open_edges = nodes.select("node").distinct().checkpoint(), edges.select("src", "dst", "weight").where("src != dst").distinct().checkpoint()
     done, wave = open_nodes.limit(0).select("node", F.lit(0).alias("wave")), 0
     while not open_nodes.isEmpty():

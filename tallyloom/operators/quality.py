@@ -41,9 +41,36 @@ def without_catalog(metrics: DataFrame, catalog: DataFrame) -> DataFrame:
     return metrics.select("metric_key").distinct().join(catalog.select("metric_key"), "metric_key", "left_anti")
 
 
+def undisclosed(catalog: DataFrame) -> DataFrame:
+    """Proxy metrics that do not say what they stand for or cannot see."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return catalog.where((F.col("is_proxy") == 1) & (blank("proxy_statement") | blank("cannot_see"))).select("metric_key")
+
+
+def unfinished(runs: DataFrame, own: int | None = None) -> DataFrame:
+    """Runs still marked as running besides one's own: their cursors may not be trusted."""
+    other = F.lit(True) if own is None else F.col("run_id") != own
+    return runs.where((F.col("status") == "running") & other).select("run_id")
+
+
+def limited(due: DataFrame, order: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of what is due, and (due, taken, deferred), so that a limited pass never looks complete."""
+    counts = due.agg(F.count("*").alias("due")).select("due", F.least("due", F.lit(most)).alias("taken"), F.greatest(F.col("due") - most, F.lit(0)).alias("deferred"))
+    return due.orderBy(order).limit(most), counts
+
+
+#: The most needles that one pass looks for.
+NEEDLES = 200
+
+
 def identifiers_in(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
-    """Texts that hold an email-shaped string or any needle (a few names; ignoring case)."""
+    """Texts that hold an email-shaped string or any needle, ignoring case, wherever it stands in the text.
+
+    Needles are counted first; they become one column expression, so texts are read once and never joined.
+    """
+    names = [r.needle for r in needles.select(F.lower("needle").alias("needle")).distinct().limit(NEEDLES + 1).collect()]
+    if len(names) > NEEDLES:
+        raise ValueError(f"more than {NEEDLES} needles")
     low = F.lower(F.col(text))
-    shaped = texts.where(F.col(text).rlike(EMAIL)).withColumn("found", F.lit("email-shaped"))
-    named = texts.join(F.broadcast(needles), F.contains(low, F.lower("needle"))).withColumn("found", F.col("needle")).drop("needle")
-    return shaped.unionByName(named)
+    hits = F.filter(F.array(*[F.when(low.contains(x), F.lit(x)) for x in names], F.when(F.col(text).rlike(EMAIL), F.lit("email-shaped"))), lambda x: x.isNotNull())
+    return texts.select("*", F.explode(hits).alias("found"))

@@ -13,6 +13,10 @@ SUSPECT = [
     ("Thumbs.db", "thumbnails"), ("*.swp", "swap file"), ("*.swo", "swap file"), (".idea/", "IDE config"), (".vscode/launch.json", "debug config"), ("*.sqlite", "database"), ("*.db", "database"),
 ]
 ENVIRONMENTS, REGIONS_NEEDED = ("local", "preview", "production"), 2
+#: What a captcha contract and a translated page must assert, and words of templates.
+CAPTCHA_ASSERTIONS, VISIBLE_REGIONS, TEMPLATES = ("renders", "token", "submission", "success-ui", "backend-boundary"), ("header", "main", "form", "footer"), "booster-pack|example|template|changeme|localhost"
+#: The most globs of an override file.
+GLOBS = 500
 
 
 def suspect_file(path: Column) -> Column:
@@ -74,10 +78,12 @@ def resolution(source: Column, have: Column, interrupted: Column, resolved: Colu
 def resolved_identities(emails: DataFrame, rules: DataFrame) -> DataFrame:
     """emails (email, login) with override rules (line, directive, key, value) applied: the last matching line wins.
 
-    Literal addresses join by equality; globs (a few lines of a file) are matched by pattern.
+    Literal addresses join by equality; globs, at most ``GLOBS`` lines of a file, are matched by pattern.
     """
     usable = rules.where("error is null and directive = 'email'")
-    globs = [(r.line, r.key, r.value) for r in usable.where(F.col("key").rlike(r"[*?]")).orderBy("line").collect()]  # lines of a file
+    globs = [(r.line, r.key, r.value) for r in usable.where(F.col("key").rlike(r"[*?]")).orderBy("line").limit(GLOBS + 1).collect()]
+    if len(globs) > GLOBS:
+        raise ValueError(f"more than {GLOBS} globs")
     exact = usable.where(~F.col("key").rlike(r"[*?]")).groupBy(F.lower("key").alias("email")).agg(F.max(F.struct("line", "value")).alias("x"))
     hits = [F.when(F.col("email").rlike(glob_regex(key)), F.struct(F.lit(line).cast("long").alias("line"), F.lit(value).alias("value"))) for line, key, value in globs]
     none = F.lit(None).cast("struct<line:bigint,value:string>")
@@ -116,41 +122,52 @@ def review_promotion(verdict: Column, live: Column, state: Column) -> Column:
 CONFIG = "repo string, environments map<string,struct<url:string,mode:string,captcha:string,site_key:string>>, critical array<string>"
 
 
-def contract_findings(configs: DataFrame, flows: DataFrame, mode: str = "production") -> DataFrame:
+def contract_findings(configs: DataFrame, flows: DataFrame, mode: str = "production", expected: str | None = None) -> DataFrame:
     """(config_id, code, subject) of everything wrong with configurations (config_id, config) and their flows.
 
-    flows: (config_id, name, interactive, captcha, evidence, locales). An unreadable or missing
-    part is a finding, never a pass.
+    flows: (config_id, name, readable, interactive, captcha, captcha_optional, assertions, evidence,
+    kind, regions, locales). An unreadable or missing part is a finding, never a pass; of an
+    unreadable configuration or flow nothing else is said.
     """
-    c = F.from_json("config", CONFIG)
-    rows = configs.select("config_id", c.alias("c"))
+    c = F.from_json("config", CONFIG, {"mode": "PERMISSIVE"})
+    rows = configs.select("config_id", c.alias("c"), F.try_parse_json("config").isNotNull().alias("readable"))
     env = F.coalesce(F.col("c.environments"), F.create_map().cast("map<string,struct<url:string,mode:string,captcha:string,site_key:string>>"))
     repo = F.coalesce(F.col("c.repo"), F.lit(""))
     at = lambda name, field: F.try_element_at(env, F.lit(name))[field]
-    shaped = repo.rlike(r"^[^/\s]+/[^/\s]+$")
+    no, shaped = F.lit(False), repo.rlike(r"^[^/\s]+/[^/\s]+$")
     url = F.coalesce(at("production", "url"), F.lit(""))
     code = lambda cond, name, subject="": F.when(cond, F.struct(F.lit(name).alias("code"), (subject if isinstance(subject, Column) else F.lit(subject)).alias("subject")))
+    spaced = lambda name: F.coalesce(at(name, "site_key") != F.trim(at(name, "site_key")), no)
     rules = [
         code(~shaped, "identity-missing"),
-        code(shaped & F.lower(repo).rlike("example|template|placeholder"), "template-identity", repo),
+        code(shaped & F.lower(repo).rlike(TEMPLATES), "template-identity", repo),
+        *([code(shaped & (F.lower(repo) != expected.lower()), "identity-mismatch", repo)] if expected else []),
+        code(F.col("c.environments").isNull(), "environments-missing"),
         *[code(~F.map_contains_key(env, F.lit(e)), f"environment-{e}-missing") for e in ENVIRONMENTS],
         code(~(url.rlike("^https://") & ~url.rlike("localhost|127\\.0\\.0\\.1")), "production-url-invalid", url),
-        code(~F.coalesce(at("local", "captcha").isin("disabled", "required"), F.lit(False)), "local-captcha-implicit"),
-        code(~F.coalesce(at("preview", "mode").isin("on-demand", "existing", "disabled"), F.lit(False)), "preview-mode-invalid"),
-        code(F.coalesce(at("production", "site_key") != F.trim(at("production", "site_key")), F.lit(False)), "captcha-site-key-whitespace"),
+        code(~F.coalesce(at("local", "captcha").isin("disabled", "required"), no), "local-captcha-implicit"),
+        code(~F.coalesce(at("preview", "mode").isin("on-demand", "existing", "disabled"), no), "preview-mode-invalid"),
+        *[code(spaced(e), "captcha-site-key-whitespace", e) for e in ("preview", "production")],
         code(F.size(F.coalesce(F.col("c.critical"), F.array().cast("array<string>"))) == 0, "critical-smoke-empty"),
     ]
-    own = rows.select("config_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("f")).select("config_id", "f.*")
-    wanted = rows.select("config_id", F.explode("c.critical").alias("name"), F.coalesce(at("production", "captcha"), F.lit("")).alias("required")).where(F.trim("name") != "")
-    joined = wanted.join(flows.withColumn("known", F.lit(True)), ["config_id", "name"], "left")
-    live = F.lit(mode in ("production", "cron"))
+    said = F.when(F.col("readable"), F.filter(F.array(*rules), lambda x: x.isNotNull())).otherwise(F.array(code(F.lit(True), "config-unreadable")))
+    own = rows.select("config_id", F.explode(said).alias("f")).select("config_id", "f.*")
+    wanted = rows.where("readable").select("config_id", F.explode("c.critical").alias("name"), F.coalesce(at("production", "captcha"), F.lit("")).alias("required")).where(F.trim("name") != "")
+    joined = wanted.join(flows.withColumnRenamed("readable", "known"), ["config_id", "name"], "left")
+    live, seen = F.lit(mode in ("production", "cron")), F.lit(mode in ("production", "preview", "cron"))
+    words = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    lacks = lambda have, need: F.size(F.array_except(F.array(*map(F.lit, need)), words(F.col(have)))) > 0
+    captcha, i18n, name = F.coalesce("captcha", no), F.coalesce(F.col("kind") == "i18n", no), F.col("name")
     flow_rules = [
-        code(F.col("known").isNull(), "critical-flow-missing", F.col("name")),
-        code(F.coalesce("interactive", F.lit(False)) & (F.coalesce("evidence", F.lit("")) != "required"), "interactive-browser-evidence-required", F.col("name")),
-        code(live & F.coalesce("captcha", F.lit(False)) & (F.col("required") != "required"), "production-captcha-not-required", F.col("name")),
-        code(F.coalesce(F.size("locales") < REGIONS_NEEDED, F.lit(False)) & (F.size("locales") > 0), "i18n-locales-incomplete", F.col("name")),
+        code(seen & (F.coalesce("interactive", no) | captcha) & (F.coalesce("evidence", F.lit("")) != "required"), "interactive-browser-evidence-required", name),
+        code(live & captcha & F.coalesce("captcha_optional", no), "production-captcha-optional", name),
+        code(live & captcha & lacks("assertions", CAPTCHA_ASSERTIONS), "captcha-contract-incomplete", name),
+        code(live & captcha & (F.col("required") != "required"), "production-captcha-not-required"),
+        code(i18n & lacks("regions", VISIBLE_REGIONS), "i18n-visible-copy-incomplete", name),
+        code(i18n & (F.size(words(F.col("locales"))) < REGIONS_NEEDED), "i18n-locales-incomplete", name),
     ]
-    of_flows = joined.select("config_id", F.explode(F.filter(F.array(*flow_rules), lambda x: x.isNotNull())).alias("f")).select("config_id", "f.*")
+    told = F.when(F.col("known").isNull(), F.array(code(F.lit(True), "critical-flow-missing", name))).when(~F.col("known"), F.array(code(F.lit(True), "flow-unreadable", name))).otherwise(F.filter(F.array(*flow_rules), lambda x: x.isNotNull()))
+    of_flows = joined.select("config_id", F.explode(told).alias("f")).select("config_id", "f.*")
     return own.unionByName(of_flows.distinct())
 
 

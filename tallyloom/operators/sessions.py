@@ -11,12 +11,12 @@ RECOVERY, GAP, FORCE = r"retry|fix|debug|error|fail", r"enoent|command not found
 RECURRING = 3
 
 
-def events_of(lines: DataFrame) -> DataFrame:
+def events_of(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parsed records of a log stream: `data: ` lines, without the end mark; bad JSON is kept and flagged."""
-    payload = lines.where(F.startswith("value", F.lit("data: "))).select("session", F.substring("value", 7, 1 << 30).alias("raw")).where(F.trim("raw") != "[DONE]")
+    payload = lines.where(F.startswith("value", F.lit("data: "))).select("session", *keep, F.substring("value", 7, 1 << 30).alias("raw")).where(F.trim("raw") != "[DONE]")
     schema = "timestamp string, message struct<type:string,tool:string,text:string,is_error:boolean>"
     parsed = payload.withColumn("e", F.from_json("raw", schema, {"mode": "PERMISSIVE"}))
-    return parsed.select("session", "raw", "e.timestamp", "e.message.*", F.col("e.message").isNull().alias("is_bad"))
+    return parsed.select("session", *keep, "raw", "e.timestamp", "e.message.*", F.col("e.message").isNull().alias("is_bad"))
 
 
 def signals(turns: DataFrame) -> DataFrame:

@@ -53,11 +53,11 @@ SELECT outcome, count(*) AS emails, min(email) AS first_email FROM r GROUP BY 1"
 
 
 def q55b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").where("c_custkey <= 12").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("login"), (F.col("c_custkey") % 2).cast("int").alias("is_bot"), F.lit(0).alias("is_excluded"))
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("login"), (F.col("c_custkey") % 2).cast("int").alias("is_bot"), F.lit(0).alias("is_excluded"))
     return runbook.flags_after(people, rules(spark)).select("login", F.col("is_bot").cast("long").alias("is_bot"), F.col("is_excluded").cast("long").alias("is_excluded"))
 
 
-Q55B = """SELECT 'p' || c_custkey AS login, CASE c_custkey WHEN 5 THEN 0 WHEN 8 THEN 1 ELSE c_custkey % 2 END::BIGINT AS is_bot, CASE WHEN c_custkey IN (3, 6) THEN 1 ELSE 0 END::BIGINT AS is_excluded FROM customer WHERE c_custkey <= 12"""
+Q55B = """SELECT 'p' || c_custkey AS login, CASE c_custkey WHEN 5 THEN 0 WHEN 8 THEN 1 ELSE c_custkey % 2 END::BIGINT AS is_bot, CASE WHEN c_custkey IN (3, 6) THEN 1 ELSE 0 END::BIGINT AS is_excluded FROM customer"""
 
 
 def q55c(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,20 +70,24 @@ Q55C = """SELECT * FROM (VALUES (2::BIGINT, 'email', 'ok'), (3, 'email', 'ok'),
 def q56(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of composed configurations of suppliers and their flows."""
     k = F.col("s_suppkey")
-    env = F.concat(F.lit('"local":{"captcha":"'), F.when(k % 3 == 0, "").otherwise("disabled"), F.lit('"},"preview":{"mode":"on-demand"}'), F.when(k % 4 != 0, F.concat(F.lit(',"production":{"url":"'), F.when(k % 5 == 0, "http://x").otherwise("https://x.org"), F.lit('","captcha":"'), F.when(k % 6 == 0, "").otherwise("required"), F.lit('"}'))).otherwise(""))
-    config = F.concat(F.lit('{"repo":"'), F.when(k % 7 == 0, "bad").otherwise("acme/web"), F.lit('","environments":{'), env, F.lit('},"critical":['), F.when(k % 8 == 0, "").otherwise('"login","pay"'), F.lit("]}"))
+    repo = F.when(k % 7 == 0, "bad").when(k % 15 == 0, "acme/other").when(k % 16 == 0, "acme/template").otherwise("acme/web")
+    env = F.concat(F.lit('"local":{"captcha":"'), F.when(k % 3 == 0, "").otherwise("disabled"), F.lit('"},"preview":{"mode":"on-demand","site_key":"'), F.when(k % 18 == 0, "key ").otherwise("key"), F.lit('"}'), F.when(k % 4 != 0, F.concat(F.lit(',"production":{"url":"'), F.when(k % 5 == 0, "http://x").otherwise("https://x.org"), F.lit('","captcha":"'), F.when(k % 6 == 0, "").otherwise("required"), F.lit('"}'))).otherwise(""))
+    config = F.concat(F.lit('{"repo":"'), repo, F.lit('","environments":'), F.when(k % 14 == 0, "null").otherwise(F.concat(F.lit("{"), env, F.lit("}"))), F.lit(',"critical":['), F.when(k % 8 == 0, "").otherwise('"login","pay"'), F.lit("]}"))
     s = table(spark, sf_dir, "supplier")
-    flows = s.where(k % 9 != 0).select(k.alias("config_id"), F.lit("login").alias("name"), (k % 2 == 0).alias("interactive"), F.lit(True).alias("captcha"), F.lit("none").alias("evidence"), F.array().cast("array<string>").alias("locales"))
-    flows = flows.unionByName(s.select(k.alias("config_id"), F.lit("pay").alias("name"), F.lit(False).alias("interactive"), F.lit(False).alias("captcha"), F.lit(None).cast("string").alias("evidence"), F.array(F.lit("en")).alias("locales")))
-    return runbook.contract_findings(s.select(k.alias("config_id"), config.alias("config")), flows).groupBy("code", "subject").agg(F.count("*").alias("configs"), F.min("config_id").alias("first_config"))
-
-
-Q56 = """WITH k AS (SELECT s_suppkey AS k FROM supplier), f AS (
-  SELECT k, 'identity-missing' AS code, '' AS subject FROM k WHERE k % 7 = 0 UNION ALL SELECT k, 'environment-production-missing', '' FROM k WHERE k % 4 = 0
-  UNION ALL SELECT k, 'production-url-invalid', CASE WHEN k % 4 = 0 THEN '' ELSE 'http://x' END FROM k WHERE k % 4 = 0 OR k % 5 = 0 UNION ALL SELECT k, 'local-captcha-implicit', '' FROM k WHERE k % 3 = 0
-  UNION ALL SELECT k, 'critical-smoke-empty', '' FROM k WHERE k % 8 = 0 UNION ALL SELECT k, 'critical-flow-missing', 'login' FROM k WHERE k % 8 <> 0 AND k % 9 = 0
-  UNION ALL SELECT k, 'interactive-browser-evidence-required', 'login' FROM k WHERE k % 8 <> 0 AND k % 9 <> 0 AND k % 2 = 0 UNION ALL SELECT k, 'production-captcha-not-required', 'login' FROM k WHERE k % 8 <> 0 AND k % 9 <> 0 AND (k % 6 = 0 OR k % 4 = 0)
-  UNION ALL SELECT k, 'i18n-locales-incomplete', 'pay' FROM k WHERE k % 8 <> 0)
+    none, words = F.lit(None).cast("string"), lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    flows = s.where(k % 9 != 0).select(k.alias("config_id"), F.lit("login").alias("name"), F.lit(True).alias("readable"), (k % 2 == 0).alias("interactive"), F.lit(True).alias("captcha"), (k % 11 == 0).alias("captcha_optional"), F.when(k % 10 == 0, words("renders")).otherwise(words("Renders", "token ", "submission", "success-ui", "backend-boundary")).alias("assertions"), F.when(k % 2 == 0, "none").otherwise("required").alias("evidence"), none.alias("kind"), words().alias("regions"), words().alias("locales"))
+    flows = flows.unionByName(s.select(k.alias("config_id"), F.lit("pay").alias("name"), (k % 13 != 0).alias("readable"), F.lit(False).alias("interactive"), F.lit(False).alias("captcha"), F.lit(None).cast("boolean").alias("captcha_optional"), words().alias("assertions"), none.alias("evidence"), F.lit("i18n").alias("kind"), F.when(k % 12 == 0, words("header")).otherwise(words("header", "main", "form", "footer")).alias("regions"), words("en", "EN", "").alias("locales")))
+    configs = s.select(k.alias("config_id"), F.when(k % 17 == 0, "{broken").otherwise(config).alias("config"))
+    return runbook.contract_findings(configs, flows, expected="acme/web").groupBy("code", "subject").agg(F.count("*").alias("configs"), F.min("config_id").alias("first_config"))
+
+
+Q56 = """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 14 = 0 AS bare, CASE WHEN s_suppkey % 7 = 0 THEN '' WHEN s_suppkey % 15 = 0 THEN 'acme/other' WHEN s_suppkey % 16 = 0 THEN 'acme/template' ELSE 'acme/web' END AS repo FROM supplier), k AS (SELECT * FROM s WHERE k % 17 <> 0), c AS (SELECT * FROM k WHERE k % 8 <> 0), l AS (SELECT * FROM c WHERE k % 9 <> 0), f AS (
+  SELECT k, 'config-unreadable' AS code, '' AS subject FROM s WHERE k % 17 = 0 UNION ALL SELECT k, 'identity-missing', '' FROM k WHERE repo = '' UNION ALL SELECT k, 'template-identity', repo FROM k WHERE repo = 'acme/template' UNION ALL SELECT k, 'identity-mismatch', repo FROM k WHERE repo IN ('acme/other', 'acme/template')
+  UNION ALL SELECT k, 'environments-missing', '' FROM k WHERE bare UNION ALL SELECT k, 'environment-local-missing', '' FROM k WHERE bare UNION ALL SELECT k, 'environment-preview-missing', '' FROM k WHERE bare UNION ALL SELECT k, 'preview-mode-invalid', '' FROM k WHERE bare
+  UNION ALL SELECT k, 'environment-production-missing', '' FROM k WHERE bare OR k % 4 = 0 UNION ALL SELECT k, 'production-url-invalid', CASE WHEN bare OR k % 4 = 0 THEN '' ELSE 'http://x' END FROM k WHERE bare OR k % 4 = 0 OR k % 5 = 0
+  UNION ALL SELECT k, 'local-captcha-implicit', '' FROM k WHERE bare OR k % 3 = 0 UNION ALL SELECT k, 'captcha-site-key-whitespace', 'preview' FROM k WHERE NOT bare AND k % 18 = 0 UNION ALL SELECT k, 'critical-smoke-empty', '' FROM k WHERE k % 8 = 0
+  UNION ALL SELECT k, 'critical-flow-missing', 'login' FROM c WHERE k % 9 = 0 UNION ALL SELECT k, 'interactive-browser-evidence-required', 'login' FROM l WHERE k % 2 = 0 UNION ALL SELECT k, 'production-captcha-optional', 'login' FROM l WHERE k % 11 = 0 UNION ALL SELECT k, 'captcha-contract-incomplete', 'login' FROM l WHERE k % 10 = 0
+  UNION ALL SELECT k, 'production-captcha-not-required', '' FROM l WHERE bare OR k % 6 = 0 OR k % 4 = 0 UNION ALL SELECT k, 'flow-unreadable', 'pay' FROM c WHERE k % 13 = 0 UNION ALL SELECT k, 'i18n-visible-copy-incomplete', 'pay' FROM c WHERE k % 13 <> 0 AND k % 12 = 0 UNION ALL SELECT k, 'i18n-locales-incomplete', 'pay' FROM c WHERE k % 13 <> 0)
 SELECT code, subject, count(*) AS configs, min(k) AS first_config FROM f GROUP BY ALL"""
 
 
@@ -137,19 +141,19 @@ def q60(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = s.where("s_suppkey % 5 != 0").select(F.col("s_name").alias("name"), F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("digest"))
     b = s.where("s_suppkey % 7 != 0").select(F.col("s_name").alias("name"), F.md5((F.col("s_suppkey") + (F.col("s_suppkey") % 3 == 0).cast("int")).cast("string").cast("binary")).alias("digest"))
     drifted = runbook.drift(a, b).select(F.col("state").alias("kind"), "name")
-    claims = s.select(F.concat(F.lit("--flag"), F.col("s_suppkey")).alias("claim")).where("s_suppkey <= 20")
+    claims = s.select(F.concat(F.lit("--flag"), F.col("s_suppkey")).alias("claim"))
     sources = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("use --flag"), F.col("s_suppkey"), F.lit(" or --flag"), F.col("s_suppkey"), F.lit("x")).alias("text"))
     return unused.unionByName(drifted).unionByName(runbook.claims_without_source(claims, sources).select(F.col("verdict").alias("kind"), F.col("claim").alias("name")))
 
 
 Q60 = """SELECT 'unreferenced' AS kind, n::VARCHAR AS name FROM (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000))
 UNION ALL SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'extra' WHEN s_suppkey % 3 = 0 THEN 'drifted' ELSE 'same' END, s_name FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 7 = 0)
-UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'OK' ELSE 'DRIFT' END, '--flag' || s_suppkey FROM supplier WHERE s_suppkey <= 20"""
+UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'OK' ELSE 'DRIFT' END, '--flag' || s_suppkey FROM supplier"""
 
 
 def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promotion decisions, resumed reviews, claim checks and settings over composed inputs."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     sha = F.sha1(k.cast("string").cast("binary"))
     state = F.when(k % 5 == 0, "{broken").otherwise(F.concat(F.lit('{"v":1,"head_sha":"'), F.when(k % 3 == 0, "other").otherwise(sha), F.lit('","findings":['), F.when(k % 4 == 0, '{"status":"open"}').otherwise(""), F.lit("]}")))
@@ -163,7 +167,7 @@ def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.unionByName(again).unionByName(claim).unionByName(told).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-Q61 = """WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 2000), x AS (
+Q61 = """WITH o AS (SELECT o_orderkey AS k FROM orders), x AS (
   SELECT 'promotion/' || CASE WHEN k % 7 = 0 THEN 'needs-work:negative-verdict' WHEN k % 5 = 0 THEN 'needs-work:invalid-review-state' WHEN k % 3 = 0 THEN 'needs-work:review-state-head-mismatch' WHEN k % 4 = 0 THEN 'needs-work:blocking-findings' ELSE 'promote' END AS outcome FROM o
   UNION ALL SELECT 'resume/' || CASE WHEN k % 2 = 1 AND (k - 1) IN (SELECT k FROM o) THEN 'exact' WHEN k % 3 <> 0 THEN 'branch' ELSE 'none' END FROM o
   UNION ALL SELECT 'claim/' || CASE WHEN k % 5 = 0 THEN 'standard' WHEN k % 2 = 0 AND k % 4 = 0 THEN 'confirmed' WHEN k % 2 = 0 THEN 'unverified' WHEN k % 3 = 0 THEN 'needs-review' ELSE 'unverified-no-evidence' END FROM o

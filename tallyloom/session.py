@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -21,15 +22,40 @@ def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call site per column
+        # columns are a few times larger in memory than in their files; joins are chosen by the former
+        .config("spark.sql.sources.fileCompressionFactor", "4")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the supplied parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the supplied parquet tables; its schema is read once an application, as reading it is a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is made and set, but only on a local master: on a
+    cluster tables would land on single machines, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 _shipped: set[str] = set()

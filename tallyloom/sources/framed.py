@@ -46,6 +46,13 @@ def setting(text: Column, key: str, otherwise: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, rf"(?:^|\s){key}=(\S+)", 1), F.lit("")), F.lit(otherwise))
 
 
-def targets(listed: DataFrame) -> DataFrame:
-    """Repositories to work on: not archived, not forks, not empty, with a default branch; each once."""
-    return listed.where("not is_archived and not is_fork and not is_empty and default_branch is not null").dropDuplicates(["full_name"])
+def targets(listed: DataFrame, least: int = 1) -> DataFrame:
+    """Repositories to work on: not archived, not forks, not empty, with a default branch; each once.
+
+    Fewer than `least` (none, by default) are refused: an empty listing is a failed one.
+    """
+    found = listed.where("not is_archived and not is_fork and not is_empty and default_branch is not null").dropDuplicates(["full_name"])
+    have = found.limit(least).count()
+    if have < least:
+        raise ValueError(f"{have} targets; at least {least} are expected")
+    return found

@@ -59,3 +59,26 @@ def event_windows(events: DataFrame, length: str = "7 days", offset: str = "4 da
     """Tumbling windows of a week from Monday, as a stream or a batch."""
     ts = F.col("ts").cast("timestamp")
     return events.groupBy(F.window(ts, length, length, offset).alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.to_date("w.start").alias("week_start"), "event_type", "events")
+
+
+def start_points(cursors: DataFrame, history: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Where each pass starts: the cursor if the history still holds it, else NULL, which reads everything again.
+
+    A rewritten history would otherwise leave a hole that nothing shows; writes are upserts, so reading again is safe.
+    """
+    seen = history.join(cursors.select(*keys, at).where(F.col(at).isNotNull()).distinct(), [*keys, at], "left_semi").select(*keys, at).distinct().withColumn("_seen", F.lit(True))
+    joined = cursors.join(seen, [*keys, at], "left")
+    state = F.when(F.col(at).isNull(), "first").when(F.col("_seen"), "resumed").otherwise("rewritten")
+    return joined.select(*keys, F.when(F.col("_seen"), F.col(at)).alias(at), state.alias("state"))
+
+
+def advanced(cursors: DataFrame, runs: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Cursors after runs (keys, at, status): only clean ones move a cursor; a partial run's data stay, its cursor does not."""
+    return latest_cursor(cursors, runs.where("status = 'ok'"), keys, at)
+
+
+def rebuild_modes(wanted: DataFrame, stored: DataFrame, key: str, version: str, rebuild: bool = False) -> DataFrame:
+    """(key, mode): whether each key's rollup is computed afresh: asked for, nothing stored, another formula version, or not."""
+    have = stored.groupBy(key).agg(F.count(F.when(F.col("version") != version, 1)).alias("stale"))
+    mode = F.when(F.lit(rebuild), "rebuild").when(F.col("stale").isNull(), "first-run").when(F.col("stale") > 0, "version-change").otherwise("incremental")
+    return wanted.select(key).distinct().join(have, key, "left").select(key, mode.alias("mode"))

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import buckets, text
-from tallyloom.operators import mining, pages, quality, rollups, sessions, upsert
+from tallyloom.operators import mining, missions, pages, quality, rollups, sessions, upsert
 from tallyloom.plans import registry
+from tallyloom.sources import framed
 from tallyloom.sources.adapter import Activity
 from tallyloom.streaming import arrivals
 
@@ -144,7 +145,7 @@ def test_page_findings(spark):
     codes = {}
     for r in found.collect():
         codes.setdefault(r.page_id, set()).add(r.code)
-    assert 1 not in codes
+    assert codes[1] == {"canonical-relative"}
     assert {"not-https", "canonical-missing", "title-missing", "description-missing", "h1-count", "html-lang-missing", "open-graph-incomplete", "jsonld-static-missing", "image-alt-missing"} == codes[2]
     assert {"canonical-not-self", "jsonld-invalid"} == codes[4]
     assert spark.range(1).select(pages.robots_blocks_all(F.lit("User-agent: *\nDisallow: /\n")).alias("x")).first().x
@@ -157,3 +158,83 @@ def test_sessions(spark):
     a = spark.createDataFrame([("SV",), ("SV",), ("UB",)], "code string")
     b = spark.createDataFrame([("SV",), ("CF",)], "code string")
     assert {r.code: r.trend for r in sessions.trend(a, b).collect()} == {"SV": "worsening", "UB": "worsening", "CF": "improving"}
+
+
+HEAD = '<meta name="description" content="d"><meta property="og:title" content="t"><meta property="og:description" content="d"><script type="application/ld+json">{}</script>'
+#: Per page: its URL, what stands in its head and body besides, and the codes that follow.
+AUDITED = [
+    ("https://a.org/1", '<link rel="nofollow canonical" href="https://a.org/1">', "<h1>x</h1>", set()),
+    ("https://a.org/2", '<link rel="canonical" href="/2">', "<h1>x</h1>", {"canonical-relative"}),
+    ("https://a.org/3", '<link rel="canonical" href="https://a.org/1">', "<h1>x</h1>", {"canonical-not-self"}),
+    ("https://a.org/4", '<link rel="canonical" href="https://a.org/4"><link rel="canonical" href="https://a.org/4">', "<h1>x</h1>", {"canonical-multiple"}),
+    ("https://a.org/5", '<link rel="canonical" href="https://a.org/5"><meta name="robots" content="NoIndex">', "<h1>x</h1>", {"noindex"}),
+    ("https://a.org/6", '<link rel="canonical" href="https://a.org/6"><link rel="alternate" hreflang="de" href="http://a.org/6"><link rel="alternate" hreflang="DE" href="https://a.org/de/6">', "<h1>x</h1>", {"hreflang-duplicate", "hreflang-not-https", "hreflang-no-self"}),
+    ("https://a.org/7", '<link rel="canonical" href="https://a.org/7"><link rel="alternate" hreflang="en" href="https://A.org:443/7#x">', "<h1>x</h1>", set()),
+    ("https://a.org/8", '<link rel="canonical" href="https://a.org/8"><meta property="og:url" content="https://a.org/9"><script type="application/ld+json">{broken</script>', "<h1>x</h1>", {"og-url-conflict", "jsonld-invalid"}),
+    ("http://a.org/9", "", '<h1>x</h1><h1>y</h1><img src="z"><img src="w" alt="">', {"not-https", "canonical-missing", "h1-count", "image-alt-missing"}),
+]
+
+
+def test_every_page_code(spark):
+    rows = [(i, url, f'<html lang="en"><head><title>t</title>{HEAD}{head}</head><body>{body}</body></html>') for i, (url, head, body, _) in enumerate(AUDITED)]
+    rows.append((99, "https://a.org/99", ""))
+    got = {i: set() for i, *_ in rows}
+    for r in pages.findings(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.page_id].add(r.code)
+    assert [got[i] for i in range(len(AUDITED))] == [codes for *_, codes in AUDITED]
+    assert got[99] == {"canonical-missing", "title-missing", "description-missing", "h1-count", "html-lang-missing", "open-graph-incomplete", "jsonld-static-missing"}
+
+
+def test_crawl_visits_each_page_once(spark):
+    links = {"a": ["b", "c"], "b": ["a", "d"], "c": ["d", "gone"], "d": ["a"], "e": ["a"], "f": []}
+    rows = [(i, f"https://x.org/{k}", "".join(f'<a href="/{v}">l</a>' for v in out) + '<a href="https://y.org/a">away</a>') for i, (k, out) in enumerate(links.items())] + [(9, None, "<a href=x>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rounds, last, n = {"a": 0}, ["a"], 0
+    while last:
+        n += 1
+        last = sorted({v for k in last for v in links[k] if v in links} - set(rounds))
+        rounds |= dict.fromkeys(last, n)
+    assert {r.url[-1]: r.round for r in pages.crawled(df).collect()} == rounds
+    assert {r.url[-1]: r.round for r in pages.crawled(df, spark.createDataFrame([("https://x.org/e",), ("https://x.org/none",)], "url string")).collect()} == {"e": 0, "a": 1, "b": 2, "c": 2, "d": 3}
+
+
+def test_exact_ranks_of_ties_and_wide_values(spark):
+    rows = [(g, float(v)) for g, values in {"one": [7], "ties": [3] * 9 + [4], "wide": range(0, 4000, 3), "near": [5 + i / 1e4 for i in range(501)]}.items() for v in values]
+    df = spark.createDataFrame([*rows, ("none", None)], "g string, v double")
+    got = {r.g: (r.n, r.med, r.third) for r in rollups.at_ranks(df, ["g"], "v", rollups.QUARTILES).withColumn("med", rollups.median()).collect()}
+    wanted = {}
+    for g in {g for g, _ in rows}:
+        x = sorted(v for k, v in rows if k == g)
+        n = len(x)
+        wanted[g] = (n, (x[(n + 1) // 2 - 1] + x[(n + 2) // 2 - 1]) / 2, x[max(1, (75 * n + 99) // 100) - 1])
+    assert got == wanted
+
+
+def test_refusals(spark):
+    listed = spark.createDataFrame([("r", False, False, False, "main"), ("s", True, False, False, "main")], "full_name string, is_archived boolean, is_fork boolean, is_empty boolean, default_branch string")
+    assert framed.targets(listed).count() == 1
+    with pytest.raises(ValueError):
+        framed.targets(listed, 2)
+    with pytest.raises(ValueError):
+        framed.targets(listed.limit(0))
+    with pytest.raises(Exception, match="no bound"):
+        spark.range(1).select(buckets.window_start(F.lit(None).cast("date"), 3)).collect()
+
+
+def test_missions_of_odd_lines(spark):
+    lines = [("s", 1, 'Write file_path: "app/x.py", "y"'), ("s", 2, None), ("s", 3, ""), ("t", 1, "Bash command: claude -p go"), ("t", 2, "Error: a TIMEOUT"), ("t", 2, "error: permission denied")]
+    df = spark.createDataFrame([(s, dt.datetime(2020, 1, 1, 0, 0, i), i, m) for s, i, m in lines], "session string, at timestamp_ntz, seq int, message string")
+    signal = missions.signals(df)
+    got = {(r.session, r.code, r.rule) for r in missions.incidents(signal).collect()}
+    assert got == {("t", "SF", "no-recovery"), ("t", "SG", "missing-capability")}
+    kept = {r.session: r for r in missions.compliance(signal, spark.createDataFrame([], "session string, task string, has_report boolean")).collect()}
+    assert not kept["s"].r3_no_code and kept["t"].r3_no_code and kept["s"].r_pr and not kept["s"].r7_report
+    assert {r.session: r.missed for r in missions.missed(signal).collect()} == {"s": None, "t": "push-and-verify"}
+
+
+def test_written_buckets_replace_only_their_own(spark, tmp_path):
+    schema = "k int, day string"
+    path = str(tmp_path / "buckets")
+    upsert.write_buckets(spark.createDataFrame([(1, "a"), (2, "b")], schema), path, ["day"])
+    upsert.write_buckets(spark.createDataFrame([(3, "b")], schema), path, ["day"])
+    assert sorted((r.k, r.day) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
