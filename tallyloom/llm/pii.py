@@ -2,12 +2,16 @@
 
 Base: four regular expressions with their checks (address parts, Luhn, numbers of digits).
 
-Method: base matches are the seeds. A lexical pattern is the pair of words to the left and to
-the right of a token, or the border of its line or text. Patterns and the instances seen in them form a graph. Round by round a
-pattern's confidence for a kind is the mean score of its distinct instances for that kind, and
-a candidate (a token with digits or an at sign that no base match touches) scores the noisy-or
-of its patterns' confidences. Patterns count when enough distinct instances support them; candidates of a
-high score become spans of that kind.
+Method: base matches are the seeds. Lexical patterns are of two families: contexts (the pair of
+words to the left and to the right of a token, each of them alone, or the border of its line or
+text) and shapes (runs of letters as one letter, digits as nines, all other signs as they are).
+Patterns and the instances seen in them form a graph. Round by round a pattern's confidence for a
+kind is the mean score of its distinct instances for that kind, and a candidate scores the
+noisy-or of the best confidence in either family. Candidates are tokens with digits or an at sign
+that no base match touches, without the punctuation around them; among them are the pieces of
+runs that the base drops whole, as it does not retry. Patterns count when enough distinct
+instances support them; candidates of a high score become spans of that kind, if the kind's own
+check (octets, Luhn, number of digits) holds for them as it does for seeds.
 
 Positions are code points. Spark has no function for the positions of all matches; they follow
 from the lengths of the matches and of the pieces between them (``split``), summed by a window.
@@ -18,7 +22,8 @@ trying every place of a run in which no match can start.
 
 Defined results: a null or empty text has no spans; repeated rows each get their spans; rows of
 one doc_id and different texts get their own; overlapping matches of different kinds all stay;
-an empty table gives an empty result; without seeds nothing is added; texts are read whole.
+an empty table gives an empty result; without seeds nothing is added; texts are read whole; only
+the two named columns are read, so others can't clash (masking keeps them as they are).
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 LAST_WORD, FIRST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)\x20*+\z", r"^\x20*+([^\x20\x09-\x0D]++)"
 #: Stands for the neighbour at a line's or text's border; no word holds it.
 BORDER = "\n"
+#: Punctuation around a candidate.
+BEFORE, BEHIND = r"""^[("'<\[{]++""", r"""[.,;:!?)"'>\]}]++\z"""
 #: Distinct instances a pattern needs, confidence and score that count, rounds.
 SUPPORT, CONFIDENT, ROUNDS = 5, 0.9, 3
 
@@ -116,7 +123,12 @@ def located(texts: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -
     rows = rows.select("doc_id", "key", "row", "kind", "i", F.col("m.match").alias("match"), F.length("m.before").alias("gap"), left.alias("left"), right.alias("right"))
     order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.col("gap") + F.length("match")).over(order)
-    return rows.select("doc_id", "key", "kind", "match", (stop - F.length("match")).alias("start"), stop.alias("stop"), "left", "right")
+    placed = rows.select("doc_id", "key", "kind", "match", (stop - F.length("match")).alias("start"), stop.alias("stop"), "left", "right")
+    token = F.col("kind") == "token"
+    lead = F.when(token, F.length(F.regexp_extract("match", BEFORE, 0))).otherwise(0)
+    tail = F.when(token, F.length(F.regexp_extract("match", BEHIND, 0))).otherwise(0)
+    bare = F.when(token, F.regexp_replace(F.regexp_replace("match", BEFORE, ""), BEHIND, "")).otherwise(F.col("match"))
+    return placed.select("doc_id", "key", "kind", bare.alias("match"), (F.col("start") + lead).alias("start"), (F.col("stop") - tail).alias("stop"), "left", "right")
 
 
 def untouched(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -131,30 +143,50 @@ def untouched(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return marked.where(free).select(*columns).distinct()
 
 
+def shape(match: Column) -> Column:
+    """Letters run together as `a`, every digit as `9`."""
+    return F.regexp_replace(F.regexp_replace(match, r"\p{L}++", "a"), "[0-9]", "9")
+
+
+def in_patterns(rows: DataFrame, instance: Column, *columns: str) -> DataFrame:
+    """(family, pattern, instance, columns) of every pattern that a match is seen in, each once."""
+    left, right = (F.when(F.col(side) == "", F.lit(BORDER)).otherwise(F.col(side)) for side in ("left", "right"))
+    named = [("context", F.concat_ws("\t", left, right)), ("context", F.concat(left, F.lit("\t"))), ("context", F.concat(F.lit("\t"), right)), ("shape", shape(F.col("match")))]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), p.alias("pattern")) for f, p in named])).alias("p")
+    return rows.select(each, instance.alias("instance"), *columns).select("p.*", "instance", *columns).distinct()
+
+
+def checked(match: str) -> Column:
+    """Whether the check of a row's kind holds for a match."""
+    ok = F.lit(False)
+    for kind in KINDS:
+        ok = ok | ((F.col("kind") == kind) & valid(kind, F.col(match)))
+    return ok
+
+
 def bootstrapped(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, key, start, stop, kind) of the candidates that confident patterns discover."""
-    sides = [F.when(F.col(side) == "", F.lit(BORDER)).otherwise(F.col(side)) for side in ("left", "right")]
-    pattern = F.concat_ws("\t", *sides)
-    known = seeds.select(pattern.alias("pattern"), F.concat_ws(":", "kind", "match").alias("instance"), "kind").distinct()
-    open_ = candidates.select(pattern.alias("pattern"), F.col("match").alias("instance")).distinct()
-    known, open_ = written(known, "pii-seeds"), written(open_, "pii-candidates")
+    graph = ["family", "pattern"]
+    known = written(in_patterns(seeds, F.concat_ws(":", "kind", "match"), "kind"), "pii-seeds")
+    open_ = written(in_patterns(candidates, F.col("match")), "pii-candidates")
     # per pattern: how many distinct instances of each kind, and of all
-    sure = known.groupBy("pattern", "kind").agg(F.count("*").alias("sure"))
-    everything = known.select("pattern", "instance").unionByName(open_).groupBy("pattern").agg(F.count("*").alias("all"))
+    sure = known.groupBy(*graph, "kind").agg(F.count("*").alias("sure"))
+    everything = known.select(*graph, "instance").unionByName(open_).groupBy(*graph).agg(F.count("*").alias("all"))
     scores = None  # of candidates: (instance, kind, score)
     for _ in range(ROUNDS):
         if scores is None:
             support = sure
         else:
-            more = open_.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-            support = sure.join(more, ["pattern", "kind"], "full").select("pattern", "kind", (F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0.0))).alias("sure"))
-        rated = support.join(everything, "pattern").where((F.col("sure") >= SUPPORT) & (F.col("sure") / F.col("all") >= CONFIDENT / 2))
-        confidence = rated.select("pattern", "kind", (F.col("sure") / F.col("all")).alias("confidence"))
-        miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-        scores = written(open_.join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score")), "pii-scores")
+            more = open_.join(scores, "instance").groupBy(*graph, "kind").agg(F.sum("score").alias("more"))
+            support = sure.join(more, [*graph, "kind"], "full").select(*graph, "kind", (F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0.0))).alias("sure"))
+        rated = support.join(everything, graph).where((F.col("sure") >= SUPPORT) & (F.col("sure") / F.col("all") >= CONFIDENT / 2))
+        confidence = rated.select(*graph, "kind", (F.col("sure") / F.col("all")).alias("confidence"))
+        best = open_.join(confidence, graph).groupBy("instance", "kind", "family").agg(F.max("confidence").alias("best"))
+        miss = F.sum(F.log(F.greatest(1 - F.col("best"), F.lit(1e-6))))
+        scores = written(best.groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score")).where(checked("instance")), "pii-scores")
     # the kind of the highest score; ties to the kind listed first
-    best = scores.where(F.col("score") >= CONFIDENT).groupBy("instance").agg(F.max(F.struct("score", (-place("kind")).alias("rank"), "kind")).alias("best"))
-    return candidates.join(best, F.col("match") == F.col("instance")).select("doc_id", "key", "start", "stop", F.col("best.kind").alias("kind"))
+    chosen = scores.where(F.col("score") >= CONFIDENT).groupBy("instance").agg(F.max(F.struct("score", (-place("kind")).alias("rank"), "kind")).alias("best"))
+    return candidates.join(chosen, F.col("match") == F.col("instance")).select("doc_id", "key", "start", "stop", F.col("best.kind").alias("kind"))
 
 
 def place(kind: str | Column) -> Column:
@@ -173,10 +205,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = keyed(docs, id_col, text_col)
     every = located(texts, PATTERNS | {"token": CANDIDATE}, HINTS)
     every = written(every, "pii-matches")
-    ok = F.lit(False)
-    for kind in KINDS:
-        ok = ok | ((F.col("kind") == kind) & valid(kind, F.col("match")))
-    spans = written(every.where(F.col("kind") != "token").where(ok).distinct(), "pii-base")
+    spans = written(every.where(F.col("kind") != "token").where(checked("match")).distinct(), "pii-base")
     candidates = written(untouched(every.where(F.col("kind") == "token"), spans), "pii-open")
     new = bootstrapped(spans, candidates)
     columns = ["doc_id", "key", "kind", "start", "stop"]
