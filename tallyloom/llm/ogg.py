@@ -10,8 +10,11 @@ logical streams are told apart by serial number, and a packet's time is its gran
 over the sample rate. The payload is the streams' packets in turn.
 
 Defined results: a null text is stored like an empty one; every payload is zero-padded up to a
-positive multiple of ``UNIT`` bytes; a null or damaged medium raises on reading (a checksum or
-lacing error is never passed over); repeated rows are stored once each, equal texts alike.
+positive multiple of ``UNIT`` bytes; a null, damaged or cut medium raises ``ValueError`` on
+reading (checksums, lacing, page order, the last page of every stream and the payload's length are
+checked); repeated rows are stored once each, equal texts alike; very long texts become long
+streams of pages of bounded size, a row at a time; an empty table gives an empty result; other
+columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ UNIT, RATE, STREAMS, PACKET, PAGE_SEGMENTS = 64, 8000, 2, 4096, 40
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
 NO_GRANULE = -1
 HEADER = struct.Struct("<4sBBqIIIB")
-MAGIC = b"U8PCM\0\0\0"
+MAGIC, HEAD = b"U8PCM\0\0\0", struct.Struct("<IIQ")
 MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
@@ -74,7 +77,7 @@ def multiplexed(payload: bytes) -> bytes:
     cut = [payload[k : k + PACKET] for k in range(0, len(payload), PACKET)]
     streams = []
     for s in range(STREAMS):
-        packets, granule = [(MAGIC + struct.pack("<IIQ", RATE, s, len(payload)), 0)], 0
+        packets, granule = [(MAGIC + HEAD.pack(RATE, s, len(payload)), 0)], 0
         for body in cut[s::STREAMS]:
             granule += len(body)
             packets.append((body, granule))
@@ -85,11 +88,16 @@ def multiplexed(payload: bytes) -> bytes:
 
 def demultiplexed(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
     """By serial number, the packets and the granule positions of those that end a page."""
+    if media is None:
+        raise ValueError("no medium")
     packets: dict[int, list[tuple[bytes, int | None]]] = {}
     open_: dict[int, list[bytes]] = {}
     expected: dict[int, int] = {}
+    ended: set[int] = set()
     at = 0
     while at < len(media):
+        if at + HEADER.size > len(media):
+            raise ValueError(f"no page at byte {at}")
         capture, version, flags, granule, serial, number, crc, n = HEADER.unpack_from(media, at)
         table = media[at + HEADER.size : at + HEADER.size + n]
         end = at + HEADER.size + n + sum(table)
@@ -99,6 +107,10 @@ def demultiplexed(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
             raise ValueError(f"checksum of the page at byte {at}")
         if expected.get(serial, 0) != number or bool(flags & FIRST) != (number == 0) or bool(flags & CONTINUED) != bool(open_.get(serial)):
             raise ValueError(f"sequence of the page at byte {at}")
+        if serial in ended:
+            raise ValueError(f"a page after the last at byte {at}")
+        if flags & LAST:
+            ended.add(serial)
         expected[serial] = number + 1
         done, body, pending = packets.setdefault(serial, []), at + HEADER.size + n, open_.pop(serial, [])
         last = None
@@ -116,9 +128,28 @@ def demultiplexed(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
         at = end
     if open_:
         raise ValueError("a packet does not end")
+    if not packets or ended != set(packets):
+        raise ValueError("a stream does not end")
     return packets
 
 
+def count_pages(media: bytes) -> int:
+    """Pages of a medium, from header to header; what packets hold is never looked at."""
+    at = pages = 0
+    while at < len(media):
+        n = media[at + HEADER.size - 1]
+        at += HEADER.size + n + sum(media[at + HEADER.size : at + HEADER.size + n])
+        pages += 1
+    return pages
+
+
+def head_of(packet: bytes) -> tuple[int, int, int]:
+    """Rate, place of the stream and payload length, from a stream's first packet."""
+    if len(packet) != len(MAGIC) + HEAD.size or not packet.startswith(MAGIC):
+        raise ValueError("no header of samples")
+    return HEAD.unpack_from(packet, len(MAGIC))
+
+
 def timed(packets: list[tuple[bytes, int | None]]) -> list[tuple[float, bytes]]:
     """(start in seconds, samples) of each audio packet: granule positions count back from page ends."""
     audio = packets[1:]
@@ -126,6 +157,8 @@ def timed(packets: list[tuple[bytes, int | None]]) -> list[tuple[float, bytes]]:
     for i in range(len(audio) - 1, -1, -1):
         granule = audio[i][1]
         end = granule if granule is not None else after
+        if end is None:
+            raise ValueError("no granule position")
         starts[i] = after = end - len(audio[i][0])
     return [(s / RATE, body) for s, (body, _) in zip(starts, audio)]
 
@@ -133,17 +166,22 @@ def timed(packets: list[tuple[bytes, int | None]]) -> list[tuple[float, bytes]]:
 def feature_of(media: bytes) -> tuple[bytes, dict]:
     """The payload read back, and what its samples and container look like."""
     by_serial = demultiplexed(media)
-    heads = {struct.unpack_from("<IIQ", p[0][0], len(MAGIC))[1]: s for s, p in by_serial.items()}
-    streams = [timed(by_serial[heads[k]]) for k in sorted(heads)]
+    heads = {s: head_of(p[0][0]) for s, p in by_serial.items()}
+    by_place = {place: s for s, (_, place, _) in heads.items()}
+    if sorted(by_place) != list(range(STREAMS)) or len(heads) != STREAMS:
+        raise ValueError("a stream is missing")
+    streams = [timed(by_serial[by_place[k]]) for k in range(STREAMS)]
     turns = [p for k in range(max(map(len, streams))) for p in (s[k] for s in streams if k < len(s))]
     payload = b"".join(body for _, body in turns)
+    if {length for _, _, length in heads.values()} != {len(payload)}:
+        raise ValueError("the payload is not as long as its header says")
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     energy = int((x * x).sum())
     signs = np.sign(x - 128)
     return payload, {
         "streams": len(streams),
         "packets": len(turns),
-        "pages": media.count(CAPTURE),
+        "pages": count_pages(media),
         "seconds": round(max(t + len(b) / RATE for s in streams for t, b in s), 6),
         "mean": round(int(x.sum()) / len(x), 6),
         "energy": energy,
