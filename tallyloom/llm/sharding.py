@@ -5,15 +5,19 @@ piece may be; such a hot group is divided into pieces by a hash of the id. Every
 vector (bytes, tokens, rows), each component as a share of the whole table's. A piece goes to
 the shard where the dot product of its vector with the shard's residual capacity is highest.
 
-Large pieces are few (a bounded number, by their size) and are placed first, in one task. The
-others are dealt by hash to lanes. A lane packs its pieces, largest first, against its share
-of the capacity that the large ones left; it holds one vector a shard, so its memory is
+Pieces are placed in tiers by size: the largest in one task, then those of each further tier in
+``TIER`` times as many lanes, to which they are dealt by hash. A piece that could upset a lane of
+the next tier belongs to this one, so a lane of any tier but the last gets a bounded number of
+pieces, whatever the number of partitions. A lane packs its pieces, largest first, against its
+share of the capacity that earlier tiers left; it holds one vector a shard, so its memory is
 constant, and lanes need nothing of each other.
 
 The law is `bytes`: sizes (UTF-8 bytes of the text plus ``OVERHEAD``) are near equal.
 
 Defined results: a null text has no bytes and no tokens, and null texts are a group; an empty
-text likewise; an empty table gives an empty result; repeated rows get slots of their own.
+text likewise; an empty table gives an empty result; repeated rows get slots of their own;
+very long texts are measured, not held, and are pieces like any other; only the two named columns
+are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from tallyloom.llm.mixing import running, word_count
 OVERHEAD = 8
 #: A group is kept whole up to 1/PIECE of a shard; a piece is large from 1/LARGE of a lane's shard on.
 PIECE, LARGE = 2, 4
+#: Lanes of a tier for each of the one before.
+TIER = 64
 #: A lane packs about so many pieces at least, as few pieces can't be balanced.
 LANE_PIECES = 20_000
 #: Weight of a component in the dot product: bytes are what the law promises.
@@ -99,17 +105,21 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).cast("long")).drop("hot_key", "cuts")
     pieces = written(rows.groupBy("key", "piece").agg(*sums), "shard-pieces")
 
-    packed = max(1, min(lanes, pieces.count() // LANE_PIECES))
-    if packed == 1:
-        placed = pack(pieces, n_shards, totals, [], 1)
-    else:
-        floor = max(1.0, totals[0] / n_shards / packed / LARGE)
-        large, small = pieces.where(F.col("bytes") > floor), pieces.where(F.col("bytes") <= floor)
-        # at most n_shards * packed * LARGE pieces exceed the floor: they fit one task
-        first = written(pack(large, n_shards, totals, [], 1), "shard-large")
-        put = first.join(large, ["key", "piece"]).groupBy("shard").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")])
-        load = {r.shard: [float(r.bytes), float(r.tokens), float(r.rows)] for r in put.collect()}  # a row a shard
-        placed = first.unionByName(pack(small, n_shards, totals, [load.get(s, [0.0, 0.0, 0.0]) for s in range(n_shards)], packed))
+    tiers, most_lanes = [1], max(1, min(lanes, pieces.count() // LANE_PIECES))
+    while tiers[-1] < most_lanes:
+        tiers.append(min(most_lanes, tiers[-1] * TIER))
+    placed, load, ceiling = None, np.zeros((n_shards, 3)), None
+    for packed, finer in zip(tiers, [*tiers[1:], None]):
+        # at most n_shards * finer * LARGE pieces in all exceed the floor
+        floor = max(1.0, totals[0] / n_shards / finer / LARGE) if finer else 0.0
+        tier = pieces.where((F.col("bytes") > floor) & (F.lit(True) if ceiling is None else F.col("bytes") <= ceiling))
+        done = pack(tier, n_shards, totals, load.tolist(), packed)
+        if finer:
+            done = written(done, "shard-tier")
+            put = done.join(tier, ["key", "piece"]).groupBy("shard").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")])
+            for r in put.collect():  # a row a shard
+                load[r.shard] += (float(r.bytes), float(r.tokens), float(r.rows))
+        placed, ceiling = done if placed is None else placed.unionByName(done), floor
 
     put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key")
     put = put.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
