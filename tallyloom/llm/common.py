@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import shared_dir
+
 #: Words are runs of anything but ASCII white space (space and 0x09-0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (local tests, one machine) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared folder."""
+    _tables.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables written so far.
+_tables: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are removed at the end, so what is still wanted of them must be written or counted inside."""
+    first = len(_tables)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _tables[first:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _tables[first:]
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,14 +4,17 @@ Every query is scored against every vector. A histogram of the scores narrows do
 level, the interval that holds a query's k-th score, until that interval is one score wide.
 Then the vectors scoring at least that are kept and ranked, ties to the smaller id.
 
-Queries are handled in blocks of a bounded number, one pass of the vectors a level. A
+Queries are handled in blocks of a bounded number, one pass of the vectors a level; a block's
+result is written before the next one begins, so neither plans nor broadcasts add up. A
 partition reports only the histogram bins from its own k-th score upward, as no lower bin can
 hold the k-th score of all; so it reports at most k bins a query.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no
 part, neither as query nor as candidate; vectors of another length than the query's are not
-its candidates; an id given to several vectors asks with each, ranked together; a query with fewer than k candidates returns them all; rows that share the
-query's id are the query itself; repeated candidate rows are returned once each.
+its candidates; an id given to several vectors asks with each, ranked together; a query with fewer
+than k candidates returns them all; rows that share the query's id are the query itself; repeated
+candidate rows are returned once each; a null id takes no part; an empty table gives an empty
+result; only the two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import folder
+
 #: Queries a block at most, in expectation; vectors scored at a time; bins a level.
 BLOCK, STEP, BINS = 2048, 2048, 1 << 14
 
@@ -75,7 +80,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         return empty
     bound = int(rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]) * int(largest) * int(longest)
     blocks = -(-n_asked // BLOCK)
-    found = None
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = folder(spark, "top-k")
     for b in range(blocks):
         block = sorted(map(tuple, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).distinct().collect()))
         if not block:
@@ -105,11 +111,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             wide = step
         low[~open_] = NEVER
         best = rows.mapInArrow(survivors(shared, low, k), "query_id long, vec_id long, score long")
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return empty
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return ranked
+        ranked.write.parquet(f"{place}/block={b}")
+        shared.unpersist()
+    return spark.read.schema(empty.schema).parquet(f"{place}/block=*")
 
 
 def histogram(shared, low: np.ndarray, wide: int, step: int, k: int):
