@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+import public_tokenizers
+
 from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, oracles, pii, quality, sharding, suffix_dedup, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: Name of the vocabulary file, looked up among the public tokenizers of the machine.
+TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_json(path: str = TOKENIZER) -> str:
-    """Content of the vocabulary file, read where the driver runs; workers get it by broadcast."""
-    with open(path, encoding="utf-8") as f:
+def tokenizer_json(name: str = TOKENIZER) -> str:
+    """Content of a vocabulary file, read where the driver runs; workers get it by broadcast."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
 
 
@@ -42,8 +44,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    machine = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
-    scored = quality.score(docs, machine)
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1), metadata=("n_chars",))
+    scored = quality.score(docs, machine, metadata=("n_chars",))
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
@@ -78,7 +80,7 @@ def shipped(query):
 
 
 def queries() -> dict:
-    """The corpus queries: opN_<name> and the pipeline."""
+    """The corpus queries: opN_<name>."""
     return {name: shipped(f) for name, f in QUERIES.items()}
 
 
@@ -93,7 +95,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
-    "pipeline": corpus_pipeline.run,
 }
 
 
