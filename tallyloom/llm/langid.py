@@ -10,7 +10,9 @@ fixed size and is broadcast. Only text and lang of the training rows are seen by
 
 Defined results: a text that is null or has no letter gets `und` and score 0; a whole text is
 scored, whatever its length; equal texts score alike; with no labelled training text every
-text is `und` with score 0; ties go to the language first by code point.
+text is `und` with score 0; ties go to the language first by code point; repeated rows are each
+scored; an empty table gives an empty result; the columns `lang_pred` and `score` of the input are
+replaced, and no other plays a part.
 """
 
 from __future__ import annotations

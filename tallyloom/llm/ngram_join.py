@@ -24,7 +24,8 @@ No step drops a candidate, so components are exact up to 64-bit collisions of sh
 Defined results: a null or empty text, or one of white space alone, has no shingle, links with
 nothing and is its own component; a text of fewer than n words has its whole sequence as one
 shingle; rows that share a doc_id count as one document that links wherever any of them does;
-an empty table gives an empty result; texts of any length are read whole.
+an empty table gives an empty result; texts of any length are read whole; repeated rows are
+equal sets; only the two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations

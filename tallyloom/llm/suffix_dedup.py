@@ -22,7 +22,8 @@ Identities of texts, grams and contexts are 64-bit hashes.
 Defined results: a null text is empty; a text under ``length`` bytes keeps everything and
 nothing in it is a repeat; an empty table gives an empty result; repeated rows are copies of
 each other; rows of one doc_id and different texts are different documents; a kept sequence
-may end within a character, as bytes are removed.
+may end within a character, as bytes are removed; very long texts are hashed in
+segments; only the two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyloom.llm import bpe, ngram_join, ogg, suffix_dedup
-from tallyloom.llm.registry import TOKENIZER, tokenizer_json
+from tallyloom.llm.registry import tokenizer_json
 
-LIBRARY = Tokenizer.from_file(TOKENIZER)
+LIBRARY = Tokenizer.from_str(tokenizer_json())
 OWN = bpe.parsed(tokenizer_json())
 texts = st.text(max_size=60) | st.text(alphabet=st.sampled_from("aAbz'sStTdD 1٣²½Ⅷ \t\n\x1c\x85\xa0 ééÇ漢ΑΣσςİıß!?<|>-_🎉‍ﬁẞ"), max_size=80)
 
