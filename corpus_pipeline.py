@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, langid, mixing, ngram_join, pii
-from tallyloom.llm.common import written
+from tallyloom.llm.common import folder, scratch, written
 from tallyloom.session import ship, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: Name of the vocabulary file among the public tokenizers of the machine.
+TOKENIZER = "word_bpe_49k.json"
 #: A text is rejected whose language has a lower posterior than this, or that has no letter.
 SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter or of no recognised language; fill in missing languages."""
+    """Drop texts without a letter or of no recognised language; fill in missing languages.
+
+    Null and empty texts have no letter and go. Rows are judged by their text alone: null and repeated
+    ids, repeated rows and very long texts stay like any other, and a language that is given stays.
+    """
     ship(spark)
     model = langid.fit(docs, F.lit(True))
     tagged = langid.annotated(docs, model)
@@ -42,12 +48,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind, and n_chars follows.
+
+    Every row stays, whatever its id; a null text stays null, with n_chars null; texts without personal data are untouched.
+    """
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; of one that it takes in part, whole copies to the nearest."""
+    """Documents as often as the mix takes them; of one that it takes in part, whole copies to the nearest.
+
+    A text without words has size 0, takes no part and goes. Null ids and a null source are like any
+    other; equal rows are told by their number, and rows that only share an id are apart.
+    """
     # tables of ids grow with the documents, so they are joined by sorting at any size; a row is known by all its columns
     row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
     docs = docs.withColumn("_row", row)
@@ -61,9 +74,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, as digests, and of the text decoded from them."""
+    """Token ids of every text, as digests, and of the text decoded from them; a null text has none. Every row stays."""
     ship(spark)
-    with open(TOKENIZER, encoding="utf-8") as f:
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         return bpe.encode_decode(docs, f.read())
 
 
@@ -80,8 +93,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
+    """All stages over documents, each one's result written and read again; what a stage wrote besides goes with it.
+
+    An empty table passes through all stages. Columns besides those of documents are kept as they are.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        place = folder(spark, f"stage-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(place)
+        docs = spark.read.schema(kept.schema).parquet(place)
     return STAGES[-1][1](spark, docs, sf_dir)
