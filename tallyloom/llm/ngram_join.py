@@ -15,8 +15,11 @@ sizes a and b that is an overlap of T = ceil(num (a + b) / (num + den)).
    heap, and sets that reach T less the number of long lists are looked up in the long lists
    by binary search. Sets already known to be connected are not compared again, so a block
    gives a spanning forest instead of all pairs.
-4. Blocks over ``BLOCK`` sets are cut into chunks that all hold the block's first set. What is
-   not connected to it after that (usually nothing) is searched against all chunks.
+4. Blocks over ``BLOCK`` sets or ``LOAD`` shingles are cut into chunks that all hold the block's
+   first set. Where some are not connected to it after that (usually none are), the block's sets
+   meet again by parts: linked sets differ in at most d shingles, so of d + 1 ranges of hashes at
+   least one holds the same shingles in both. Only groups that agree in a part and are not
+   connected yet are searched, again by chunks; what is then still apart is searched against all.
 5. Links are joined into components by Spark.
 
 No step drops a candidate, so components are exact up to 64-bit collisions of shingle hashes.
@@ -44,12 +47,16 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import id_and_text, width, written
 from tallyloom.llm.graph import components
 
-#: Sets of a block compared in one task; counters of the frequency table and of one of its parts.
+#: Sets of a block compared in one task; counters of the frequency table, and rows or counters given at once.
 BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
-#: Sets of a block whose profiles are compared in one task.
+#: Sets of a block whose profiles are compared in one task; blocks of more pass as they are.
 COMPARED = 2048
+#: Shingles of a block that are held in one task.
+LOAD = 1 << 22
 #: Factor between levels of sizes: only sets of sizes that can link meet in a block.
 LEVEL = 1.5
+#: Factor between levels of sizes where sets meet by parts.
+BAND = 1.1
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
 PROBE_COST = 0.01
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -175,16 +182,16 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -
 
 
 def viable(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Blocks (block, first, doc_id) divided into what can link at all, by the profiles' bound.
+    """Blocks (block, first, doc_id, n) divided into what can link at all, by the profiles' bound.
 
-    members: (block, doc_id, n, profile). Sets that can link with none of their block go; a
-    block of more than ``COMPARED`` sets passes as it is.
+    members: (block, doc_id, n, profile), with at most ``COMPARED`` sets a block. Sets that can
+    link with none of their block go.
     """
     import pyarrow as pa
 
-    names = ["block", "first", "doc_id"]
+    names = ["block", "first", "doc_id", "n"]
 
-    def divide(rows: list[tuple[int, int, int, bytes]], out: list[tuple[int, bool, int]]) -> None:
+    def divide(rows: list[tuple[int, int, int, bytes]], out: list[tuple[int, bool, int, int]]) -> None:
         if len(rows) < 2:
             return
         sizes = np.array([r[2] for r in rows])
@@ -200,34 +207,28 @@ def viable(members: DataFrame, num: int, den: int) -> DataFrame:
                 linked_[i] = linked_[j] = True
         for i in np.flatnonzero(linked_).tolist():
             root = known.root(i)
-            out.append((xxhash.xxh3_64_intdigest(f"{rows[i][0]}/{rows[root][1]}".encode()) - (1 << 63), root == i, rows[i][1]))
+            out.append((xxhash.xxh3_64_intdigest(f"{rows[i][0]}/{rows[root][1]}".encode()) - (1 << 63), root == i, rows[i][1], rows[i][2]))
 
     def batch_of(out: list[tuple]):
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64()))], names=names)
+        cols = list(zip(*out)) if out else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
 
     def run(batches):
-        name, rows, passing = None, [], False
+        name, rows = None, []
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if row[0] != name:
                     divide(rows, out)
-                    name, rows, passing = row[0], [], False
-                if passing:
-                    out.append((row[0], False, row[1]))
-                    continue
+                    name, rows = row[0], []
                 rows.append(row)
-                if len(rows) > COMPARED:
-                    out += [(r[0], i == 0, r[1]) for i, r in enumerate(rows)]
-                    rows, passing = [], True
             yield batch_of(out)
         out = []
         divide(rows, out)
         yield batch_of(out)
 
     dealt = members.select("block", "doc_id", "n", "profile").repartition(width(members.sparkSession), "block").sortWithinPartitions("block", "doc_id")
-    return dealt.mapInArrow(run, "block long, first boolean, doc_id long")
+    return dealt.mapInArrow(run, "block long, first boolean, doc_id long, n int")
 
 
 class Forest:
@@ -336,42 +337,112 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     groups = part.groupBy("shingle", "level").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
     groups = written(groups.select("shingle", "level", F.xxhash64("level", "low").alias("block")), "shared-shingles")
     members = part.join(groups, ["shingle", "level"]).select("block", "set").distinct()
-    members = members.join(named, "set").select("block", F.col("rep").alias("doc_id"), "n", "profile")
-    members = written(viable(members, num, den), "block-members")
-    counts = members.groupBy("block").agg(F.count("*").alias("size"))
-    members = written(members.join(counts, "block"), "blocks")
+    members = blocks(members, named, num, den)
     # members grow with the documents: the join with their texts is by sorting at any size
-    of_text = texts.where("text is not null").hint("merge")
-
-    chunks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
-    everywhere = F.transform(F.sequence(F.lit(1), chunks.cast("int")), lambda i: i - 1)
-    first = members.select("block", F.explode(F.when(F.col("first"), everywhere).otherwise(F.array(own))).alias("chunk"), F.lit(0).alias("other"), F.lit(True).alias("asks"), "doc_id")
-    links = written(search(first.join(of_text, "doc_id"), n, num, den), "links")
-
-    large = members.where(F.col("size") > BLOCK)
-    if not large.isEmpty():
-        more = rest(large, links, texts.where("text is not null"), n, num, den)
-        links = links if more is None else written(links.unionByName(more), "links")
+    of_text = texts.where("text is not null")
+    links = written(search(in_chunks(members).join(of_text.hint("merge"), "doc_id"), n, num, den), "links")
+    links = by_parts(members, links, named, of_text, n, num, den)
     comps = components(links)
     out = rows.join(reps.select("key", "rep"), "key", "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def rest(large: DataFrame, links: DataFrame, of_text: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """Links of large blocks' sets that chunks did not connect to the block's first set; None if all are."""
+def blocks(members: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, first, doc_id, chunks) of members (block, set): what can link, and the chunks that a block is cut into."""
+    members = written(members, "block-sets")
+    sizes = members.groupBy("block").agg(F.count("*").alias("size"), F.min("set").alias("low")).where(F.col("size") > COMPARED)
+    known = members.join(sizes, "block", "left").join(named, "set").withColumnRenamed("rep", "doc_id")
+    passing = known.where("size is not null").select("block", (F.col("set") == F.col("low")).alias("first"), "doc_id", "n")
+    divided = viable(known.where("size is null"), num, den)
+    members = written(divided.unionByName(passing), "block-members")
+    counts = members.groupBy("block").agg(chunks(F.col("n")).alias("chunks"))
+    return written(members.drop("n").join(counts, "block"), "blocks")
+
+
+def chunks(n: Column) -> Column:
+    """Aggregate: the number of chunks of sets of n shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(n) / LOAD)).cast("int")
+
+
+def in_chunks(members: DataFrame) -> DataFrame:
+    """Members as search() takes them: each in its own chunk, a block's first in all of them."""
+    own = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
+    at = F.when(F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    return members.select("block", F.explode(at).alias("chunk"), F.lit(0).alias("other"), F.lit(True).alias("asks"), "doc_id")
+
+
+def unfinished(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(block, doc_id, chunks, label, apart) of the blocks of several chunks in which sets are apart from the first; None if there are none."""
+    large = members.where("chunks > 1")
+    if large.isEmpty():
+        return None
     comps = components(links)
     labelled = large.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
     firsts = labelled.where("first").groupBy("block").agg(F.min("label").alias("first_label"))
-    labelled = written(labelled.join(firsts, "block"), "large-blocks")
-    own = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    apart = labelled.where(F.col("label") != F.col("first_label"))
-    if apart.isEmpty():
-        return None
-    # blocks in which nothing is apart are done
-    labelled = labelled.join(apart.select("block").distinct(), "block", "left_semi")
-    n_apart = apart.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
-    # every set as something to be found, in as many copies as there are chunks of queries
-    found = labelled.join(n_apart, "block").select("block", own.alias("chunk"), F.explode(F.sequence(F.lit(1), F.col("others"))).alias("other"), F.lit(False).alias("asks"), "doc_id")
-    asked = apart.join(n_apart, "block").select("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))).alias("chunk"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("others")) + 1).cast("int").alias("other"), F.lit(True).alias("asks"), "doc_id")
-    return search(found.unionByName(asked).join(of_text, "doc_id"), n, num, den)
+    labelled = written(labelled.join(firsts, "block").withColumn("apart", F.col("label") != F.col("first_label")).drop("first_label", "first"), "large-blocks")
+    left = labelled.where("apart").select("block").distinct()
+    return None if left.isEmpty() else labelled.join(left, "block", "left_semi")
+
+
+def parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(part, set, doc_id, label) of docs (doc_id, label, text): what each set holds of every range of hashes.
+
+    A set is at its own level of sizes and at those that larger sets it can link with are at; the
+    number of ranges is one more than what linked sets of that level can differ by.
+    """
+    import pyarrow as pa
+
+    def of_set(s: np.ndarray):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ ODD[0]))])
+        low, high = (math.floor(math.log(x) / math.log(BAND)) for x in (len(s), len(s) * den / num * (1 + 1e-9)))
+        for band in range(low, high + 1):
+            ranges = 2 * math.ceil(BAND ** (band + 1)) * (den - num) // (den + num) + 1
+            of = (s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            held = np.diff(sums[np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))])
+            yield mixed(held + mixed(np.arange(ranges, dtype=np.uint64) + np.uint64(band << 32) + ODD[1])).view(np.int64)
+
+    def run(batches):
+        shingler = Shingler(n)
+        for batch in batches:
+            out, load = [], 0
+            for doc_id, label, text in zip(*(batch.column(i) for i in range(3))):
+                s = shingler(text.as_py())
+                if not len(s):
+                    continue
+                for named in of_set(s):
+                    out.append((named, *(np.full(len(named), x, np.int64) for x in (key64(digest(s)), doc_id.as_py(), label.as_py()))))
+                    load += len(named)
+                if load > PART:
+                    yield batch_of(out)
+                    out, load = [], 0
+            if out:
+                yield batch_of(out)
+
+    def batch_of(out: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["part", "set", "doc_id", "label"])
+
+    return docs.select("doc_id", "label", "text").mapInArrow(run, "part long, set long, doc_id long, label long")
+
+
+def by_parts(members: DataFrame, links: DataFrame, named: DataFrame, of_text: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The links, with those of large blocks' sets that chunks did not connect to the block's first set."""
+    left = unfinished(members, links)
+    if left is None:
+        return links
+    sets = left.select("doc_id", "label").distinct().join(of_text.hint("merge"), "doc_id")
+    held = written(parts(sets, n, num, den), "parts")
+    groups = held.groupBy("part").agg(F.min("set").alias("low"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    again = held.select("part", "set").join(groups.select("part", F.xxhash64("low").alias("block")), "part").select("block", "set").distinct()
+    again = blocks(again, named, num, den)
+    links = written(search(in_chunks(again).join(of_text.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")
+    left = unfinished(again, links)
+    if left is None:
+        return links
+    # each set that is apart asks all chunks of its block; every set is found in as many copies as there are chunks of those
+    left = left.join(named.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
+    left = left.join(left.where("apart").groupBy("block").agg(chunks(F.col("n")).alias("others")), "block")
+    own = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
+    found = left.select("block", own.alias("chunk"), F.explode(F.sequence(F.lit(1), F.col("others"))).alias("other"), F.lit(False).alias("asks"), "doc_id")
+    asking = (F.pmod(F.xxhash64("doc_id", F.lit(1)), "others") + 1).cast("int")
+    asked = left.where("apart").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), asking.alias("other"), F.lit(True).alias("asks"), "doc_id")
+    return written(search(found.unionByName(asked).join(of_text.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")

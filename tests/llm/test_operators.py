@@ -301,6 +301,45 @@ def test_join_against_brute_force(spark, monkeypatch, block, n, num):
     assert got == linked_brute(rows, n, num, 100)
 
 
+def recombined(n_texts: int) -> list[tuple[int, str]]:
+    """Texts of lines that many others have too, so that blocks are large and hold sets apart; every third has a near copy."""
+    rng = random.Random(7)
+    lines = [words(5000 + k, 12) for k in range(12)]
+    rows = []
+    for i in range(n_texts):
+        mine = [lines[k] for k in rng.sample(range(12), 8)]
+        rows.append((2 * i, " ".join(mine)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(mine[:-1] + [mine[-1].rsplit(" ", 1)[0] + " other"])))
+    return rows
+
+
+@pytest.mark.parametrize("num", [90, 80])
+def test_large_blocks_meet_again_by_parts(spark, monkeypatch, num):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "COMPARED", 8)
+    monkeypatch.setattr(ngram_join, "LOAD", 600)
+    rows = recombined(60)
+    asked = []
+    plain = ngram_join.parts
+    monkeypatch.setattr(ngram_join, "parts", lambda *a: asked.append(1) or plain(*a))
+    got = both(ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, num, 100).collect(), "doc_id", "n_shingles", "component_id")
+    assert got == linked_brute(rows, 3, num, 100) and asked
+    assert len({c for *_, c in got}) > 20
+
+
+@pytest.mark.parametrize("num", [90, 80])
+def test_linked_sets_share_a_part(spark, num):
+    rows = recombined(40) + [(1000 + i, t) for i, t in copies(12)]
+    sets = shingle_sets(rows, 3)
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, label long, text string")
+    held = {}
+    for r in ngram_join.parts(df, 3, num, 100).collect():
+        held.setdefault(r.doc_id, set()).add(r.part)
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert len(linked) > 10 and all(held[a] & held[b] for a, b in linked)
+
+
 def test_join_on_odd_tables(odd, none):
     out = ngram_join.linked(odd).collect()
     assert len(out) == len(TEXTS)
