@@ -53,6 +53,8 @@ BLOCK, COUNTERS, PART = 512, 1 << 20, 1 << 16
 COMPARED = 2048
 #: Shingles of a block that are held in one task.
 LOAD = 1 << 22
+#: Most ids (of 16 bytes with their label) that are broadcast to the texts.
+FEW = 1 << 20
 #: Factor between levels of sizes: only sets of sizes that can link meet in a block.
 LEVEL = 1.5
 #: Factor between levels of sizes where sets meet by parts.
@@ -424,17 +426,26 @@ def parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "label", "text").mapInArrow(run, "part long, set long, doc_id long, label long")
 
 
+def texts_of(ids: DataFrame, of_text: DataFrame) -> DataFrame:
+    """Ids, distinct, with their texts: up to ``FEW`` of them go to the texts, beyond that both are sorted."""
+    if ids.count() <= FEW:
+        return of_text.join(F.broadcast(ids), "doc_id")
+    return of_text.hint("merge").join(ids, "doc_id")
+
+
 def by_parts(members: DataFrame, links: DataFrame, named: DataFrame, of_text: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The links, with those of large blocks' sets that chunks did not connect to the block's first set."""
     left = unfinished(members, links)
     if left is None:
         return links
-    sets = left.select("doc_id", "label").distinct().join(of_text.hint("merge"), "doc_id")
+    # the texts of those blocks are written once, so that the searches below shuffle no others
+    sets = written(texts_of(written(left.select("doc_id", "label").distinct(), "large-ids"), of_text), "large-texts")
+    of_large = sets.select("doc_id", "text")
     held = written(parts(sets, n, num, den), "parts")
     groups = held.groupBy("part").agg(F.min("set").alias("low"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
     again = held.select("part", "set").join(groups.select("part", F.xxhash64("low").alias("block")), "part").select("block", "set").distinct()
     again = blocks(again, named, num, den)
-    links = written(search(in_chunks(again).join(of_text.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")
+    links = written(search(in_chunks(again).join(of_large.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")
     left = unfinished(again, links)
     if left is None:
         return links
@@ -445,4 +456,4 @@ def by_parts(members: DataFrame, links: DataFrame, named: DataFrame, of_text: Da
     found = left.select("block", own.alias("chunk"), F.explode(F.sequence(F.lit(1), F.col("others"))).alias("other"), F.lit(False).alias("asks"), "doc_id")
     asking = (F.pmod(F.xxhash64("doc_id", F.lit(1)), "others") + 1).cast("int")
     asked = left.where("apart").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), asking.alias("other"), F.lit(True).alias("asks"), "doc_id")
-    return written(search(found.unionByName(asked).join(of_text.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")
+    return written(search(found.unionByName(asked).join(of_large.hint("merge"), "doc_id"), n, num, den).unionByName(links), "links")

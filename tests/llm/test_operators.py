@@ -314,8 +314,9 @@ def recombined(n_texts: int) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("num", [90, 80])
-def test_large_blocks_meet_again_by_parts(spark, monkeypatch, num):
+@pytest.mark.parametrize("num,few", [(90, 1 << 20), (90, 0), (80, 0)])
+def test_large_blocks_meet_again_by_parts(spark, monkeypatch, num, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "COMPARED", 8)
     monkeypatch.setattr(ngram_join, "LOAD", 600)
