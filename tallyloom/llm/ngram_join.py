@@ -344,8 +344,12 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     of_text = texts.where("text is not null")
     links = written(search(in_chunks(members).join(of_text.hint("merge"), "doc_id"), n, num, den), "links")
     links = by_parts(members, links, named, of_text, n, num, den)
-    comps = components(links)
-    out = rows.join(reps.select("key", "rep"), "key", "left").join(comps, F.col("rep") == F.col("node"), "left")
+    classed = rows.join(reps.select("key", "rep"), "key", "left")
+    # an id of several rows links the classes that they are in
+    several = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    same = classed.where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    comps = components(links.unionByName(same))
+    out = classed.join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 

@@ -341,6 +341,13 @@ def test_linked_sets_share_a_part(spark, num):
     assert len(linked) > 10 and all(held[a] & held[b] for a, b in linked)
 
 
+def test_rows_of_one_id_link_their_classes(spark):
+    one, other = words(31, 60), words(32, 60)
+    for rows in ([(1, one), (5, other), (5, one), (9, other + " y")], [(1, one), (5, other), (5, one + " y"), (9, other)]):
+        out = ngram_join.linked(spark.createDataFrame([*rows, (None, other)], "doc_id long, text string")).collect()
+        assert [r.component_id for r in out] == [1] * 5
+
+
 def test_join_on_odd_tables(odd, none):
     out = ngram_join.linked(odd).collect()
     assert len(out) == len(TEXTS)
