@@ -37,4 +37,25 @@ x AS (SELECT c.*, coalesce(n, 0) * block AS given FROM c LEFT JOIN o USING (plac
 SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, given) - start) + greatest(0, least(start + source_size + size, given) - start - source_size) + greatest(0, least(start + 2 * source_size + size, given) - start - 2 * source_size))::BIGINT AS taken FROM x
 """
 
-SQL = {"op2_exact_top_k": TOP_K, "op6_ngram_join": NGRAM_JOIN, "op9_mixing": MIXING}
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds of op13 one after another, with a row a component."""
+    steps = [
+        f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale}.0::DOUBLE * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (n // {parts}) AS part, (i - 1) % (n // {parts}) AS pos, q[i] AS x FROM (SELECT r, q, len(q) AS n, unnest(range(1, len(q) + 1)) AS i FROM k)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= {entries})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, part, min((e, entry)) AS best FROM (SELECT r, part, entry, sum((x - c) * (x - c))::BIGINT AS e FROM x JOIN c{n} USING (part, pos) GROUP BY ALL) GROUP BY ALL)")
+        if n < rounds:
+            steps.append(f"s{n} AS (SELECT part, a{n}.best[2] AS entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM x JOIN a{n} USING (r, part) GROUP BY ALL)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(s{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN s{n} USING (part, entry, pos))")
+    steps.append(f"o AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"h AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})")
+    return ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h"
+
+
+SQL = {"op2_exact_top_k": TOP_K, "op6_ngram_join": NGRAM_JOIN, "op9_mixing": MIXING, "op13_vector_codes": vector_codes()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, oracles, pii, quality, sharding, suffix_dedup, topk
+from tallyloom.llm import bpe, codes, langid, mixing, ngram_join, ogg, oracles, packing, pii, quality, sharding, suffix_dedup, tandem, topk
 from tallyloom.llm.common import held_out
 from tallyloom.session import ship, table
 
@@ -69,6 +69,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.runs(table(spark, sf_dir, "documents"), least=24, exponent=3, planted=True)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), capacity=2048, end_id=0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def shipped(query):
     """The query, with the package given to the Python workers first."""
 
@@ -95,6 +107,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_tandem_runs": op11_tandem_runs,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
