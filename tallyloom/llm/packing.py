@@ -19,16 +19,14 @@ order of lanes and rows; an empty table gives an empty result; only the two name
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import NOT_SPACE
+from tallyloom.llm.bpe_batch import batch_encoder
 from tallyloom.llm.common import id_and_text, width, written
 from tallyloom.llm.mixing import running
 
@@ -36,72 +34,6 @@ from tallyloom.llm.mixing import running
 SHARES = 256
 #: Bits of a rank within a length.
 RANK_BITS = 44
-#: A worker remembers the ids of about twice so many chunks of up to so many letters.
-YOUNG, LONGEST = 300_000, 64
-#: Signs that may stand between chunks; chunks that hold the sign are encoded alone.
-MARKS = "¶§~|"
-
-
-class Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each chunk between white space.
-
-    A text's new chunks are encoded in one call, with a mark between them whose single id no other chunk can
-    give. Two generations of chunks are remembered: when the younger is full the older one goes, so frequent chunks stay.
-    """
-
-    def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(content)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.mark, self.mark_id = next((m, ids[0]) for m in MARKS if len(ids := self.ask(m)) == 1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ask(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks that the younger generation does not know."""
-        plain = []
-        for c in chunks:
-            if c in self.old:
-                self.young[c] = self.old[c]
-            elif self.mark in c:
-                self.young[c] = self.ask(c).tobytes()
-            else:
-                plain.append(c)
-        ids = self.ask(f" {self.mark} ".join(plain))
-        ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-        content, start = ids.tobytes(), 0
-        for c, end in zip(plain, ends, strict=True) if plain else ():
-            self.young[c] = content[4 * start : 4 * end]
-            start = end + 1
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.young) > YOUNG:
-            self.old, self.young = self.young, {}
-        chunks = NOT_SPACE.findall(text or "")
-        new = [c for c in set(chunks) if c not in self.young]
-        if new:
-            self.learn(new)
-        ids = b"".join([self.young[c] for c in chunks])
-        for c in new:
-            if len(c) > LONGEST:
-                del self.young[c]
-        return ids
-
-
-@lru_cache(maxsize=2)
-def encoder(content: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(content)
 
 
 def pieces_of(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool, id_col: str, text_col: str) -> DataFrame:
@@ -114,11 +46,11 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int,
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches):
-        words = encoder(content.value)
+        encoder = batch_encoder(content.value)
         for batch in batches:
             at, cut = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = words.encode(text.as_py()) + end
+            for i, ids in enumerate(encoder.encode_each(batch.column(1))):
+                ids += end
                 for p, k in enumerate(range(0, len(ids), step)):
                     part = ids[k : k + step]
                     at.append(i)
@@ -126,7 +58,6 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int,
             piece, start, length, crc, part = zip(*cut) if cut else ((),) * 5
             cols = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 2)] + [pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(part, pa.binary())] * keep_ids, names=names)
-        words.clear()  # the worker may wait long for its next task
 
     return id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
 

@@ -9,11 +9,13 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from tallyloom.llm import codes, packing, tandem
+from tallyloom.llm.bpe_batch import BatchEncoder
 from tallyloom.llm.registry import tokenizer_json
 
 from .conftest import odd_rows, words
@@ -159,13 +161,15 @@ def test_encoder_is_the_library_s():
     from tokenizers import Tokenizer
 
     content = tokenizer_json()
-    library, own = Tokenizer.from_str(content), packing.Encoder(content)
+    library, own = Tokenizer.from_str(content), BatchEncoder(content)
     library.no_truncation()
     rng = random.Random(2)
-    texts = [t or "" for _, t in TEXTS] + ["~ a~b ¶ ~~", "a<|endoftext|>b <|startoftext|>", "don't WE'LL　x", "́a b́"]
+    texts = [t or "" for _, t in TEXTS] + ["~ a~b ¶ ~~", " a\x1cb \x85c\xa0d\u2003e  ", "a<|endoftext|>b <|startoftext|>", "don't WE'LL　x", "́a b́"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x300), rng.randrange(0x300, 0xD7FF), rng.randrange(0x10000, 0x20000)])) for _ in range(50)) for _ in range(500)]
-    for t in texts + texts[:20]:
-        assert list(array("I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids, t
+    texts += [words(i, 300) for i in range(20)] + ["x" * n for n in (39, 40, 41, 300)]
+    for _ in range(2):
+        for t, ids in zip(texts, own.encode_each(pa.array(texts)), strict=True):
+            assert list(array("I", ids)) == library.encode(t, add_special_tokens=False).ids, t
 
 
 def packed_is_right(rows, texts, capacity):
