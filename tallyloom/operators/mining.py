@@ -39,29 +39,88 @@ def hotspots(changes: DataFrame, item: str, size: str, author: str) -> DataFrame
     return per.withColumn("score", F.round(F.col("churn") * F.col("size").cast("double"), 6))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut; one call is one job over all that is left."""
+    return df.checkpoint()
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) without those that lead from a node that nothing leads to, or to one that leads nowhere, until none is left out."""
+    n = edges.count()
+    while n:
+        from_, to = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = cut(edges.join(from_, "dst", "left_semi").join(to, "src", "left_semi").select("src", "dst", "weight"))
+        if (left := edges.count()) == n:
+            break
+        n = left
+    return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of strongly connected components, of at least one for each part of the graph that holds a cycle.
+
+    Colours go forward first: a node's is the greatest node that reaches it. Backward from each node of its own
+    colour, within the colour, its component is met. All colours spread in the same rounds.
+    """
+    colours = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")))
+    while True:
+        told = edges.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("root").alias("told"))
+        spread = cut(colours.join(told, "node", "left").select("node", F.greatest("root", "told").alias("root"), F.coalesce(F.col("told") > F.col("root"), F.lit(False)).alias("moved")))
+        colours = spread.select("node", "root")
+        if spread.where("moved").isEmpty():
+            break
+    of = lambda end: colours.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    inner = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_root = dst_root").select("src", "dst", F.col("src_root").alias("root")))
+    found = last = cut(colours.where("node = root"))
+    while not last.isEmpty():
+        back = inner.join(last.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "root").distinct()
+        last = cut(back.join(found.select("node"), "node", "left_anti"))
+        found = cut(found.unionByName(last))
+    return found
+
+
+def cycle_breakers(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight): the edges to drop so that no cycle is left.
+
+    Every strongly connected component loses its weakest edge (smallest weight, then src, dst; a null weight is the
+    smallest); what is left of it is treated likewise. Components of a round are found and cut together, so
+    the number of rounds follows from the deepest one, not from their number.
+    """
+    dropped, open_ = edges.limit(0).select("src", "dst", "weight"), trimmed(edges)
+    while not open_.isEmpty():
+        parts = components(open_)
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))  # noqa: B023, E731
+        inside = open_.join(of("src"), "src").join(of("dst"), "dst").where("src_root = dst_root")
+        order = F.struct(F.col("weight").isNotNull().alias("known"), "weight", "src", "dst")
+        weakest = cut(inside.groupBy("src_root").agg(F.min(order).alias("e")).select("e.src", "e.dst", "e.weight"))
+        dropped = cut(dropped.unionByName(weakest))
+        open_ = trimmed(open_.join(weakest.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "weight"))
+    return dropped
+
+
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, wave): wave 0 has no open dependency; edges (src, dst, weight) say dst waits for src.
 
-    When only cycles are left, the weakest edge (smallest weight, then src, dst; a null weight is
-    the smallest) is dropped. Rounds go on until every node has its wave: each one closes nodes or
-    drops an edge. A null node waits for nothing; an edge with a null end is none.
-    State stays in DataFrames; every round cuts its lineage by checkpoint.
+    Where only cycles and what waits for them are left, the edges that break all cycles (``cycle_breakers``) are dropped and the
+    waves start anew without them; a graph without cycles never pays for the search. Of several edges between two nodes the weakest counts. Rounds go on until every node has its wave. A null
+    node waits for nothing; an edge with a null end is none. State stays in DataFrames; every round cuts its lineage by checkpoint.
     """
     shared_dir(nodes.sparkSession)  # where checkpoints go
-    open_nodes, open_edges = nodes.select("node").distinct().checkpoint(), edges.select("src", "dst", "weight").where("src != dst").distinct().checkpoint()
+    single = F.min(F.struct(F.col("weight").isNotNull().alias("known"), "weight"))["weight"].alias("weight")
+    every, kept = cut(nodes.select("node").distinct()), cut(edges.where("src != dst").groupBy("src", "dst").agg(single))
+    open_nodes, open_edges = every, kept
     done, wave = open_nodes.limit(0).select("node", F.lit(0).alias("wave")), 0
     while not open_nodes.isEmpty():
-        free = open_nodes.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").checkpoint()
+        free = cut(open_nodes.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            weakest = open_edges.orderBy("weight", "src", "dst").limit(1).toDF("_src", "_dst", "_weight")
-            same = (F.col("src") == F.col("_src")) & (F.col("dst") == F.col("_dst")) & F.col("weight").eqNullSafe(F.col("_weight"))
-            open_edges = open_edges.join(weakest, same, "left_anti").checkpoint()
+            kept = cut(kept.join(cycle_breakers(open_edges).select("src", "dst"), ["src", "dst"], "left_anti"))
+            open_nodes, open_edges, done, wave = every, kept, done.limit(0), 0
             continue
         done = done.unionByName(free.select("node", F.lit(wave).alias("wave")))
         wave += 1
         if wave % 32 == 0:  # the plan stays short
-            done = done.checkpoint()
+            done = cut(done)
         closed = free.select(F.col("node").alias("_node"))
-        open_nodes = open_nodes.join(closed, F.col("node").eqNullSafe(F.col("_node")), "left_anti").checkpoint()
-        open_edges = open_edges.join(free.withColumnRenamed("node", "src"), "src", "left_anti").checkpoint()
+        open_nodes = cut(open_nodes.join(closed, F.col("node").eqNullSafe(F.col("_node")), "left_anti"))
+        open_edges = cut(open_edges.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
     return done.select("node", F.col("wave").cast("int").alias("wave"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.buckets import start
+from tallyloom.functions.search import contained
 from tallyloom.functions.text import EMAIL
 from tallyloom.operators.conform import commits_enriched, counted_commits
+from tallyloom.session import ship
 from tallyloom.sources.adapter import Activity
 
 
@@ -17,9 +19,10 @@ def bucket_mismatches(a: Activity) -> DataFrame:
     return commits_enriched(a).agg(F.count(F.when(bad, 1)).alias("mismatches"), F.count("*").alias("rows_checked"))
 
 
-def bucket_properties(spark: SparkSession, first: str = "2026-01-01", days: int = 21) -> DataFrame:
-    """Per day: its week starts on a Monday, not after it, and less than 7 days before."""
-    day = spark.range(days).select(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")).alias("day"))
+def bucket_properties(moments: DataFrame, ts: str = "ts") -> DataFrame:
+    """Per day that occurs, and the 21 days from the first of 2026: its week starts on a Monday, not after it, and less than 7 days before."""
+    fixed = moments.sparkSession.range(21).select(F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    day = moments.select(F.to_date(ts).alias("day")).where("day is not null").union(fixed).distinct()
     week = start("week", F.col("day").cast("timestamp_ntz"))
     return day.select("day", week.alias("week_start"), ((F.weekday(week) == 0) & (week <= F.col("day")) & (F.datediff("day", week) < 7)).cast("long").alias("holds"))
 
@@ -59,18 +62,15 @@ def limited(due: DataFrame, order: str, most: int) -> tuple[DataFrame, DataFrame
     return due.orderBy(order).limit(most), counts
 
 
-#: The most needles that one pass looks for.
-NEEDLES = 200
+def identifiers_in(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that hold an email-shaped string or any needle, ignoring case, wherever it stands in the text; any number of needles."""
+    ship(texts.sparkSession)
+    shaped = texts.where(F.col(text).rlike(EMAIL)).withColumn("found", F.lit("email-shaped"))
+    return contained(texts, needles, text).unionByName(shaped)
 
 
-def identifiers_in(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
-    """Texts that hold an email-shaped string or any needle, ignoring case, wherever it stands in the text.
-
-    Needles are counted first; they become one column expression, so texts are read once and never joined.
-    """
-    names = [r.needle for r in needles.select(F.lower("needle").alias("needle")).distinct().limit(NEEDLES + 1).collect()]
-    if len(names) > NEEDLES:
-        raise ValueError(f"more than {NEEDLES} needles")
-    low = F.lower(F.col(text))
-    hits = F.filter(F.array(*[F.when(low.contains(x), F.lit(x)) for x in names], F.when(F.col(text).rlike(EMAIL), F.lit("email-shaped"))), lambda x: x.isNotNull())
-    return texts.select("*", F.explode(hits).alias("found"))
+def disclosed(texts: DataFrame, needles: DataFrame, allowed: DataFrame, text: str = "text") -> DataFrame:
+    """identifiers_in with `collision`: the needle is part of an allowed name (name), so it is reported but no breach."""
+    hits = identifiers_in(texts, needles, text)
+    inside = contained(allowed.select("name"), needles, "name").select("found").distinct().withColumn("collision", F.lit(True))
+    return hits.join(inside, "found", "left").select(*texts.columns, "found", F.coalesce("collision", F.lit(False)).alias("collision"))

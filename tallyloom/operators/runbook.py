@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.globs import matched
 from tallyloom.functions.rules import glob_regex, matches_any
+from tallyloom.session import ship
 
 #: File names that hardly belong in a repository, by first hit.
 SUSPECT = [
@@ -15,8 +17,6 @@ SUSPECT = [
 ENVIRONMENTS, REGIONS_NEEDED = ("local", "preview", "production"), 2
 #: What a captcha contract and a translated page must assert, and words of templates.
 CAPTCHA_ASSERTIONS, VISIBLE_REGIONS, TEMPLATES = ("renders", "token", "submission", "success-ui", "backend-boundary"), ("header", "main", "form", "footer"), "booster-pack|example|template|changeme|localhost"
-#: The most globs of an override file.
-GLOBS = 500
 
 
 def suspect_file(path: Column) -> Column:
@@ -78,17 +78,16 @@ def resolution(source: Column, have: Column, interrupted: Column, resolved: Colu
 def resolved_identities(emails: DataFrame, rules: DataFrame) -> DataFrame:
     """emails (email, login) with override rules (line, directive, key, value) applied: the last matching line wins.
 
-    Literal addresses join by equality; globs, at most ``GLOBS`` lines of a file, are matched by pattern.
+    Literal addresses join by equality; globs, any number of them, are matched by their common trie.
     """
+    ship(emails.sparkSession)
     usable = rules.where("error is null and directive = 'email'")
-    globs = [(r.line, r.key, r.value) for r in usable.where(F.col("key").rlike(r"[*?]")).orderBy("line").limit(GLOBS + 1).collect()]
-    if len(globs) > GLOBS:
-        raise ValueError(f"more than {GLOBS} globs")
-    exact = usable.where(~F.col("key").rlike(r"[*?]")).groupBy(F.lower("key").alias("email")).agg(F.max(F.struct("line", "value")).alias("x"))
-    hits = [F.when(F.col("email").rlike(glob_regex(key)), F.struct(F.lit(line).cast("long").alias("line"), F.lit(value).alias("value"))) for line, key, value in globs]
-    none = F.lit(None).cast("struct<line:bigint,value:string>")
-    best = F.array_max(F.filter(F.array(F.coalesce(F.col("x"), none), *hits), lambda s: s.isNotNull()))
-    return emails.join(exact, "email", "left").withColumn("o", best).select("email", F.coalesce("o.value", "login").alias("login"), F.when(F.col("o").isNotNull(), "manual").when(F.col("login").isNotNull(), "api").alias("source"))
+    wild = F.col("key").rlike(r"[*?]")
+    exact = usable.where(~wild).select(F.lower("key").alias("email"), F.col("line").cast("long").alias("line"))
+    hits = emails.select("email").distinct()
+    hits = matched(hits, usable.where(wild), "email", glob="key").select("email", "line").unionByName(exact)
+    last = hits.groupBy("email").agg(F.max("line").alias("line")).join(usable.select(F.col("line").cast("long").alias("line"), "value"), "line").select("email", "value")
+    return emails.join(last, "email", "left").select("email", F.coalesce("value", "login").alias("login"), F.when(F.col("value").isNotNull(), "manual").when(F.col("login").isNotNull(), "api").alias("source"))
 
 
 def flags_after(people: DataFrame, rules: DataFrame) -> DataFrame:

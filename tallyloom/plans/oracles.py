@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import records, runbook
+from tallyloom.plans import records, runbook, scale
 
 MODEL = """
 WITH repos AS (
@@ -216,7 +216,7 @@ SELECT repo_full_name, earlier, later, CASE WHEN earlier = 0 THEN 'new' WHEN lat
     "q23b_upserts": UPSERTS,
     "q24_affected_buckets": "SELECT DISTINCT ts::DATE AS day FROM events WHERE event_id % 14 = 0 UNION SELECT day FROM (SELECT DISTINCT ts::DATE AS day FROM events ORDER BY day DESC LIMIT 2)",
     "q25_incremental_equals_full": DAILY,
-    "q26_bucket_property_check": "SELECT d::DATE AS day, date_trunc('week', d)::DATE AS week_start, 1::BIGINT AS holds FROM (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2026-01-21', INTERVAL 1 DAY)) AS d)",
+    "q26_bucket_property_check": "SELECT d AS day, date_trunc('week', d)::DATE AS week_start, 1::BIGINT AS holds FROM (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2026-01-21', INTERVAL 1 DAY))::DATE AS d UNION SELECT ts::DATE FROM events)",
     "q26b_bucket_mismatches": "SELECT 0::BIGINT AS mismatches, count(*) AS rows_checked FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)",
     "q27_conservation": MODEL + "SELECT 'day_start' AS period, count(*) AS total, count(DISTINCT day_start) AS buckets FROM cc UNION ALL SELECT 'week_start', count(*), count(DISTINCT week_start) FROM cc UNION ALL SELECT 'month_start', count(*), count(DISTINCT month_start) FROM cc",
     "q28_classify_titles": CLASSIFY,
@@ -269,4 +269,4 @@ SELECT week_start, planned, merged, reverts, class AS top_class, round(100.0::DO
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every activity query that SQL expresses."""
-    return SQL | runbook.SQL | records.SQL | {k: MODEL + v for k, v in records.MODELLED.items()}
+    return SQL | runbook.SQL | records.SQL | scale.SQL | {k: MODEL + v for k, v in records.MODELLED.items()}

@@ -13,7 +13,7 @@ from tallyloom.functions.text import blocks, body_chars, capped, flattened, for_
 from tallyloom.operators import classify, gates, mining, pages, quality, rollups, sessions, upsert
 from tallyloom.operators.conform import commits_enriched, prs_enriched
 from tallyloom.operators.rollups import n, r6
-from tallyloom.plans import records, runbook
+from tallyloom.plans import records, runbook, scale
 from tallyloom.session import shared_dir, ship, table
 from tallyloom.sources.adapter import Activity
 from tallyloom.streaming import arrivals
@@ -332,7 +332,7 @@ QUERIES = {
     "q23b_upserts": over(q23b),
     "q24_affected_buckets": q24,
     "q25_incremental_equals_full": q25,
-    "q26_bucket_property_check": lambda spark, sf_dir: quality.bucket_properties(spark),
+    "q26_bucket_property_check": lambda spark, sf_dir: quality.bucket_properties(table(spark, sf_dir, "events")),
     "q26b_bucket_mismatches": over(quality.bucket_mismatches),
     "q27_conservation": over(quality.conservation),
     "q28_classify_titles": q28,
@@ -373,4 +373,4 @@ QUERIES = {
 
 def queries() -> dict:
     """Every activity query."""
-    return QUERIES | runbook.QUERIES | records.QUERIES
+    return QUERIES | runbook.QUERIES | records.QUERIES | scale.QUERIES

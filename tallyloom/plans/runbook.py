@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import runbook
-from tallyloom.session import table
+from tallyloom.session import shared_dir, table
 from tallyloom.sources import framed
 
 
@@ -61,10 +63,18 @@ Q55B = """SELECT 'p' || c_custkey AS login, CASE c_custkey WHEN 5 THEN 0 WHEN 8
 
 
 def q55c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(spark).select("line", "directive", F.coalesce("error", F.lit("ok")).alias("state"))
+    """Override files, one for every thousand people, written and read back: each line's state by its number in its file."""
+    k = F.col("c_custkey")
+    line = F.when(k % 11 == 0, "# comment").when(k % 11 == 1, "").when(k % 11 == 2, F.concat(F.lit("oops\t"), k, F.lit("\ty"))).when(k % 11 == 3, F.concat(F.lit("name\t"), k, F.lit("\t"))).when(k % 11 == 4, "bot\t").otherwise(F.concat(F.lit("email\t"), k, F.lit("@x.org\tp"), k))
+    thousand = table(spark, sf_dir, "customer").groupBy(F.floor(k / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
+    place = f"{shared_dir(spark)}/overrides-{uuid.uuid4().hex}"
+    thousand.select("part", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("value")).write.partitionBy("part").text(place)
+    rows = framed.overrides(framed.numbered_lines(spark, place, "*.txt"), "file")
+    return rows.groupBy(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "directive", F.coalesce("error", F.lit("ok")).alias("state")).agg(F.count("*").alias("lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
-Q55C = """SELECT * FROM (VALUES (2::BIGINT, 'email', 'ok'), (3, 'email', 'ok'), (4, 'alias', 'ok'), (5, 'bot', 'ok'), (6, 'human', 'ok'), (7, 'exclude', 'ok'), (8, 'oops', 'unknown directive'), (9, 'name', 'no value'), (10, 'email', 'ok'), (11, 'bot', 'ok')) v(line, directive, state)"""
+Q55C = """WITH l AS (SELECT c_custkey AS k, c_custkey // 1000 AS part, row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS line FROM customer)
+SELECT part, CASE k % 11 WHEN 2 THEN 'oops' WHEN 3 THEN 'name' WHEN 4 THEN 'bot' ELSE 'email' END AS directive, CASE k % 11 WHEN 2 THEN 'unknown directive' WHEN 3 THEN 'no value' WHEN 4 THEN 'no key' ELSE 'ok' END AS state, count(*) AS lines, min(line) AS first_line, max(line) AS last_line FROM l WHERE k % 11 > 1 GROUP BY ALL"""
 
 
 def q56(spark: SparkSession, sf_dir: str) -> DataFrame:

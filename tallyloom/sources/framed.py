@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRECTIVES = ("email", "alias", "bot", "human", "exclude", "name")
@@ -25,14 +25,35 @@ def framed(records: DataFrame, value: str = "value") -> DataFrame:
     return rows.select("sha", F.lower("email").alias("email"), "name", F.to_timestamp_ntz("authored_at").alias("authored_at"), (F.size(F.filter(F.split("parents", " "), lambda x: x != "")) > 1).cast("int").alias("is_merge"), "subject", F.filter(F.split("trailers", "\\u001d"), lambda x: x != "").alias("trailers"), number("insertion").alias("insertions"), number("deletion").alias("deletions"), number("file").alias("files_changed"))
 
 
-def overrides(lines: DataFrame) -> DataFrame:
-    """(line, directive, key, value, note, error) of an override file (line, value); errors are kept, not skipped."""
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, line, value) of all text files below path, with line numbers from 1 in each file.
+
+    A file is read as one value, as override files are small, so numbering needs no sort over files; an empty file has no line.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    return files.where("value != ''").select("file", F.posexplode(lines).alias("n", "value")).select("file", (F.col("n") + 1).cast("long").alias("line"), "value")
+
+
+def tracked_files(spark: SparkSession, path: str, pruned: tuple[str, ...] = ("node_modules", "vendor", ".git", "dist", "build")) -> DataFrame:
+    """(path, bytes, modified_at) of every file below a folder, without those in pruned folders.
+
+    Contents are not read, as their column is not selected. Spark lists no empty files.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inside = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    return listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at")).where(~F.arrays_overlap(inside, F.array(*map(F.lit, pruned))))
+
+
+def overrides(lines: DataFrame, file: str | None = None) -> DataFrame:
+    """(line, directive, key, value, note, error) of an override file (line, value); errors are kept, not skipped. With file, its column is kept."""
     parts = F.split("value", "\t")
-    rows = lines.select("line", F.regexp_replace(F.get(parts, 0), r"\s", "").alias("directive"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(n) for i, n in ((1, "key"), (2, "val"), (3, "note"))])
+    own = [file] if file else []
+    rows = lines.select(*own, "line", F.regexp_replace(F.get(parts, 0), r"\s", "").alias("directive"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(n) for i, n in ((1, "key"), (2, "val"), (3, "note"))])
     rows = rows.where((F.coalesce("directive", F.lit("")) != "") & ~F.startswith("directive", F.lit("#")))
     needs = F.col("directive").isin("email", "alias", "name") & (F.col("val") == "")
     error = F.when(~F.col("directive").isin(*DIRECTIVES), "unknown directive").when(F.col("key") == "", "no key").when(needs, "no value")
-    return rows.select("line", "directive", "key", F.col("val").alias("value"), "note", error.alias("error"))
+    return rows.select(*own, "line", "directive", "key", F.col("val").alias("value"), "note", error.alias("error"))
 
 
 def complete_pages(pages: DataFrame, collection: str, size: str, total: str) -> DataFrame:
