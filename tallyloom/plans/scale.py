@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import globs
-from tallyloom.operators import quality
+from tallyloom.functions.buckets import start
+from tallyloom.operators import distincts, history, quality
 from tallyloom.session import ship, table
 
 
@@ -51,5 +52,42 @@ m AS (SELECT k, line FROM o JOIN p ON line = c WHERE (line % 4 = 0 AND k % 3 = 0
 l AS (SELECT *, max(line) OVER (PARTITION BY k) AS last FROM m)
 SELECT line % 4 AS kind, count(*) AS hits, count(*) FILTER (line = last) AS last_hits, sum(line)::BIGINT AS lines FROM l GROUP BY 1"""
 
-QUERIES = {"q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
-SQL = {"q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
+
+def q78(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history a customer, made of orders with branchings and merges: commits after each customer's cursor."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    back = [F.lag("o_orderkey", i).over(w).alias(f"p{i}") for i in (1, 2, 3)]
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("commit"), *back)
+    k = F.col("commit")
+    first = F.when(k % 7 == 0, F.coalesce("p2", "p1")).otherwise(F.col("p1"))
+    parents = o.select("commit", F.explode(F.array_distinct(F.array_compact(F.array(first, F.when(k % 3 == 0, F.col("p3")))))).alias("parent"))
+    ranges = o.groupBy(F.col("o_custkey").alias("range_id")).agg(F.max("commit").alias("branch"), F.max(F.when(k % 4 == 1, k)).alias("cursor"))
+    return history.commits_in_range(o.select("commit"), parents, ranges).groupBy("range_id").agg(F.count("*").alias("commits"), F.min("commit").alias("first_commit"), F.max("commit").alias("last_commit"), F.sum("commit").alias("sum_commits"))
+
+
+Q78 = """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, lag(o_orderkey, 1) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2, lag(o_orderkey, 3) OVER w AS p3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT k, CASE WHEN k % 7 = 0 THEN coalesce(p2, p1) ELSE p1 END AS p FROM o UNION SELECT k, p3 FROM o WHERE k % 3 = 0),
+r AS (SELECT c, max(k) AS branch, max(k) FILTER (k % 4 = 1) AS cursor FROM o GROUP BY 1),
+a AS (SELECT c, branch AS k FROM r UNION SELECT a.c, e.p FROM a JOIN e ON e.k = a.k WHERE e.p IS NOT NULL),
+b AS (SELECT c, cursor AS k FROM r WHERE cursor IS NOT NULL UNION SELECT b.c, e.p FROM b JOIN e ON e.k = b.k WHERE e.p IS NOT NULL),
+d AS (SELECT * FROM a EXCEPT SELECT * FROM b)
+SELECT c AS range_id, count(*) AS commits, min(k) AS first_commit, max(k) AS last_commit, sum(k)::BIGINT AS sum_commits FROM d GROUP BY 1"""
+
+
+def q79(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct people by week and month, of a type of event and of all, from one pass of bitmaps a day."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("scope"), start("day", "ts").alias("day"), F.col("user_id"))
+    days = distincts.day_sets(e, ["scope"], "day", "user_id")
+    out = None
+    for kind in ("week", "month"):
+        for keys in (["scope"], []):
+            part = distincts.counted(distincts.merged(days, keys, kind), [*keys, "period_start"]).select(F.lit(kind).alias("period_kind"), "period_start", (F.col("scope") if keys else F.lit("all")).alias("scope"), "people")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+Q79 = """WITH e AS (SELECT *, ts::DATE AS d FROM events), p AS (SELECT 'week' AS period_kind, date_trunc('week', d)::DATE AS period_start, event_type, user_id FROM e UNION ALL SELECT 'month', date_trunc('month', d)::DATE, event_type, user_id FROM e)
+SELECT period_kind, period_start, event_type AS scope, count(DISTINCT user_id) AS people FROM p GROUP BY ALL UNION ALL SELECT period_kind, period_start, 'all', count(DISTINCT user_id) FROM p GROUP BY ALL"""
+
+QUERIES = {"q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
+SQL = {"q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
