@@ -231,7 +231,12 @@ def first_assisted(a: Activity) -> DataFrame:
 
 def adopters_cumulative(a: Activity) -> DataFrame:
     """Adopters up to each month's end: new adopters, summed along a dense spine."""
-    first = first_assisted(a).withColumn("month_start", start("month", "first_at"))
+    return cumulative(first_assisted(a))
+
+
+def cumulative(firsts: DataFrame) -> DataFrame:
+    """adopters_cumulative of first times (scope, scope_key, identity_id, first_at)."""
+    first = firsts.withColumn("month_start", start("month", "first_at"))
     new = first.groupBy("scope", "scope_key", "month_start").agg(F.count("*").alias("new_adopters"))
     bounds = first.agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))
     dense = spine(first.select("scope", "scope_key").distinct(), bounds, "month", "month_start")

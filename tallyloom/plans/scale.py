@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import globs
 from tallyloom.functions.buckets import start
-from tallyloom.operators import distincts, history, quality
-from tallyloom.session import ship, table
+from tallyloom.operators import distincts, history, quality, rollups, upsert
+from tallyloom.operators.conform import counted_commits, scoped
+from tallyloom.session import shared_dir, ship, table
+from tallyloom.sources.adapter import Activity
+from tallyloom.streaming import arrivals, keyed
 
 
 def q31b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +95,71 @@ def q79(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q79 = """WITH e AS (SELECT *, ts::DATE AS d FROM events), p AS (SELECT 'week' AS period_kind, date_trunc('week', d)::DATE AS period_start, event_type, user_id FROM e UNION ALL SELECT 'month', date_trunc('month', d)::DATE, event_type, user_id FROM e)
 SELECT period_kind, period_start, event_type AS scope, count(DISTINCT user_id) AS people FROM p GROUP BY ALL UNION ALL SELECT period_kind, period_start, 'all', count(DISTINCT user_id) FROM p GROUP BY ALL"""
 
-QUERIES = {"q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
-SQL = {"q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
+
+def arriving(rows: DataFrame, key: str, slots: int = 4) -> str:
+    """Rows as files of a new folder in the order of a hash, so that late ones are among them; the folder."""
+    place = f"{shared_dir(rows.sparkSession)}/arriving-{uuid.uuid4().hex}"
+    for slot in range(slots):
+        rows.where(F.pmod(F.xxhash64(key), F.lit(slots)) == slot).write.parquet(f"{place}/{slot}")
+    return place
+
+
+@contextmanager
+def setting(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for the time of a block."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative adopters from first assisted changes that a stream keeps as state, whatever the order of arrival."""
+    ship(spark)
+    keys = ["repo_full_name", "owner", "identity_id"]
+    rows = counted_commits(Activity(spark, sf_dir)).where("steerer_state = 'known' and is_ai_assisted = 1").select(*keys, "sha", "authored_at")
+    source = arriving(rows, "sha")
+    told = f"{source}-told"
+    with setting(spark, keyed.STORE):
+        arrivals.drain(spark, source, rows.schema, keyed.lowest_sink(told), f"{source}-cursor", files=spark.sparkContext.defaultParallelism, through=lambda s: keyed.first_occurrences(s, keys, "authored_at"), mode="update")
+    first = keyed.lowest_of(spark.read.parquet(told), keys, "first_at")
+    return rollups.cumulative(scoped(first).groupBy("scope", "scope_key", "identity_id").agg(F.min("first_at").alias("first_at")))
+
+
+def q81(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts kept by a stream: every batch computes again the days it touches."""
+    events = table(spark, sf_dir, "events")
+    source = arriving(events, "event_id", 2)
+    kept = keyed.MaintainedDaily(f"{source}-kept")
+    arrivals.drain(spark, source, events.schema, kept.sink, f"{source}-cursor", files=spark.sparkContext.defaultParallelism)
+    return kept.read(spark).select(F.col("bucket").alias("day"), "event_type", "events", "users", "value")
+
+
+def q82(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of versions of lines into a keyed table in hash buckets: the latest of each key, by line number."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("seen_at"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("quantity"))
+    kept = upsert.KeyedTable(f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", ("l_orderkey", "l_linenumber"), ("seen_at", "l_partkey", "l_suppkey", "quantity"), buckets=spark.sparkContext.defaultParallelism)
+    for half in (1, 0):
+        kept.load(rows.where(F.col("l_suppkey") % 2 == half))
+    return kept.read(spark).groupBy(F.col("l_linenumber").cast("long").alias("l_linenumber")).agg(F.count("*").alias("keys"), F.round(F.sum("quantity"), 2).alias("quantity"), F.max("seen_at").cast("date").alias("last_seen"), F.sum("l_partkey").alias("parts"))
+
+
+def q83(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dry run of a replacement: what late events, and the loss of one type on odd days, would change in the daily counts."""
+    events = table(spark, sf_dir, "events")
+    daily = lambda df: df.groupBy(start("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("events"))
+    old = daily(events.where("event_id % 7 > 0 and not (event_type = 'view' and dayofmonth(ts) = 4)"))
+    fresh = daily(events.where("dayofmonth(ts) % 2 = 0 or event_type <> 'error'").where("event_id % 7 > 0 or dayofmonth(ts) < 9"))
+    return upsert.changes(old, fresh, ["day", "event_type"]).select("day", "event_type", "change", F.col("old.events").alias("events_before"), F.col("new.events").alias("events_after"))
+
+
+Q83 = """WITH o AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE event_id % 7 > 0 AND NOT (event_type = 'view' AND day(ts) = 4) GROUP BY ALL),
+f AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE (day(ts) % 2 = 0 OR event_type <> 'error') AND (event_id % 7 > 0 OR day(ts) < 9) GROUP BY ALL)
+SELECT day, event_type, CASE WHEN o.n IS NULL THEN 'added' WHEN f.n IS NULL THEN 'gone' ELSE 'changed' END AS change, o.n AS events_before, f.n AS events_after FROM o FULL JOIN f USING (day, event_type) WHERE o.n IS DISTINCT FROM f.n"""
+
+QUERIES = {"q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
+SQL = {"q83_dry_run": Q83, "q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}

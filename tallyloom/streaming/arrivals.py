@@ -39,10 +39,14 @@ def latest_cursor(cursors: DataFrame, done: DataFrame, keys: list[str], at: str)
     return both.groupBy(*keys).agg(F.max(at).alias(at))
 
 
-def drain(spark: SparkSession, source: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*.parquet") -> None:
-    """Process everything that is available at a path, at least once a row, with a durable cursor."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(spark: SparkSession, source: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*.parquet", files: int | None = None, through: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> None:
+    """Process everything that is available at a path, at least once a row, with a durable cursor.
+
+    files bounds the files of a batch; through is what the stream passes before the sink, in the given output mode.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true" if files else "false")
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    query = (through(stream) if through else stream).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
