@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import globs
 from tallyloom.functions.buckets import start
-from tallyloom.operators import distincts, history, quality, rollups, upsert
+from tallyloom.operators import distincts, history, pages, quality, rollups, upsert
 from tallyloom.operators.conform import counted_commits, scoped
 from tallyloom.session import shared_dir, ship, table
 from tallyloom.sources.adapter import Activity
@@ -161,5 +161,18 @@ Q83 = """WITH o AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM event
 f AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE (day(ts) % 2 = 0 OR event_type <> 'error') AND (event_id % 7 > 0 OR day(ts) < 9) GROUP BY ALL)
 SELECT day, event_type, CASE WHEN o.n IS NULL THEN 'added' WHEN f.n IS NULL THEN 'gone' ELSE 'changed' END AS change, o.n AS events_before, f.n AS events_after FROM o FULL JOIN f USING (day, event_type) WHERE o.n IS DISTINCT FROM f.n"""
 
-QUERIES = {"q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
-SQL = {"q83_dry_run": Q83, "q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
+
+def q32e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl of every site from its first page within five places; what is deferred is told."""
+    ship(spark)
+    return pages.crawled_within(table(spark, sf_dir, "pages")).select("url", "host", F.col("round").cast("long").alias("round"), "state")
+
+
+Q32E = r"""WITH p AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root, regexp_replace(CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]*$') THEN url || '/' ELSE url END, '#.*$', '') AS url, html FROM pages),
+f AS (SELECT host, min(url) AS url FROM p GROUP BY 1),
+l AS (SELECT DISTINCT p.host, root || unnest(regexp_extract_all(html, '<a [^>]*href="(/[^"#]*)', 1)) AS url FROM p JOIN f USING (host, url)),
+n AS (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY substr(md5(url), 1, 2), url) AS place FROM l WHERE url NOT IN (SELECT url FROM f))
+SELECT url, host, 0::BIGINT AS round, 'queued' AS state FROM f UNION ALL SELECT url, host, 1, CASE WHEN place < 5 THEN 'queued' ELSE 'deferred' END FROM n"""
+
+QUERIES = {"q32e_bounded_crawl": q32e, "q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
+SQL = {"q32e_bounded_crawl": Q32E, "q83_dry_run": Q83, "q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}

@@ -1,6 +1,7 @@
 """Rollups on a small hand-made fixture, and invariants on the supplied tables."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -244,6 +245,35 @@ def test_crawl_visits_each_page_once(spark):
     assert {r.url[-1]: r.round for r in pages.crawled(df, spark.createDataFrame([("https://x.org/e",), ("https://x.org/none",)], "url string")).collect()} == {"e": 0, "a": 1, "b": 2, "c": 2, "d": 3}
 
 
+@pytest.mark.parametrize("factor", [1, 2, 3, 50])
+def test_a_bounded_crawl_keeps_to_its_budget(spark, factor):
+    rng = random.Random(7)
+    pages_of = {f"https://{h}.org/{i}": sorted({f"https://{h}.org/{rng.randrange(30)}" for _ in range(4)}) for h in ("a", "b", "c") for i in range(20)}
+    rows = [(i, url, "".join(f'<a href="{v}">l</a>' for v in links) + '<a href="https://z.org/1">away</a>') for i, (url, links) in enumerate(pages_of.items())]
+    roots = ["https://a.org/1", "https://a.org/2", "https://b.org/0", "https://c.org/25"]
+    got = pages.crawled_within(spark.createDataFrame(rows, "page_id long, url string, html string"), factor, spark.createDataFrame([(x,) for x in roots], "url string"))
+    state, last, n = {x: (0, "queued") for x in roots}, roots, 0
+    budget = {"a": 2 * factor, "b": factor, "c": factor}
+    while last:
+        n += 1
+        met = sorted({v for u in last for v in pages_of.get(u, ())} - set(state), key=lambda u: (hashlib.md5(u.encode()).hexdigest()[:2], u))
+        last = []
+        for u in met:
+            queued = sum(1 for x, (_, s) in state.items() if s == "queued" and x[8] == u[8]) < budget[u[8]]
+            state[u] = (n, "queued" if queued else "deferred")
+            last += [u] * queued
+    assert {r.url: (r.round, r.state) for r in got.collect()} == state
+
+
+def test_elements_nested_and_unclosed(spark):
+    html = '<title>a<b>b</b></title><h1>one <h1>two</h1> tail</h1></h1><script>var x;</script><script type="Application/LD+JSON"> {} </script><img alt><img SRC=x><a>no</a><a href="">e</a><a href="/p">p</a><a href="http://[x">q</a><title>c</title><h1>open'
+    df = spark.createDataFrame([(1, "https://x.org/d/", html), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.parsed(df).collect()}
+    assert (got[1].title, got[1].h1, got[1].jsonld) == ("abc", ["one two tail", "two", "open"], ["{}"])
+    assert [tuple(i) for i in got[1].images] == [("", True), ("x", False)] and got[1].anchors == ["https://x.org/p", "http://[x"]
+    assert got[2].title == "" and got[3].h1 == [] and got[3].lang == ""
+
+
 def test_exact_ranks_of_ties_and_wide_values(spark):
     rows = [(g, float(v)) for g, values in {"one": [7], "ties": [3] * 9 + [4], "wide": range(0, 4000, 3), "near": [5 + i / 1e4 for i in range(501)]}.items() for v in values]
     df = spark.createDataFrame([*rows, ("none", None)], "g string, v double")
