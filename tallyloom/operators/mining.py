@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import shared_dir
+from tallyloom.session import shared_dir, stored
 
 #: Changes of up to so many items are paired in a row; larger ones in chunks of about so many.
 CHUNK = 100
@@ -14,15 +14,30 @@ CHUNK = 100
 def cooccurrence(changes: DataFrame, change: str, item: str, least: int = 2) -> DataFrame:
     """Pairs of items changed together at least `least` times, whatever the size of the changes.
 
-    Items of fewer changes than that can be in no result and go first. The items of a change are
-    dealt into chunks; a cell holds one chunk or two, so no row grows with the largest change.
+    Items of fewer changes than that can be in no result and go first. A change of up to ``CHUNK`` items is one
+    row; the items of a larger one are dealt into chunks, and a cell holds one chunk or two, so no row grows with the largest change.
     A change or item that is null counts as one like any other, but a null item pairs with nothing.
     """
     every = changes.select(F.col(change).alias("change"), F.col(item).alias("item")).where("item is not null").distinct()
+    every = stored(every, "changed-items")
     often = every.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item")
     kept = every.join(often, "item", "left_semi")
     wide = kept.groupBy("change").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("change").alias("wide"), F.ceil(F.col("n") / CHUNK).cast("int").alias("m"))
-    sized = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")), "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    wide = stored(wide, "wide-changes")
+    if wide.isEmpty():
+        small, large = kept, None
+    else:
+        small = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")), "left_anti")
+        large = kept.join(wide, F.col("change").eqNullSafe(F.col("wide")))
+    rows = small.groupBy("change").agg(F.sort_array(F.collect_list("item")).alias("xs"))
+    pairs = rows.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("b"))
+    if large is not None:
+        pairs = pairs.unionByName(chunked_pairs(large))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+
+
+def chunked_pairs(sized: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the items of changes (change, item, m) that are dealt into m chunks."""
     mine = sized.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     x, y = F.least("chunk", "other"), F.greatest("chunk", "other")
     of = lambda which: F.collect_list(F.when(F.col("chunk") == which, F.col("item")))
@@ -30,7 +45,7 @@ def cooccurrence(changes: DataFrame, change: str, item: str, least: int = 2) ->
     first = cells.select("xs", "ys", (F.col("x") == F.col("y")).alias("one"), F.posexplode("xs").alias("i", "a"))
     rest = F.when(F.col("one"), F.slice("xs", F.col("i") + 2, F.size("xs"))).otherwise(F.col("ys"))
     pairs = first.select("a", F.explode(rest).alias("b"))
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def hotspots(changes: DataFrame, item: str, size: str, author: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tallyloom.functions.buckets import start
 from tallyloom.functions.search import contained
 from tallyloom.functions.text import EMAIL
 from tallyloom.operators.conform import commits_enriched, counted_commits
-from tallyloom.session import ship
+from tallyloom.session import ship, stored
 from tallyloom.sources.adapter import Activity
 
 
@@ -28,9 +28,10 @@ def bucket_properties(moments: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def conservation(a: Activity) -> DataFrame:
-    """Totals by day, week and month agree with the number of rows."""
-    rows = counted_commits(a)
-    per = [rows.groupBy(c).agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("buckets")).select(F.lit(c).alias("period"), "total", "buckets") for c in ("day_start", "week_start", "month_start")]
+    """Totals by day, week and month agree with the number of rows; commits are counted once, by their stored buckets."""
+    buckets = ("day_start", "week_start", "month_start")
+    rows = stored(counted_commits(a).groupBy(*buckets).agg(F.count("*").alias("n")), "days")
+    per = [rows.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("buckets")).select(F.lit(c).alias("period"), "total", "buckets") for c in buckets]
     return per[0].unionByName(per[1]).unionByName(per[2])
 
 

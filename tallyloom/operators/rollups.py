@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.buckets import following, iso_label, pivoted, ratio, spine, start
 from tallyloom.operators.conform import commits_enriched, counted_commits, merged_prs, per_person, prs_enriched, scoped
+from tallyloom.session import stored
 from tallyloom.sources.adapter import Activity, agents_in
 
 WINDOW_DAYS, FLOOR_PRS, COHORT = 90, 3, 5
@@ -61,11 +62,12 @@ def median() -> Column:
 
 def weekly_delivery(a: Activity) -> DataFrame:
     """Merged reviews, contributors and cycle times per scope and week, on a dense spine."""
-    prs = merged_prs(a).withColumn("week_start", F.col("merged_week_start"))
+    columns = ["repo_full_name", "owner", "identity_id", "steerer_state", F.col("merged_week_start").alias("week_start"), "cycle_time_hours"]
+    prs = stored(merged_prs(a).select(*columns), "merged")
     key = ["scope", "scope_key", "week_start"]
     people = per_person(prs, ["week_start"], prs=F.count("*")).groupBy(*key).agg(F.sum("prs").alias("prs_merged"), F.count("identity_id").alias("active_contributors"))
     cycle = at_ranks(scoped(prs), key, "cycle_time_hours", QUARTILES).select(*key, r6(median()).alias("cycle_p50"), r6(F.col("third")).alias("cycle_p75"))
-    rolled = people.join(cycle, key, "left")
+    rolled = stored(people.join(cycle, key, "left"), "weekly")
     bounds = rolled.agg(F.min("week_start").alias("lo"), F.max("week_start").alias("hi"))
     keys = rolled.select("scope", "scope_key").distinct()
     dense = spine(keys, bounds, "week", "week_start")
@@ -245,22 +247,35 @@ def cumulative(firsts: DataFrame) -> DataFrame:
     return filled.select("scope", "scope_key", "month_start", "new_adopters", F.sum("new_adopters").over(up_to).alias("adopters"))
 
 
+def mature(firsts: DataFrame, last: DataFrame, days: int) -> DataFrame:
+    """First assisted commits whose window after is over by the last observed day (one row)."""
+    return firsts.join(F.broadcast(last)).where(F.date_add(F.to_date("first_at"), days) <= F.col("last_day")).drop("last_day")
+
+
 def adopters(a: Activity, days: int) -> DataFrame:
-    """First assisted commits whose window after is over by the last observed day."""
-    last = counted_commits(a).agg(F.max("day_start").alias("last_day"))
-    return first_assisted(a).join(F.broadcast(last)).where(F.date_add(F.to_date("first_at"), days) <= F.col("last_day")).drop("last_day")  # one row
+    """mature over all counted commits."""
+    return mature(first_assisted(a), counted_commits(a).agg(F.max("day_start").alias("last_day")), days)
 
 
 def before_after_volume(a: Activity) -> DataFrame:
-    """Median change of personal commit counts in the windows before and after adoption, in every scope."""
+    """Median change of personal commit counts in the windows before and after adoption, in every scope.
+
+    Commits are counted once per person, time and assistance; first times, the last day and the windows are read from that.
+    """
     who = ["scope", "scope_key", "identity_id"]
-    times = counted_commits(a).where("steerer_state = 'known'").groupBy("repo_full_name", "owner", "identity_id", "authored_at").agg(F.count("*").alias("c"))
+    person = ["repo_full_name", "owner", "identity_id"]
+    counts = counted_commits(a).groupBy(*person, "steerer_state", "authored_at").agg(F.count("*").alias("c"), F.max("is_ai_assisted").alias("assisted"))
+    times = stored(counts, "personal-times")
+    known = times.where("steerer_state = 'known'")
+    firsts = scoped(known.where("assisted = 1").groupBy(*person).agg(F.min("authored_at").alias("first_at"))).groupBy(*who).agg(F.min("first_at").alias("first_at"))
     width = F.expr(f"interval {WINDOW_DAYS} days")
-    near = adopters(a, WINDOW_DAYS).join(scoped(times).select(*who, "authored_at", "c"), who).where((F.col("authored_at") >= F.col("first_at") - width) & (F.col("authored_at") < F.col("first_at") + width))
+    grown = mature(firsts, times.agg(F.max(F.to_date("authored_at")).alias("last_day")), WINDOW_DAYS)
+    near = grown.join(scoped(known).select(*who, "authored_at", "c"), who).where((F.col("authored_at") >= F.col("first_at") - width) & (F.col("authored_at") < F.col("first_at") + width))
     side = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
     per = near.groupBy(*who).agg(side(F.col("authored_at") < F.col("first_at")).alias("before"), side(F.col("authored_at") >= F.col("first_at")).alias("after"))
     deltas = per.where("before > 0").withColumn("delta", ratio(F.col("after") - F.col("before"), F.col("before")))
     key = ["scope", "scope_key"]
+    deltas = stored(deltas, "personal-changes")
     sums = deltas.groupBy(*key).agg(F.count("*").alias("people"), F.sum("before").alias("commits_before"), F.sum("after").alias("commits_after"))
     return sums.join(at_ranks(deltas, key, "delta", MIDDLES), key).select(*key, "people", r6(median()).alias("median_delta_pct"), "commits_before", "commits_after")
 
