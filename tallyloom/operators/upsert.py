@@ -102,3 +102,17 @@ class KeyedTable:
         place = spark._jvm.org.apache.hadoop.fs.Path(aside)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         return len(touched)
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """A table that is only appended to, in batches of rows with a run_id; a batch given again takes its own place."""
+
+    path: str
+
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Add rows under the batch's name; earlier batches are neither read nor written."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(f"{self.path}/batch={batch}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path).drop("batch")

@@ -269,5 +269,5 @@ SELECT week_start, planned, merged, reverts, class AS top_class, round(100.0::DO
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every activity query that SQL expresses."""
-    again = {"q80_first_occurrence_stream": "q11_adopters_cumulative", "q81_maintained_daily": "q25_incremental_equals_full", "q82_bucketed_upsert": "q23_upsert_latest"}
+    again = {"q44b_ledger": "q44_coverage_by_run", "q80_first_occurrence_stream": "q11_adopters_cumulative", "q81_maintained_daily": "q25_incremental_equals_full", "q82_bucketed_upsert": "q23_upsert_latest"}
     return SQL | {k: SQL[v] for k, v in again.items()} | runbook.SQL | records.SQL | scale.SQL | {k: MODEL + v for k, v in records.MODELLED.items()}

@@ -237,12 +237,24 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.dayofmonth("ts").cast("long").alias("run_id"), F.when(F.col("user_id") % 2 == 0, "commit").otherwise("pr").alias("unit_kind"), method.alias("method"), F.when(F.col("value") > 50, F.col("event_type")).alias("detail"))
 
 
-def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coverage_by_run(ledger: DataFrame) -> DataFrame:
     script, mixed = F.col("method") == "script", F.col("method") == "script-with-fallback"
-    per = coverage(spark, sf_dir).groupBy("run_id", "unit_kind").agg(F.count("*").alias("total"), n(script).alias("n_script"), n(mixed).alias("n_script_fallback"), n(F.col("method") == "llm").alias("n_llm"))
+    per = ledger.groupBy("run_id", "unit_kind").agg(F.count("*").alias("total"), n(script).alias("n_script"), n(mixed).alias("n_script_fallback"), n(F.col("method") == "llm").alias("n_llm"))
     return per.select("*", F.round(ratio(F.col("n_script") + F.col("n_script_fallback"), F.col("total")), 4).alias("coverage_pct"), F.round(ratio(F.col("n_script"), F.col("total")), 4).alias("pure_script_pct"))
 
 
+def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage_by_run(coverage(spark, sf_dir))
+
+
+def q44b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a ledger that was appended to batch by batch, one of them twice."""
+    ledger, rows = upsert.Ledger(f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"), coverage(spark, sf_dir)
+    for batch, part in (("early", "run_id < 12"), ("late", "run_id >= 12"), ("early", "run_id < 12")):
+        ledger.append(rows.where(part), batch)
+    return coverage_by_run(ledger.read(spark).withColumn("run_id", F.col("run_id").cast("long")))
+
+
 def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = coverage(spark, sf_dir).where("method = 'llm'")
     return rows.groupBy("unit_kind", F.coalesce("detail", F.lit("(no reason recorded)")).alias("reason")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "unit_kind", "reason").limit(25)
@@ -360,6 +372,7 @@ QUERIES = {
     "q43b_excluded_actors": over(rollups.excluded_actors),
     "q43c_partial_buckets": over(rollups.partial_buckets),
     "q44_coverage_by_run": q44,
+    "q44b_ledger": q44b,
     "q45_backlog": q45,
     "q46_stream_daily_counts": q46,
     "q47_event_windows": q47,

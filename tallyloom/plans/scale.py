@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import globs
 from tallyloom.functions.buckets import start
-from tallyloom.operators import distincts, history, pages, quality, rollups, upsert
+from tallyloom.operators import distincts, history, pages, planning, quality, rollups, upsert
 from tallyloom.operators.conform import counted_commits, scoped
 from tallyloom.session import shared_dir, ship, table
 from tallyloom.sources.adapter import Activity
@@ -174,5 +174,55 @@ l AS (SELECT DISTINCT p.host, root || unnest(regexp_extract_all(html, '<a [^>]*h
 n AS (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY substr(md5(url), 1, 2), url) AS place FROM l WHERE url NOT IN (SELECT url FROM f))
 SELECT url, host, 0::BIGINT AS round, 'queued' AS state FROM f UNION ALL SELECT url, host, 1, CASE WHEN place < 5 THEN 'queued' ELSE 'deferred' END FROM n"""
 
-QUERIES = {"q32e_bounded_crawl": q32e, "q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
-SQL = {"q32e_bounded_crawl": Q32E, "q83_dry_run": Q83, "q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
+
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of their region's team: planned by priority, merged by status, with rounds and cost from their lines."""
+    a = Activity(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("rounds"), F.sum(F.col("l_quantity").cast("long")).alias("cost"))
+    people = table(spark, sf_dir, "customer").join(a.repos, F.col("c_nationkey") == F.col("repo_id")).select("c_custkey", F.col("owner").alias("team"))
+    o = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.select("team", F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("updated_at"), start("week", "o_orderdate").alias("week_start"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("planned"), (F.col("o_orderstatus") == "F").alias("merged"), F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("cost", F.lit(0)).alias("cost"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("failure"))
+
+
+WORK_ITEMS = """WITH l AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS rounds, sum(l_quantity::BIGINT)::BIGINT AS cost FROM lineitem GROUP BY 1),
+w AS (SELECT r_name AS team, o_orderkey AS item, o_orderdate AS updated_at, date_trunc('week', o_orderdate)::DATE AS week_start, o_orderpriority IN ('1-URGENT', '2-HIGH') AS planned, o_orderstatus = 'F' AS merged, coalesce(rounds, 0) AS rounds, coalesce(cost, 0) AS cost, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS failure
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN l ON k = o_orderkey)"""
+
+
+def q50b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.scorecard(work_items(spark, sf_dir))
+
+
+Q50B = WORK_ITEMS + """, s AS (SELECT team, week_start, count(*) FILTER (planned) AS planned, count(*) FILTER (planned AND merged) AS planned_merged, count(*) FILTER (merged) AS merged, count(*) FILTER (merged AND rounds > 2) AS reworked, sum(cost) AS cost FROM w GROUP BY ALL),
+c AS (SELECT team, week_start, failure AS top_failure FROM (SELECT team, week_start, failure, row_number() OVER (PARTITION BY team, week_start ORDER BY count(*) DESC, failure) AS r FROM w WHERE failure IS NOT NULL GROUP BY team, week_start, failure) WHERE r = 1),
+x AS (SELECT s.team, s.week_start, planned, planned_merged, merged, reworked, top_failure, round(100.0::DOUBLE * planned_merged / nullif(planned, 0), 6) AS planned_pct, round(100.0::DOUBLE * reworked / nullif(merged, 0), 6) AS rework_pct, round(cost::DOUBLE / nullif(merged, 0), 6) AS cost_per_merge FROM s LEFT JOIN c USING (team, week_start))
+SELECT x.*, CASE WHEN x.planned_pct > b.planned_pct THEN 'up' WHEN x.planned_pct < b.planned_pct THEN 'down' WHEN x.planned_pct = b.planned_pct THEN 'flat' END AS planned_pct_trend, CASE WHEN x.rework_pct > b.rework_pct THEN 'up' WHEN x.rework_pct < b.rework_pct THEN 'down' WHEN x.rework_pct = b.rework_pct THEN 'flat' END AS rework_pct_trend,
+  CASE WHEN x.cost_per_merge > b.cost_per_merge THEN 'up' WHEN x.cost_per_merge < b.cost_per_merge THEN 'down' WHEN x.cost_per_merge = b.cost_per_merge THEN 'flat' END AS cost_per_merge_trend FROM x LEFT JOIN x b ON b.team = x.team AND b.week_start + 7 = x.week_start"""
+
+
+def q75b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 newest open items of each team, with the flags of their lines as labels."""
+    labels = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.explode(F.array(F.concat(F.lit("flag-"), "l_returnflag"), F.concat(F.lit("status-"), "l_linestatus"))).alias("label"))
+    return planning.newest(work_items(spark, sf_dir).where("not merged").select("team", "item", "updated_at"), labels).select("team", "item", F.to_date("updated_at").alias("updated"), F.col("rank").cast("long").alias("rank"), "labels")
+
+
+Q75B = WORK_ITEMS + """, n AS (SELECT team, item, updated_at, row_number() OVER (PARTITION BY team ORDER BY updated_at DESC, item) AS rank FROM w WHERE NOT merged),
+b AS (SELECT item, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT item, unnest(['flag-' || l_returnflag, 'status-' || l_linestatus]) AS label FROM n JOIN lineitem ON l_orderkey = item WHERE rank <= 25) GROUP BY 1)
+SELECT team, item, updated_at::DATE AS updated, rank, coalesce(labels, '') AS labels FROM n LEFT JOIN b USING (item) WHERE rank <= 25"""
+
+
+def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-line share by source over whole texts as messages; every third has a trailer."""
+    k = F.col("doc_id")
+    message = F.when(k % 5 == 0, F.regexp_replace("text", r"(?s)\n.*", "")).otherwise(F.col("text"))
+    signed = F.when(k % 3 == 0, F.concat(message, F.lit("\n\nCo-Authored-By: x <x@y>"))).otherwise(message)
+    rows = table(spark, sf_dir, "documents").select("source", F.when(k % 17 != 0, signed).alias("message"), (k % 3 == 0).cast("int").alias("is_ai_assisted"))
+    return planning.multiline_share(rows, ["source"])
+
+
+Q18B = r"""WITH m AS (SELECT source, doc_id % 3 = 0 AS ai, CASE WHEN doc_id % 17 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN split_part(text, chr(10), 1) ELSE text END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Co-Authored-By: x <x@y>' ELSE '' END END AS t FROM documents),
+b AS (SELECT source, ai, len(list_filter(list_transform(string_split(t, chr(10))[2:], lambda x: regexp_replace(x, '[ 	]+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^[ 	]*[A-Za-z-]+:[ 	]'))) > 0 AS body FROM m WHERE t IS NOT NULL)
+SELECT source, count(*) AS commits, round(100.0::DOUBLE * count(*) FILTER (body) / count(*), 6) AS multiline_pct, round(100.0::DOUBLE * count(*) FILTER (ai) / count(*), 6) AS base_rate_pct, round(100.0::DOUBLE * count(*) FILTER (body AND ai) / nullif(count(*) FILTER (body), 0), 6) AS precision_pct, round(100.0::DOUBLE * count(*) FILTER (body AND ai) / nullif(count(*) FILTER (ai), 0), 6) AS recall_pct FROM b GROUP BY 1"""
+
+QUERIES = {"q18b_multiline_share": q18b, "q50b_scorecard_trends": q50b, "q75b_newest_items": q75b, "q32e_bounded_crawl": q32e, "q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
+SQL = {"q18b_multiline_share": Q18B, "q50b_scorecard_trends": Q50B, "q75b_newest_items": Q75B, "q32e_bounded_crawl": Q32E, "q83_dry_run": Q83, "q78_commit_ranges": Q78, "q79_distinct_people": Q79, "q31b_identifier_scan": Q31B, "q39b_glob_patterns": Q39B}
