@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Documents with equal texts are a group and go to one shard, unless the group is larger than a
-piece may be; such a hot group is divided into pieces by a hash of the id. Every piece is a
+piece may be; such a hot group is divided into pieces by the number of the row, so equal or missing ids divide it as well. Every piece is a
 vector (bytes, tokens, rows), each component as a share of the whole table's. A piece goes to
 the shard where the dot product of its vector with the shard's residual capacity is highest.
 
@@ -15,8 +15,8 @@ constant, and lanes need nothing of each other.
 The law is `bytes`: sizes (UTF-8 bytes of the text plus ``OVERHEAD``) are near equal.
 
 Defined results: a null text has no bytes and no tokens, and null texts are a group; an empty
-text likewise; an empty table gives an empty result; repeated rows get slots of their own;
-very long texts are measured, not held, and are pieces like any other; only the two named columns
+text likewise; an empty table gives an empty result; repeated rows, and rows that share an id or
+have none, get slots of their own and count like any, also within a hot group; very long texts are measured, not held, and are pieces like any other; only the two named columns
 are read, so others can't clash.
 """
 
@@ -91,8 +91,9 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
         word_count(text).alias("tokens"),
         F.crc32(F.coalesce(utf8, F.lit(b""))).alias("text_crc32"),
         F.coalesce(F.md5(utf8), F.lit("")).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    narrow = written(narrow, "shard-rows")
+    narrow = written(narrow, "shard-rows")  # rows keep their numbers from here on
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     groups = narrow.groupBy("key").agg(*sums)
     total = narrow.agg(*sums).first()
@@ -102,7 +103,7 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     # a group this large is one of PIECE * n_shards a component at most
     hot = groups.where((F.col("rows") > 1) & ((F.col("bytes") > most[0]) | (F.col("rows") > most[2]))).select(F.col("key").alias("hot_key"), cuts.alias("cuts"))
     rows = narrow.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
-    rows = rows.withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).cast("long")).drop("hot_key", "cuts")
+    rows = rows.withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("cuts"))).cast("long")).drop("hot_key", "cuts")
     pieces = written(rows.groupBy("key", "piece").agg(*sums), "shard-pieces")
 
     tiers, most_lanes = [1], max(1, min(lanes, pieces.count() // LANE_PIECES))
@@ -121,7 +122,7 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
                 load[r.shard] += (float(r.bytes), float(r.tokens), float(r.rows))
         placed, ceiling = done if placed is None else placed.unionByName(done), floor
 
-    put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key")
-    put = put.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
+    put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key", "row")
+    put = put.withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(lanes)))
     put = written(put, "shard-placed")
-    return running(put, ["shard"], "lane", ["doc_id", "key"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.col("key").alias("group_key"))
+    return running(put, ["shard"], "lane", ["row"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.col("key").alias("group_key"))

@@ -179,6 +179,12 @@ def test_sharding_law_and_groups(spark, odd, none):
     for r in sharding.shard(hot, 8).collect():
         by[r.shard] += r["size"]
     assert max(by.values()) <= 1.05 * min(by.values())
+    unnamed = [(None if i % 4 else 7, "one hot text that many rows without an id share") for i in range(2000)] + [(i, words(i, 9)) for i in range(200)]
+    by, slots = Counter(), {}
+    for r in sharding.shard(spark.createDataFrame(unnamed, "doc_id long, text string").repartition(3), 8).collect():
+        by[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(by.values()) <= 1.15 * min(by.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     out = sharding.shard(odd, 4).collect()
     assert len(out) == len(TEXTS) and sum(r["size"] for r in out) == sum(len((t or "").encode()) + 8 for _, t in TEXTS)
     assert sharding.shard(none, 4).count() == 0
