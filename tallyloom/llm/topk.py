@@ -7,7 +7,8 @@ Then the vectors scoring at least that are kept and ranked, ties to the smaller
 Queries are handled in blocks of a bounded number, one pass of the vectors a level; a block's
 result is written before the next one begins, so neither plans nor broadcasts add up. A
 partition reports only the histogram bins from its own k-th score upward, as no lower bin can
-hold the k-th score of all; so it reports at most k bins a query.
+hold the k-th score of all; so it reports at most k bins a query. Spark adds the bins up and finds
+the one that holds the k-th score; the driver gets that one bin a query.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no
 part, neither as query nor as candidate; vectors of another length than the query's are not
@@ -97,17 +98,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             step = -(-wide // BINS)
             counts = rows.mapInArrow(histogram(shared, low, wide, step, k), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
             above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")))
-            told = counts.select("q", "bin", "n", above.alias("cum")).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("cum", "bin", "n"))).alias("bins"))
-            answered = np.zeros(len(block), dtype=bool)
-            for q, bins in told.collect():  # at most k bins a query and partition, of a bounded block
-                answered[q] = True
-                hit = next((x for x in bins if x.cum >= need[q]), None)
+            wanted = spark.createDataFrame([(i, int(x)) for i, x in enumerate(need)], "q int, need long")  # as many rows as the block has queries
+            reached = counts.select("q", "bin", "n", above.alias("cum")).join(F.broadcast(wanted), "q").where("cum >= need")
+            hits = reached.groupBy("q").agg(F.min(F.struct("cum", "bin", "n")).alias("hit"))
+            hit_of = {r.q: r.hit for r in hits.collect()}  # a row a query of the block
+            for q in range(len(block)):
+                hit = hit_of.get(q)
                 if hit is None:
                     open_[q] = False
                 elif open_[q]:
                     low[q] += hit.bin * step
                     need[q] -= hit.cum - hit.n
-            open_ &= answered
             wide = step
         low[~open_] = NEVER
         best = rows.mapInArrow(survivors(shared, low, k), "query_id long, vec_id long, score long")
