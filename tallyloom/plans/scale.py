@@ -96,12 +96,16 @@ Q79 = """WITH e AS (SELECT *, ts::DATE AS d FROM events), p AS (SELECT 'week' AS
 SELECT period_kind, period_start, event_type AS scope, count(DISTINCT user_id) AS people FROM p GROUP BY ALL UNION ALL SELECT period_kind, period_start, 'all', count(DISTINCT user_id) FROM p GROUP BY ALL"""
 
 
-def arriving(rows: DataFrame, key: str, slots: int = 4) -> str:
-    """Rows as files of a new folder in the order of a hash, so that late ones are among them; the folder."""
+def arriving(rows: DataFrame, key: str, slots: int = 4) -> tuple[str, int]:
+    """Rows as files of a new folder in the order of a hash, so that late ones are among them; the folder, and its files a slot.
+
+    A batch takes as many files as a slot has, so the number of batches does not grow with the files.
+    """
     place = f"{shared_dir(rows.sparkSession)}/arriving-{uuid.uuid4().hex}"
     for slot in range(slots):
         rows.where(F.pmod(F.xxhash64(key), F.lit(slots)) == slot).write.parquet(f"{place}/{slot}")
-    return place
+    files = rows.sparkSession.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(place).inputFiles()
+    return place, max(1, -(-len(files) // slots))
 
 
 @contextmanager
@@ -122,10 +126,10 @@ def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     keys = ["repo_full_name", "owner", "identity_id"]
     rows = counted_commits(Activity(spark, sf_dir)).where("steerer_state = 'known' and is_ai_assisted = 1").select(*keys, "sha", "authored_at")
-    source = arriving(rows, "sha")
+    source, files = arriving(rows, "sha")
     told = f"{source}-told"
     with setting(spark, keyed.STORE):
-        arrivals.drain(spark, source, rows.schema, keyed.lowest_sink(told), f"{source}-cursor", files=spark.sparkContext.defaultParallelism, through=lambda s: keyed.first_occurrences(s, keys, "authored_at"), mode="update")
+        arrivals.drain(spark, source, rows.schema, keyed.lowest_sink(told), f"{source}-cursor", files=files, through=lambda s: keyed.first_occurrences(s, keys, "authored_at"), mode="update")
     first = keyed.lowest_of(spark.read.parquet(told), keys, "first_at")
     return rollups.cumulative(scoped(first).groupBy("scope", "scope_key", "identity_id").agg(F.min("first_at").alias("first_at")))
 
@@ -133,9 +137,9 @@ def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q81(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts kept by a stream: every batch computes again the days it touches."""
     events = table(spark, sf_dir, "events")
-    source = arriving(events, "event_id", 2)
+    source, files = arriving(events, "event_id", 2)
     kept = keyed.MaintainedDaily(f"{source}-kept")
-    arrivals.drain(spark, source, events.schema, kept.sink, f"{source}-cursor", files=spark.sparkContext.defaultParallelism)
+    arrivals.drain(spark, source, events.schema, kept.sink, f"{source}-cursor", files=files)
     return kept.read(spark).select(F.col("bucket").alias("day"), "event_type", "events", "users", "value")
 
 
@@ -221,7 +225,8 @@ def q18b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q18B = r"""WITH m AS (SELECT source, doc_id % 3 = 0 AS ai, CASE WHEN doc_id % 17 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN split_part(text, chr(10), 1) ELSE text END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Co-Authored-By: x <x@y>' ELSE '' END END AS t FROM documents),
-b AS (SELECT source, ai, len(list_filter(list_transform(string_split(t, chr(10))[2:], lambda x: regexp_replace(x, '[ 	]+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^[ 	]*[A-Za-z-]+:[ 	]'))) > 0 AS body FROM m WHERE t IS NOT NULL)
+b AS (SELECT source, ai, len(list_filter(list_transform(string_split(t, chr(10))[2:], lambda x: regexp_replace(x, '[ 	
+]+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^[ 	]*[A-Za-z-]+:[ 	]'))) > 0 AS body FROM m WHERE t IS NOT NULL)
 SELECT source, count(*) AS commits, round(100.0::DOUBLE * count(*) FILTER (body) / count(*), 6) AS multiline_pct, round(100.0::DOUBLE * count(*) FILTER (ai) / count(*), 6) AS base_rate_pct, round(100.0::DOUBLE * count(*) FILTER (body AND ai) / nullif(count(*) FILTER (body), 0), 6) AS precision_pct, round(100.0::DOUBLE * count(*) FILTER (body AND ai) / nullif(count(*) FILTER (ai), 0), 6) AS recall_pct FROM b GROUP BY 1"""
 
 QUERIES = {"q18b_multiline_share": q18b, "q50b_scorecard_trends": q50b, "q75b_newest_items": q75b, "q32e_bounded_crawl": q32e, "q80_first_occurrence_stream": q80, "q81_maintained_daily": q81, "q82_bucketed_upsert": q82, "q83_dry_run": q83, "q78_commit_ranges": q78, "q79_distinct_people": q79, "q31b_identifier_scan": q31b, "q39b_glob_patterns": q39b}
