@@ -27,13 +27,8 @@ w AS (SELECT *, [5, 2, 1][(place % 3 + 1)::INT]::DOUBLE AS weight, (3 * source_s
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT arg_min(level, (cap / weight, place)) AS level FROM v WHERE level * weight < cap),
 t AS (SELECT source, source_size, place, CASE WHEN v.level * weight >= cap THEN cap ELSE f.level * weight END AS target FROM v LEFT JOIN f ON true),
-k AS (SELECT greatest(1, (coalesce(sum(size), 0) + 65535) // 65536)::BIGINT AS block, coalesce(sum(size), 0)::BIGINT AS total FROM d),
-m AS (SELECT block, total, (total + block - 1) // block AS slots, length(bin(greatest((total + block - 1) // block, 2)::BIGINT - 1)) AS bits FROM k),
-b AS (SELECT place, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(total, 1) AS start FROM t, k WHERE target > 0),
-i AS (SELECT list_sum(list_transform(range(bits::BIGINT), lambda j: ((slot >> j) & 1) << (bits::BIGINT - 1 - j)))::DOUBLE / (1::BIGINT << bits::BIGINT) AS point FROM (SELECT unnest(range(slots::BIGINT)) AS slot, bits FROM m)),
-o AS (SELECT place, count(*) AS n FROM i ASOF JOIN b ON i.point >= b.start GROUP BY 1),
 c AS (SELECT d.*, t.place, source_size, target, coalesce(sum(size) OVER (PARTITION BY t.place ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT c.*, coalesce(n, 0) * block AS given FROM c LEFT JOIN o USING (place), k)
+x AS (SELECT *, round(target)::BIGINT AS given FROM c)
 SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, given) - start) + greatest(0, least(start + source_size + size, given) - start - source_size) + greatest(0, least(start + 2 * source_size + size, given) - start - 2 * source_size))::BIGINT AS taken FROM x
 """
 

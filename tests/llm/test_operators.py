@@ -494,13 +494,84 @@ def test_small_sources_meet_their_targets(spark):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 100, 1000, 1024])
-def test_slots_are_counted_as_they_lie(spark, n):
-    bits = max(1, (max(n, 2) - 1).bit_length())
-    points = [int(f"{i:0{bits}b}"[::-1], 2) / (1 << bits) for i in range(n)]
-    xs = [k / 97 for k in range(98)] + [0.5, 0.75, 1.5]
-    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", mixing.slots_before(F.col("x"), n).alias("c")).collect()
-    assert [(r.x, r.c) for r in got] == [(x, sum(p < x for p in points)) for x in xs]
+def slots_brute(given, block, bits):
+    """(place, rank) -> slot: points in order of slot, each its owner's next block; then what is lacking."""
+    n, drawn, out, seen = 1 << bits, sum(given), {}, Counter()
+    ends = [sum(given[: i + 1]) for i in range(len(given))]
+    for slot in range(n):
+        point = int(f"{slot:0{bits}b}"[::-1], 2) if bits else 0
+        place = next(i for i, end in enumerate(ends) if point * drawn < end * n)
+        if seen[place] * block < given[place]:
+            out[place, seen[place]] = slot
+        seen[place] += 1
+    for place, g in enumerate(given):
+        for rank in range(seen[place], -(-g // block)):
+            out[place, rank] = n + rank - seen[place]
+    return out
+
+
+@pytest.mark.parametrize("given,bits", [([5], 0), ([1, 1, 1], 2), ([50, 20, 0, 10], 5), ([1000, 1, 400, 3, 7], 8), ([3] * 40, 6), ([300, 300, 300], 10)])
+def test_slots_are_van_der_corput_points(spark, given, bits):
+    block = max(1, -(-sum(given) // (1 << bits)))
+    rows = [(i, g, sum(given[:i])) for i, g in enumerate(given)]
+    goal = spark.createDataFrame(rows, "place long, given long, before long")
+    got = mixing.slots_of(goal, block, bits, sum(given)).collect()
+    assert {(r.place, r["rank"]): r.slot for r in got} == slots_brute(given, block, bits) and len(got) == len({(r.place, r["rank"]) for r in got})
+
+
+def test_schedule_holds_the_mix_in_blocks(spark):
+    rows = [(i, ("big", "mid", "tiny", None)[0 if i % 10 < 6 else 1 if i % 10 < 8 else 2 if i % 10 == 8 else 3], words(i, 5 + i % 30)) for i in range(600)] + [(7777, "mid", words(3, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    cut, mixed = mixing.schedule(df, n_slots=256).collect(), mixing.mix(df, n_slots=256).collect()
+    by_doc, by_block, size = Counter(), Counter(), {r.doc_id: r["size"] for r in mixed}
+    for r in cut:
+        by_doc[r.doc_id] += r.words
+        by_block[r.place, r["rank"]] += r.words
+        assert 0 <= r.at and 0 < r.words and r.at + r.words <= size[r.doc_id] and r.epoch < 3
+    assert all(by_doc[r.doc_id] == r.taken for r in mixed)
+    block = -(-sum(size.values()) // 256)
+    last = {p: max(rank for q, rank in by_block if q == p) for p, _ in by_block}
+    assert all(w == block if rank < last[p] else 0 < w <= block for (p, rank), w in by_block.items())
+    # any prefix of the points is near the weights: within log2(n) + 2 blocks of each source's share
+    given = Counter()
+    for r in mixed:
+        given[r.source] += r.taken
+    name = {r.place: r.source for r in cut}
+    for end in (16, 40, 100, 200, 256):
+        taken = Counter()
+        for p, rank in {(r.place, r["rank"]) for r in cut if r.slot < end}:
+            taken[name[p]] += block
+        assert all(abs(taken[s] - given[s] * end / 256) <= 10 * block for s in given)
+
+
+def test_sources_of_any_size_and_number_take_their_targets(spark):
+    rows = [(i, f"site{i % 3000}", words(i, 1 + i % 9)) for i in range(4000)] + [(i, "hot", words(i, 20)) for i in range(4000, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    _, goal = mix_brute([(s, t) for _, s, t in rows])
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.source] += r.taken
+    assert len(taken) == 3001 and all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
+
+
+def test_rows_without_an_id_are_divided_and_mixed(spark, monkeypatch):
+    rows = [(None, None, words(i % 50, 3 + i % 7)) for i in range(3000)] + [(i, "a", words(i, 10)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    lanes = {}
+    cut_lanes = mixing.in_lanes
+    monkeypatch.setattr(mixing, "in_lanes", lambda df, order, name: lanes.setdefault(name, cut_lanes(df, order, name)))
+    first = mixing.mix(df).collect()
+    fullest = lanes["mix-lanes"].groupBy("lane").count().agg(F.max("count")).first()[0]
+    assert fullest < 2 * 3300 / mixing.width(spark)
+    _, goal = mix_brute([(s, t) for _, s, t in rows])
+    taken = Counter()
+    for r in first:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert len(first) == 3300 and all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
+    monkeypatch.undo()
+    pairs = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.taken) for r in rows)
+    assert pairs(first) == pairs(mixing.mix(df.repartition(5)).collect())
 
 
 # ---- PII
