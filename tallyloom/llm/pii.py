@@ -134,13 +134,16 @@ def located(texts: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -
 def untouched(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Tokens that no span overlaps: all in order of start in a text, with what spans reach before and begin after."""
     columns = ["doc_id", "key", "start", "stop", "match", "left", "right"]
-    both = tokens.select(*columns, F.lit(False).alias("base")).unionByName(spans.select(*columns, F.lit(True).alias("base")))
-    text = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("base"))
-    reach = F.max(F.when(F.col("base"), F.col("stop"))).over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(text.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # tokens of repeated rows are made one before they meet
+    both = tokens.select(*columns).distinct().select("*", F.lit(False).alias("base")).unionByName(spans.select(*columns, F.lit(True).alias("base")))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forth = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("base")).rowsBetween(*so_far)
+    # what follows is read backwards, as Spark sums a frame that begins at the row anew for every row
+    back = Window.partitionBy("doc_id", "key").orderBy(F.desc("start"), "base").rowsBetween(*so_far)
+    reach, ahead = F.max(F.when(F.col("base"), F.col("stop"))).over(forth), F.min(F.when(F.col("base"), F.col("start"))).over(back)
     marked = both.withColumn("reach", reach).withColumn("ahead", ahead)
     free = ~F.col("base") & (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("stop")) >= F.col("stop"))
-    return marked.where(free).select(*columns).distinct()
+    return marked.where(free).select(*columns)
 
 
 def shape(match: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -665,3 +666,81 @@ def test_masking(spark, odd):
     df = spark.createDataFrame([(1, "to a@b.cd, 10.0.0.1 end"), (2, "clean"), (3, None), (3, "x@y.zz")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text or "") for r in pii.masked(df).collect()) == [(1, "to <email>, <ip> end"), (2, "clean"), (3, ""), (3, "<email>")]
     assert pii.masked(odd).columns == odd.columns and pii.masked(odd).count() == len(TEXTS)
+
+
+def bootstrap_brute(seeds, candidates):
+    """Kinds of candidates (match, left, right) by rounds over patterns, in plain loops. seeds: (kind, match, left, right)."""
+
+    def patterns(match, left, right):
+        left, right = left or pii.BORDER, right or pii.BORDER
+        form = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]+", "a", match))
+        return {("context", f"{left}\t{right}"), ("context", f"{left}\t"), ("context", f"\t{right}"), ("shape", form)}
+
+    known, open_ = {}, {}
+    for kind, match, left, right in seeds:
+        for p in patterns(match, left, right):
+            known.setdefault(p, set()).add((kind, match))
+    for match, left, right in candidates:
+        for p in patterns(match, left, right):
+            open_.setdefault(p, set()).add(match)
+
+    def passes(kind, match):
+        digits = re.sub("[^0-9]", "", match)
+        if kind == "ip":
+            return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", match) is not None and all(int(x) <= 255 for x in match.split("."))
+        return kind == "email" or (12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15)
+
+    scores = {}
+    for _ in range(pii.ROUNDS):
+        best = {}
+        for p in open_:
+            everything = len(known.get(p, ())) + len(open_[p])
+            for kind in pii.KINDS:
+                support = sum(k == kind for k, _ in known.get(p, ())) + sum(scores.get((m, kind), 0) for m in open_[p])
+                if support >= pii.SUPPORT and support / everything >= pii.CONFIDENT / 2:
+                    for m in open_[p]:
+                        best.setdefault((m, kind), {}).setdefault(p[0], []).append(support / everything)
+        scores = {}
+        for (m, kind), families in best.items():
+            miss = 1.0
+            for found in families.values():
+                miss *= max(1 - max(found), 1e-6)
+            if passes(kind, m):
+                scores[m, kind] = 1 - miss
+    chosen = {}
+    for (m, kind), score in sorted(scores.items(), key=lambda x: (x[1], -pii.KINDS.index(x[0][1]))):
+        if score >= pii.CONFIDENT:
+            chosen[m] = kind
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrapping_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    lefts, rights = ["mail", "call", "from", "", "the"], ["now", "or", "", "please"]
+
+    def identifier(kind):
+        n = [rng.randrange(1000) for _ in range(4)]
+        return {"email": f"u{n[0]}@x{n[1] % 7}.org", "ip": f"{n[0] % 300}.{n[1] % 300}.{n[2] % 256}.{n[3] % 256}", "card": "".join(str(rng.randrange(10)) for _ in range(rng.choice([12, 16, 16, 7]))), "phone": f"+{n[0]}-{n[1]}-{n[2]}"}[kind]
+
+    def around(kind):
+        at = pii.KINDS.index(kind)
+        return (lefts[at], rights[at]) if rng.random() < 0.7 else (rng.choice(lefts), rng.choice(rights))
+
+    seeds = [(k, identifier(k), *around(k)) for k in rng.choices(pii.KINDS, k=150)]
+    candidates = [(identifier(k).replace("+", rng.choice(["", "+"])), *around(k)) for k in rng.choices(pii.KINDS, k=80)] + [(f"x{rng.randrange(90)}", rng.choice(lefts), rng.choice(rights)) for _ in range(40)]
+    place = lambda i: (i, i, i, i + 5)
+    base = spark.createDataFrame([(*place(i), k, m, a, b) for i, (k, m, a, b) in enumerate(seeds)], "doc_id long, key long, start long, stop long, kind string, match string, left string, right string")
+    free = spark.createDataFrame([(*place(i), m, a, b) for i, (m, a, b) in enumerate(candidates)], "doc_id long, key long, start long, stop long, match string, left string, right string")
+    got = {(r.doc_id, r.kind) for r in pii.bootstrapped(base, free).collect()}
+    chosen = bootstrap_brute(seeds, candidates)
+    assert got == {(i, chosen[m]) for i, (m, _, _) in enumerate(candidates) if m in chosen} and got
+
+
+def test_long_texts_of_small_pieces_take_linear_time(spark):
+    texts = ["1 " * 100_000, "1." * 100_000, "a@" * 100_000, "+1(" * 70_000, "7" * 200_000, "x 1 a@b.c " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    start = time.monotonic()
+    out = pii.extract(df).collect()
+    assert len(out) == 2 * len(texts) and {r.n_email for r in out if r.doc_id == 5} == {20_000}
+    assert time.monotonic() - start < 120  # a quadratic step takes many minutes
