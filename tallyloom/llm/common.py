@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new place for a table in the shared folder."""
-    _tables.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for block in _open.get():
+        block.append(place)
+    return place
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,22 +30,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders of the tables written so far.
-_tables: list[str] = []
+#: Folders written inside each open block of scratch; a thread has its own blocks.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside are removed at the end, so what is still wanted of them must be written or counted inside."""
-    first = len(_tables)
+    """Tables written inside are removed at the end, so what is still wanted of them must be written or counted inside.
+
+    Blocks may be nested, and those of other threads are left alone.
+    """
+    mine: list[str] = []
+    token = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
+        _open.reset(token)
         jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _tables[first:]:
+        for path in mine:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
-        del _tables[first:]
 
 
 def width(spark: SparkSession) -> int:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sharding, suffix_dedup, topk
+from tallyloom.llm.common import scratch, written
 from tallyloom.llm.graph import components
 from tallyloom.llm.registry import tokenizer_json
 
@@ -744,3 +746,25 @@ def test_long_texts_of_small_pieces_take_linear_time(spark):
     out = pii.extract(df).collect()
     assert len(out) == 2 * len(texts) and {r.n_email for r in out if r.doc_id == 5} == {20_000}
     assert time.monotonic() - start < 120  # a quadratic step takes many minutes
+
+
+def test_scratch_leaves_tables_of_other_blocks_and_threads(spark):
+    one = spark.range(3)
+    outer, theirs = [], []
+
+    def other():
+        theirs.append(written(one, "theirs"))
+
+    with scratch(spark):
+        outer.append(written(one, "outer"))
+        with scratch(spark):
+            inner = written(one, "inner")
+            thread = threading.Thread(target=other)
+            thread.start()
+            thread.join()
+        with pytest.raises(Exception, match="does not exist|DOES_NOT_EXIST|NOT_EXIST"):
+            inner.count()
+        assert outer[0].count() == 3
+    with pytest.raises(Exception, match="does not exist|DOES_NOT_EXIST|NOT_EXIST"):
+        outer[0].count()
+    assert theirs[0].count() == 3
