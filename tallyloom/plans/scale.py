@@ -123,13 +123,12 @@ def setting(spark: SparkSession, values: dict[str, str]):
 
 def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative adopters from first assisted changes that a stream keeps as state, whatever the order of arrival."""
-    ship(spark)
     keys = ["repo_full_name", "owner", "identity_id"]
     rows = counted_commits(Activity(spark, sf_dir)).where("steerer_state = 'known' and is_ai_assisted = 1").select(*keys, "sha", "authored_at")
     source, files = arriving(rows, "sha")
     told = f"{source}-told"
     with setting(spark, keyed.STORE):
-        arrivals.drain(spark, source, rows.schema, keyed.lowest_sink(told), f"{source}-cursor", files=files, through=lambda s: keyed.first_occurrences(s, keys, "authored_at"), mode="update")
+        arrivals.drain(spark, source, rows.schema, keyed.lowest_sink(told), f"{source}-cursor", files=files, through=lambda s: keyed.touched_lowest(s, keys, "authored_at"), mode="update")
     first = keyed.lowest_of(spark.read.parquet(told), keys, "first_at")
     return rollups.cumulative(scoped(first).groupBy("scope", "scope_key", "identity_id").agg(F.min("first_at").alias("first_at")))
 

@@ -42,8 +42,21 @@ def first_occurrences(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     No watermark is set: an event may be late by any time. The store keeps one number a key. Null times are none.
     """
     schema = StructType([*[StructField(k, rows.schema[k].dataType) for k in keys], StructField("at_micros", LongType())])
-    timed = rows.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros")).where("at_micros is not null")
-    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=FirstOccurrence(), outputStructType=schema, outputMode="Update", timeMode="None")
+    return timed(rows, keys, at).groupBy(*keys).transformWithStateInPandas(statefulProcessor=FirstOccurrence(), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+def touched_lowest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """As first_occurrences, but a key is told, with its lowest time so far, by every batch that has rows of it.
+
+    The state is that of Spark's own aggregate: rows are combined before the shuffle and no Python runs, so a
+    batch costs little a partition. first_occurrences is for readers that must see changes only.
+    """
+    return timed(rows, keys, at).groupBy(*keys).agg(F.min("at_micros").alias("at_micros"))
+
+
+def timed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """keys and time in microseconds of the rows that have a time."""
+    return rows.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros")).where("at_micros is not null")
 
 
 def lowest_sink(path: str) -> Callable[[DataFrame, int], None]:

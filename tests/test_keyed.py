@@ -34,21 +34,22 @@ def arriving(events, folder, slots, seed):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(slots)) == k).coalesce(1).write.parquet(f"{folder}/{i}")
 
 
-def firsts(spark, source, work, schema, files=1):
-    told = lambda s: keyed.first_occurrences(s, ["user_id", "event_type"], "ts")
+def firsts(spark, source, work, schema, files=1, state=keyed.first_occurrences):
+    told = lambda s: state(s, ["user_id", "event_type"], "ts")
     arrivals.drain(spark, source, schema, keyed.lowest_sink(f"{work}/told"), f"{work}/cursor", files=files, through=told, mode="update")
     return keyed.lowest_of(spark.read.parquet(f"{work}/told"), ["user_id", "event_type"], "ts")
 
 
-def test_first_occurrences_follow_any_order_and_restart(spark, store, tmp_path):
+@pytest.mark.parametrize("state", [keyed.first_occurrences, keyed.touched_lowest])
+def test_first_occurrences_follow_any_order_and_restart(spark, store, tmp_path, state):
     events = spark.read.parquet(f"{SF}/events.parquet").where("user_id < 6").unionByName(spark.read.parquet(f"{SF}/events.parquet").where("user_id = 7").withColumn("ts", F.lit(None).cast("timestamp_ntz")))
     batch = lambda df: df.where("ts is not null").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"))
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
     arriving(events.where("event_id % 3 > 0"), source, 2, 1)
-    assert same(firsts(spark, source, work, events.schema), batch(events.where("event_id % 3 > 0")))
+    assert same(firsts(spark, source, work, events.schema, state=state), batch(events.where("event_id % 3 > 0")))
     before = spark.read.parquet(f"{work}/told").count()
     arriving(events.where("event_id % 3 = 0"), f"{source}/late", 1, 2)  # a restart finds its state; late, earlier events lower it
-    assert same(firsts(spark, source, work, events.schema), batch(events))
+    assert same(firsts(spark, source, work, events.schema, state=state), batch(events))
     assert spark.read.parquet(f"{work}/told").count() > before
 
 
