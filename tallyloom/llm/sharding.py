@@ -125,4 +125,4 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     put = rows.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", "key", "row")
     put = put.withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(lanes)))
     put = written(put, "shard-placed")
-    return running(put, ["shard"], "lane", ["row"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.col("key").alias("group_key"))
+    return running(put, ["shard"], ["row"], slot=F.lit(1)).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.col("key").alias("group_key"))

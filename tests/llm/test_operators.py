@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sharding, suffix_dedup, topk
 from tallyloom.llm.common import scratch, written
 from tallyloom.llm.graph import components
-from tallyloom.llm.registry import tokenizer_json
+from tallyloom.llm.registry import queries, tokenizer_json
 
 from .conftest import odd_rows, words
 
@@ -193,6 +193,18 @@ def test_sharding_law_and_groups(spark, odd, none):
     assert sharding.shard(none, 4).count() == 0
 
 
+def test_sharding_query_numbers_rows_of_a_shard(spark, tmp_path):
+    docs = [(i % 40 if i % 6 else None, None if i % 11 == 0 else words(i % 90, 3 + i % 20), "en", "a", 1) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries()["op4_sharding"](spark, str(tmp_path)).collect()
+    assert list(rows[0].asDict()) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in docs)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 @pytest.mark.parametrize("pieces,tier", [(20_000, 64), (50, 2), (50, 4)])
 def test_packing_by_tiers_is_the_greedy_rule(spark, monkeypatch, pieces, tier):
     monkeypatch.setattr(sharding, "LANE_PIECES", pieces)
