@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int
             cols = [batch.column(c) for c in kept] + [pa.array(first_sequence[at] + rank - first_rank[at]), pa.array(offset[at])]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, "sequence_id", "offset"])
 
-    ranked = running(pieces, ["length"], "lane", ["row", "piece"], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("long"))
+    ranked = running(pieces, ["length"], ["row", "piece"], rank=F.lit(1)).withColumn("rank", F.col("rank").cast("long"))
     return ranked.select(*kept, "rank").mapInArrow(run, schema)
 
 

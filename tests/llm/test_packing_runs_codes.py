@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from tallyloom.llm import codes, packing, tandem
 from tallyloom.llm.bpe_batch import BatchEncoder
-from tallyloom.llm.registry import tokenizer_json
+from tallyloom.llm.registry import queries, tokenizer_json
 
 from .conftest import odd_rows, words
 
@@ -209,6 +209,15 @@ def test_packing_of_documents(spark, odd, none):
         packing.pack(none, tokenizer_json(), capacity=0)
 
 
+def test_packing_query_ranks_pieces_of_a_length(spark, tmp_path):
+    docs = [(i if i % 5 else None, ("same text", None, words(i, 2500))[i % 3] if i % 3 < 2 or i % 20 == 2 else words(i % 30, 1 + i % 9), "en", "a", 1) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    placed = queries()["op12_best_fit_packing"](spark, str(tmp_path))
+    assert placed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    used, bound = packed_is_right(placed.collect(), [d[:2] for d in docs], 2048)
+    assert used <= bound + 1
+
+
 # ---- vector codes
 
 
