@@ -12,11 +12,11 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
 from tallyloom.llm.bpe import PIECES, byte_letters
+from tallyloom.llm.common import once_a_worker
 
 #: Words merged together; letters of the longest that are; entries of a generation; bytes of text that are looked up together.
 ROWS, LONGEST, YOUNG, TOGETHER = 4096, 40, 300_000, 1 << 23
@@ -168,7 +168,7 @@ class BatchEncoder:
             k = end
 
 
-@lru_cache(maxsize=2)
+@once_a_worker
 def batch_encoder(content: str) -> BatchEncoder:
     """One encoder per worker process and vocabulary; its words stay for the worker's next task."""
     return BatchEncoder(content)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,35 @@ def scratch(spark: SparkSession):
             place.getFileSystem(conf).delete(place, True)
 
 
+#: What a worker process keeps from one task to the next.
+_kept: list = []
+
+
+def once_a_worker(make):
+    """make, whose results stay in the worker process for further tasks, until a task of another operator frees them."""
+    kept = lru_cache(maxsize=2)(make)
+    _kept.append(kept)
+    return kept
+
+
+def free_worker(but=None) -> None:
+    """Where a task begins: what earlier tasks left in this worker goes, but what this operator keeps, and freed memory goes back to the machine.
+
+    Spark gives a worker to any later task, so a session of many operators would hold all of their encoders in every worker.
+    """
+    import pyarrow as pa
+
+    others = [kept for kept in _kept if kept is not but and kept.cache_info().currsize]
+    for kept in others:
+        kept.cache_clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

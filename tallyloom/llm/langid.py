@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import id_and_text
+from tallyloom.llm.common import free_worker, id_and_text
 
 UNKNOWN = "und"
 GRAM_LENGTHS = (4, 3, 2, 1)
@@ -202,6 +202,7 @@ def annotated(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
+        free_worker()
         scorer = Scorer(pickle.loads(shared.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

@@ -37,6 +37,7 @@ import hashlib
 import heapq
 import math
 import zlib
+from array import array
 from itertools import groupby
 
 import numpy as np
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import id_and_text, width, written
+from tallyloom.llm.common import free_worker, id_and_text, width, written
 from tallyloom.llm.graph import components
 
 #: Sets of a block compared in one task; counters of the frequency table, and rows or counters given at once.
@@ -117,6 +118,7 @@ def survey(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, np.n
     schema = "doc_id long, n_shingles long, key binary, profile binary, part int, counts binary"
 
     def run(batches):
+        free_worker()
         shingler, counts = Shingler(n), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             sizes, keys, profiles, held, load = [], [], [], [], 0
@@ -164,6 +166,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, classes: np.ndarray) -
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
+        free_worker()
         shingler, order, seen = Shingler(n), shared.value, set()
         for batch in batches:
             shingles, sets, sizes = [], [], []
@@ -216,6 +219,7 @@ def viable(members: DataFrame, num: int, den: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
 
     def run(batches):
+        free_worker()
         name, rows = None, []
         for batch in batches:
             out: list[tuple] = []
@@ -259,7 +263,7 @@ def t_occurrence(sets: list[np.ndarray], queries: list[int], num: int, den: int,
     entries = np.sort(place * m + owner)  # the inverted lists, one after another, each by owner
     starts = np.searchsorted(entries, np.arange(len(tokens) + 1) * m)
     lengths = np.diff(starts)
-    listed = (entries % m).tolist()
+    listed = array("i", (entries % m).astype(np.intc).tobytes())  # a list would hold an object an entry
     ends = np.cumsum(sizes)
     for q in queries:
         size = int(sizes[q])
@@ -303,10 +307,12 @@ def search(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return [(ids[i], ids[known.root(i)]) for i in range(len(rows)) if known.root(i) != i]
 
     def run(batches):
+        free_worker()
         shingler, name, rows = Shingler(n), None, []
         for batch in batches:
             found = []
-            for block, chunk, other, asks, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            few = (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))  # texts become objects a few at a time
+            for block, chunk, other, asks, doc_id, text in (row for part in few for row in zip(*(part.column(i).to_pylist() for i in range(6)))):
                 if (block, chunk, other) != name:
                     found += links(rows, shingler) if len(rows) > 1 else []
                     name, rows = (block, chunk, other), []
@@ -408,6 +414,7 @@ def parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield mixed(held + mixed(np.arange(ranges, dtype=np.uint64) + np.uint64(band << 32) + ODD[1])).view(np.int64)
 
     def run(batches):
+        free_worker()
         shingler = Shingler(n)
         for batch in batches:
             out, load = [], 0

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sharding, suffix_dedup, topk
-from tallyloom.llm.common import scratch, written
+from tallyloom.llm.common import free_worker, scratch, written
 from tallyloom.llm.graph import components
 from tallyloom.llm.registry import queries, tokenizer_json
 
@@ -780,3 +780,35 @@ def test_scratch_leaves_tables_of_other_blocks_and_threads(spark):
     with pytest.raises(Exception, match="does not exist|DOES_NOT_EXIST|NOT_EXIST"):
         outer[0].count()
     assert theirs[0].count() == 3
+
+
+# ---- memory of workers
+
+
+def test_a_worker_lets_go_of_other_operators_encoders(spark):
+    docs = spark.createDataFrame([(i, words(i, 30)) for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tallyloom.llm import bpe
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([bpe.parsed.cache_info().currsize])], names=["n"])
+
+    def most():
+        return max(r.n for r in docs.repartition(8).mapInArrow(held, "n long").collect())
+
+    for _ in range(2):  # all idle workers have encoded and are asked
+        assert bpe.encode_decode(docs.repartition(8), tokenizer_json()).count() == 40
+    assert most() == 1
+    ngram_join.search(docs.repartition(8).select(F.lit(1).alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("other"), F.lit(True).alias("asks"), "doc_id", "text"), 3, 90, 100).count()
+    langid.annotated(docs.repartition(8), langid.fit(docs.withColumn("lang", F.lit("a")), F.lit(True))).count()
+    left = [r.n for r in docs.repartition(8).mapInArrow(held, "n long").collect()]
+    assert 0 in left
+    bpe.parsed(tokenizer_json())
+    free_worker(but=bpe.parsed)
+    assert bpe.parsed.cache_info().currsize == 1
+    free_worker()
+    assert bpe.parsed.cache_info().currsize == 0
