@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Edges stay distributed throughout. Every round is written to the shared folder, so lineage
-stays short; the number of rounds is logarithmic in the longest path.
+Edges stay distributed throughout. Every round is written to the shared folder, in as many files
+as the edges of the round before need, so lineage stays short; the number of rounds is logarithmic in the longest path.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import written
 
+#: Edges of a file, about: the number of partitions may be far above what a round's edges need.
+EDGES = 1 << 15
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b) that has another neighbour."""
@@ -25,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         small = large.join(low, F.col("u") == F.col("x"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        e = written(small.where(F.col("u") != F.col("v")).distinct(), "components")
+        e = written(small.where(F.col("u") != F.col("v")).distinct().coalesce(1 + mark[0] // EDGES), "components")
         now = _mark(e)
         if now == mark:
             break

@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips and held-out labels."""
 
+import glob
 import hashlib
 import math
 import random
@@ -17,6 +18,7 @@ from tallyloom.llm import bpe, langid, mixing, ngram_join, ogg, pii, quality, sh
 from tallyloom.llm.common import free_worker, scratch, written
 from tallyloom.llm.graph import components
 from tallyloom.llm.registry import queries, tokenizer_json
+from tallyloom.session import shared_dir
 
 from .conftest import odd_rows, words
 
@@ -812,3 +814,31 @@ def test_a_worker_lets_go_of_other_operators_encoders(spark):
     assert bpe.parsed.cache_info().currsize == 1
     free_worker()
     assert bpe.parsed.cache_info().currsize == 0
+
+
+def test_building_an_encoder_takes_little_more_than_it_keeps():
+    import json
+    import tracemalloc
+
+    spec = json.loads(tokenizer_json())
+    tracemalloc.start()
+    encoder = bpe.WordBpe(spec)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert encoder.newer and peak - kept < 10 << 20
+
+
+def test_rounds_of_components_write_files_as_their_edges_need(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/components-*"))
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        chains = spark.range(400).select((F.col("id") * 10).alias("a"), (F.col("id") * 10 + 1).alias("b"))
+        chains = chains.unionByName(chains.select("b", (F.col("b") + 1).alias("c")).toDF("a", "b"))
+        assert {(r.node, r.component) for r in components(chains).collect()} == {(10 * i + j, 10 * i) for i in range(400) for j in (1, 2)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    rounds = [len(glob.glob(f"{d}/part-*")) for d in set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/components-*")) - before]
+    assert len(rounds) > 1 and sorted(rounds)[-2] == 1  # only the first knows no count yet

@@ -164,3 +164,16 @@ def test_names():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "private", "mixture", "tokens"]
+
+
+def test_stages_get_batches_of_few_texts_and_leave_a_number_that_is_set(spark):
+    key, rows = corpus_pipeline.BATCH
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.tokens(spark, corpus(spark), "")
+        assert spark.conf.get(key) == str(rows)
+        spark.conf.set(key, "77")
+        corpus_pipeline.tokens(spark, corpus(spark), "")
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)
