@@ -338,7 +338,9 @@ def repeats(members: DataFrame, length: int) -> DataFrame:
         yield batch_of(out)
 
     keys = ["node", "first", "last"]
-    dealt = members.select(*keys, "doc_id", "key", "pos", "left", "right").repartition(width(members.sparkSession), *keys).sortWithinPartitions(*keys, "key", "pos", "doc_id")
+    # dealt by a hash of the keys: where a join has shuffled by the keys themselves Spark leaves out a repartition by
+    # them, and as it knows of no need for the groups here, it may read that shuffle map by map, which tears them
+    dealt = members.select(*keys, "doc_id", "key", "pos", "left", "right").repartition(width(members.sparkSession), F.xxhash64(*keys)).sortWithinPartitions(*keys, "key", "pos", "doc_id")
     return dealt.mapInArrow(run, "doc_id long, key long, start int, stop int")
 
 
@@ -353,8 +355,9 @@ def divided(members: DataFrame, length: int) -> list[DataFrame]:
             found.append(written(repeats(members, length), "repeats"))
             return found
         keys = ["node", "first", "last"]
-        found.append(written(repeats(members.join(large.select(*keys), keys, "left_anti"), length), "repeats"))
-        hot = members.join(large.select(*keys), keys, "left_semi")
+        large = F.broadcast(large.select(*keys))  # at most a row for every GROUP members
+        found.append(written(repeats(members.join(large, keys, "left_anti"), length), "repeats"))
+        hot = members.join(large, keys, "left_semi")
         leaf = hot.where("first = last")
         found.append(written(leaf.select("doc_id", "key", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + length).alias("stop")), "repeats"))
         mid = F.floor((F.col("first") + F.col("last")) / 2).cast("int")

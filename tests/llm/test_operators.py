@@ -412,6 +412,15 @@ def test_dedup_against_brute_force(spark, monkeypatch, group, pairs):
     assert got == dedup_brute(texts, 200)
 
 
+def test_dedup_keeps_groups_together_after_a_join(spark):
+    """After a shuffled join on the groups' keys Spark must not leave out the repartition that keeps groups whole."""
+    keys = ["node", "first", "last"]
+    rows = [(i, i, i, i, i, 0, b"a", b"b") for i in range(9)]
+    members = spark.createDataFrame(rows, "node long, first int, last int, doc_id long, key long, pos int, left binary, right binary")
+    joined = members.join(members.where("doc_id > 5").select(*keys).hint("merge"), keys, "left_anti")
+    assert "REPARTITION_BY_NUM" in suffix_dedup.repeats(joined, 200)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_on_odd_tables(odd, none):
     assert suffix_dedup.deduplicated(odd).count() == len(TEXTS)
     assert suffix_dedup.deduplicated(none).count() == 0
