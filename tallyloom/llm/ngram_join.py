@@ -34,11 +34,8 @@ equal sets; only the two named columns are read, so others can't clash.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import zlib
-from array import array
-from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -62,6 +59,8 @@ LEVEL = 1.5
 BAND = 1.1
 #: Cost of a binary probe against a step of the merge, which decides how many lists are long.
 PROBE_COST = 0.01
+#: Entries or probes that are held at once; entries that are counted in the time of a probe.
+STEPS, PROBED = 1 << 18, 10
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -263,33 +262,56 @@ def t_occurrence(sets: list[np.ndarray], queries: list[int], num: int, den: int,
     entries = np.sort(place * m + owner)  # the inverted lists, one after another, each by owner
     starts = np.searchsorted(entries, np.arange(len(tokens) + 1) * m)
     lengths = np.diff(starts)
-    listed = array("i", (entries % m).astype(np.intc).tobytes())  # a list would hold an object an entry
+    listed = (entries % m).astype(np.int32)
     ends = np.cumsum(sizes)
+    labels = np.array([known.root(i) for i in range(m)])  # what is connected, as known has it
+
+    def counted(lists: np.ndarray) -> np.ndarray:
+        """Of how many of the lists each set is."""
+        seen = np.zeros(m, np.int64)
+        for few in in_steps(lists, lengths[lists]):
+            seen += np.bincount(listed[places(starts[few], lengths[few])], minlength=m)
+        return seen
+
     for q in queries:
         size = int(sizes[q])
         fit = (sizes * den >= size * num) & (size * den >= sizes * num)
-        root = known.root(q)
-        if not any(known.root(int(c)) != root for c in np.flatnonzero(fit)):
+        apart = fit & (labels != labels[q])
+        if not apart.any():
             continue
         least = -(-num * (size + int(sizes[fit].min())) // (num + den))
         mine = place[ends[q] - size : ends[q]]
         by_length = mine[np.argsort(lengths[mine], kind="stable")]
         n_long = min(least - 1, int(least / (PROBE_COST * math.log2(lengths[by_length[-1]] + 1) + 1)), size)
         short, long_ = by_length[: size - n_long], by_length[size - n_long :]
-        merged = heapq.merge(*(listed[starts[t] : starts[t + 1]] for t in short.tolist()))
-        for c, run in groupby(merged):
-            if c == q or not fit[c]:
-                continue
-            seen = sum(1 for _ in run)
-            if seen < least - n_long or known.root(c) == known.root(q):
-                continue
-            needed = -(-num * (size + int(sizes[c])) // (num + den))
-            if seen + n_long < needed:
-                continue
-            probe = long_ * m + c
-            at = np.searchsorted(entries, probe)
-            if seen + int((entries[np.minimum(at, len(entries) - 1)] == probe).sum()) >= needed:
+        seen = counted(short)
+        needed = -(-num * (size + sizes) // (num + den))
+        some = np.flatnonzero(apart & (seen > 0) & (seen + n_long >= needed))
+        if not len(some):
+            continue
+        if lengths[long_].sum() < PROBED * len(some) * n_long:  # so many look-ups take longer than the lists themselves
+            total = (seen + counted(long_))[some]
+        else:
+            total = seen[some]
+            for few in np.array_split(np.arange(len(some)), -(-len(some) * n_long // STEPS) or 1):
+                probe = (long_[None, :] * m + some[few, None]).ravel()
+                at = np.minimum(np.searchsorted(entries, probe), len(entries) - 1)
+                total[few] += (entries[at] == probe).reshape(len(few), n_long).sum(axis=1)
+        for c in some[total >= needed[some]].tolist():
+            if labels[c] != labels[q]:
                 known.join(q, c)
+                labels[labels == labels[c]] = labels[q]
+
+
+def in_steps(lists: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Lists divided into runs of about ``STEPS`` entries; those of one entry, which hold their own set alone, left out."""
+    lists, lengths = lists[lengths > 1], lengths[lengths > 1]
+    return np.split(lists, np.flatnonzero(np.diff(np.cumsum(lengths) // STEPS)) + 1) if len(lists) else []
+
+
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after another."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 def search(members: DataFrame, n: int, num: int, den: int) -> DataFrame:

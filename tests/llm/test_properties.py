@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -58,3 +60,34 @@ def test_t_occurrence_finds_all_links(sets, bound):
 def test_words_are_runs_of_anything_but_ascii_space(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     assert [w.decode() for w in text.encode().lower().split()] == words
+
+
+def near_copies(n, share, seed):
+    """Sets of n copies of one text of 380 words, each word replaced with probability share."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(40) for _ in range(380)]
+    shingler = ngram_join.Shingler(5)
+    return [shingler(" ".join(str(rng.getrandbits(40) if rng.random() < share else w) for w in base)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("probed, steps", [(0, 1 << 18), (0, 50), (10, 50), (1 << 40, 1 << 18)])
+def test_t_occurrence_by_probes_and_by_counts(monkeypatch, probed, steps):
+    monkeypatch.setattr(ngram_join, "PROBED", probed)
+    monkeypatch.setattr(ngram_join, "STEPS", steps)
+    arrays = near_copies(40, 0.02, 3) + near_copies(20, 0.005, 4)
+    known, plain = ngram_join.Forest(60), ngram_join.Forest(60)
+    ngram_join.t_occurrence(arrays, list(range(60)), 80, 100, known)
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(np.intersect1d(arrays[i], arrays[j])) >= 80 * len(np.union1d(arrays[i], arrays[j])):
+                plain.join(i, j)
+    assert [known.root(i) for i in range(60)] == [plain.root(i) for i in range(60)]
+    assert 2 < len({known.root(i) for i in range(60)}) < 60
+
+
+def test_a_block_of_near_copies_that_are_apart_takes_no_merge_a_pair():
+    arrays = near_copies(600, 0.02, 1)  # 20 s of CPU as a heap merged the lists, 1 s since
+    known, began = ngram_join.Forest(600), time.process_time()
+    ngram_join.t_occurrence(arrays, list(range(600)), 80, 100, known)
+    assert 2 < len({known.root(i) for i in range(600)}) < 600
+    assert time.process_time() - began < 8
