@@ -65,6 +65,39 @@ def test_many_patterns_last_line_wins(spark, monkeypatch, size):
     assert globs.matched(df, rules.where("false"), "path").count() == 0
 
 
+@pytest.mark.parametrize("segments, shapes, crowd", [(False, 64, 64), (True, 64, 64), (True, 3, 64), (True, 64, 2), (False, 64, 2)])
+def test_globs_by_keys_against_their_regular_expressions(spark, monkeypatch, segments, shapes, crowd):
+    monkeypatch.setattr(globs, "FEW_BYTES", 0)
+    monkeypatch.setattr(globs, "SHAPES", shapes)
+    monkeypatch.setattr(globs, "CROWD", crowd)
+    monkeypatch.setattr(globs, "LETTERS", 3)
+    rng = random.Random(shapes + crowd)
+    parts = ["a", "b", "ab", "*", "?", "/", "/", "**", "**/", ".", "x.y", "[", "(", "+", "\\", "é", "\n", "$", "😀", "aabab"]
+    patterns = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(500)})
+    rules = [re.compile("(?s)" + glob_regex(g, segments)[:-1] + r"\Z") for g in patterns]
+    said = ["a", "b", "ab", "/", "/", ".", "x.y", "[", "+", "\\", "é", "\n", "$", "😀", "aabab"]
+    texts = ["", "\n", "a/", "/a", "//", None] + ["".join(rng.choice(said) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    texts += [re.sub(r"[*?]", lambda m: rng.choice(["a", "b", "é"]), g) for g in patterns]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, "", "x")], "id int, path string, glob string").repartition(3)
+    lines = spark.createDataFrame([(i, g) for i, g in enumerate(patterns)] + [(1000, "a/b"), (1001, "a/b"), (1001, "a/b"), (1002, None)], "line long, glob string")
+    got = sorted((r.id, r.line) for r in globs.matched(df, lines, "path", segments=segments).collect())
+    wanted = [(i, n) for i, t in enumerate(texts) for n, r in enumerate(rules) if t is not None and r.match(t)] + [(i, n) for i, t in enumerate(texts) if t == "a/b" for n in (1000, 1001)]
+    assert got == sorted(wanted + [(0, n) for i, n in wanted if i == 0])
+    last = {r.id: r.line for r in globs.matched(df, lines, "path", segments=segments, last=True).collect()}
+    assert last == {i: max(n for k, n in wanted if k == i) for i, _ in wanted}
+
+
+def test_many_globs_with_letters_need_no_trie(spark, monkeypatch):
+    """Every trie is one more pass over the texts, and grows with the patterns; 15,000 globs and 150,000 paths took 18 s of tasks."""
+    monkeypatch.setattr(globs, "GlobTrie", None)
+    kinds = ["**/c{}/*.py", "f/c{}/**", "*/c{}/?*.md", "*/c{}?/*.txt"]
+    patterns = spark.createDataFrame([(k, kinds[k % 4].format(k)) for k in range(3000)], "line long, glob string")
+    paths = [f"{s}/c{k}/{k}{ext}" for k in range(0, 3000, 7) for s in "fo" for ext in (".py", ".md", ".txt")]
+    got = {(r.path, r.line) for r in globs.matched(spark.createDataFrame([(p,) for p in paths], "path string"), patterns, "path", segments=True).collect()}
+    rules = {k: re.compile(glob_regex(kinds[k % 4].format(k), True)) for k in range(3000)}
+    assert got == {(p, k) for p in paths for k in {int(p.split("/")[1][1:]), int(p.split("/")[1][1:]) // 10} if rules[k].match(p)}
+
+
 def test_more_override_globs_than_a_plan_could_hold(spark):
     lines = [(i + 1, f"email\tu{i}*@x.org\tp{i}") for i in range(3000)] + [(4000, "email\tU7@x.org\tseven"), (4001, "email\tu1?@x.org\tteen"), (4002, "bot\tp1\t")]
     emails = spark.createDataFrame([(f"u{i}@x.org", None if i % 2 else f"l{i}") for i in range(40)] + [("z@x.org", None), ("y@x.org", "y")], "email string, login string")
